@@ -13,6 +13,7 @@ def format_size(size_bytes: Column) -> Column:
     size = size_bytes.cast("double")
     text = F.lit(None).cast("string")
     for power, unit in reversed(list(enumerate(SIZE_UNITS))):
-        shown = F.format_string(f"%.1f {unit}", size / float(1024**power))
+        # A tie goes to the even digit.
+        shown = F.format_string(f"%.1f {unit}", F.bround(size / float(1024**power), 1))
         text = shown if power == len(SIZE_UNITS) - 1 else F.when(size < float(1024 ** (power + 1)), shown).otherwise(text)
     return F.when(size_bytes.isNotNull(), text)

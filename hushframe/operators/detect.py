@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushframe.functions.masking import mask_value
 from hushframe.functions.text import canonical_text, is_atomic, lines_of, strip
@@ -34,14 +35,27 @@ def check_row_key(df: DataFrame, row_key: Sequence[str], reserved: Sequence[str]
     return keys
 
 
-def _flags(names: dict[int, str]) -> dict[str, Column]:
+def _flags(df: DataFrame, columns: list[tuple[int, str]]) -> dict[str, Column]:
     """Per flag, a test of the column number against the columns that carry it."""
-    by_ord = {i: rules.column_flags(name) for i, name in names.items()}
-    result = {}
-    for flag in FLAG_NAMES:
-        ords = [i for i, flags in by_ord.items() if getattr(flags, flag)]
-        result[flag] = F.col("column_ord").isin(ords) if ords else F.lit(False)
-    return result
+    carriers = {
+        flag: [i for i, name in columns if getattr(rules.column_flags(name), flag)] for flag in FLAG_NAMES
+    }
+    carriers["text"] = [i for i, name in columns if isinstance(df.schema[name].dataType, T.StringType)]
+    return {flag: F.col("column_ord").isin(ords) if ords else F.lit(False) for flag, ords in carriers.items()}
+
+
+def text_cells(df: DataFrame, names: Sequence[str]) -> Column:
+    """The cells of a row as array<struct<column_ord,column,raw,cell>>: the text, and the text without outer blanks."""
+    cells = []
+    for name in names:
+        raw = canonical_text(F.col(f"`{name}`"), df.schema[name].dataType)
+        cells.append(
+            F.struct(
+                F.lit(df.columns.index(name)).alias("column_ord"), F.lit(name).alias("column"), raw.alias("raw"),
+                (strip(raw) if isinstance(df.schema[name].dataType, T.StringType) else raw).alias("cell"),
+            )
+        )
+    return F.array(*cells)
 
 
 def detect_cells(
@@ -60,35 +74,25 @@ def detect_cells(
     mode = parse_mode(mode)
     keys = check_row_key(df, row_key, CELL_FIELDS + FINDING_FIELDS)
     columns = detectable_columns(df)
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("column_ord"),
-                F.lit(name).alias("column"),
-                canonical_text(F.col(f"`{name}`"), fields[name]).alias("raw"),
-            )
-            for i, name in columns
-        ]
-    )
-    flags = _flags(dict(columns))
+    flags = _flags(df, columns)
     by_name_alone = flags["name"] | flags["address"] | flags["rc"]
-    gate = rules.gate(F.col("cell"), with_hints=mode is PrivacyMode.STRICT)
+    with_hints = mode is PrivacyMode.STRICT
+    findings = rules.cell_findings(
+        F.col("cell"), F.col("digits"), flags, mode, rules.as_of_column(as_of), rc_extended_months
+    )
+    # Behind a generator, the filter on the findings does not make the rules run twice.
+    once = F.inline(F.array(F.struct(findings.alias("findings"))))
     found = (
-        df.select(*[F.col(f"`{k}`") for k in keys], F.inline(cells))
-        .withColumn("cell", strip(F.col("raw")))
-        .where((F.col("cell") != "") & (by_name_alone | gate))
-        .withColumn(
-            "findings",
-            rules.cell_findings(F.col("cell"), flags, mode, rules.as_of_column(as_of), rc_extended_months),
-        )
-        .drop("cell")
+        df.select(*[F.col(f"`{k}`") for k in keys], F.inline(text_cells(df, [name for _, name in columns])))
+        .where((F.col("cell") != "") & (by_name_alone | rules.gate(F.col("cell"), with_hints)))
+        .withColumn("digits", rules.digit_count(F.col("cell")))
+        .select(*keys, "column_ord", "column", "raw", once)
+        .where(F.size("findings") > 0)
     )
     if safe is not None and mode is PrivacyMode.STRICT:
         marks = safe.groupBy(*keys, "column").agg(F.collect_set(F.concat_ws("|", "pii_type", "rule")).alias("marks"))
         found = (
-            found.where(F.size("findings") > 0)
-            .join(marks, [*keys, "column"], "left")
+            found.join(marks, [*keys, "column"], "left")
             .withColumn(
                 "findings",
                 F.when(F.col("marks").isNull(), F.col("findings")).otherwise(
@@ -98,8 +102,9 @@ def detect_cells(
                     )
                 ),
             )
+            .where(F.size("findings") > 0)
         )
-    return found.where(F.size("findings") > 0).select(*keys, *CELL_FIELDS)
+    return found.select(*keys, *CELL_FIELDS)
 
 
 def findings_of_cells(cells: DataFrame, dataset: str = "table", email_pattern: str | None = None) -> DataFrame:

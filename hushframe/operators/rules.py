@@ -138,8 +138,13 @@ def _finding(pii_type: str, rule: str, confidence: float, order: int) -> Column:
     )
 
 
+def digit_count(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "0123456789", ""))
+
+
 def cell_findings(
     cell: Column,
+    digits: Column,
     column_is: dict[str, Column],
     mode: PrivacyMode,
     as_of: Column,
@@ -147,18 +152,21 @@ def cell_findings(
 ) -> Column:
     """All findings of one stripped, non-blank cell, at most one per type, in rule order.
 
-    `column_is` holds one boolean per flag of `ColumnFlags`. Rules of other modes never enter the plan.
+    `digits` is the digit count of the cell, and `column_is` holds one boolean per flag of `ColumnFlags`, and
+    `text` for a column of strings. Rules of other modes never enter the plan. Lengths and single characters that a pattern asks for are tested before it.
     """
     strict, relaxed = mode is PrivacyMode.STRICT, mode is PrivacyMode.RELAXED
-    digit = cell.rlike("[0-9]")
     email = F.contains(cell, F.lit("@")) & cell.rlike(EMAIL)
-    phone = digit & cell.rlike(PHONE) & F.length(digits_of(cell)).between(9, 15)
-    born = parsed_date(cell, as_of)
-    birth = ~column_is["timestamp"] & born.isNotNull() & (column_is["birth"] | is_old(born, as_of))
-    rc = digit & cell.rlike(RC_EXTENDED if rc_extended_months else RC)
+    phone = digits.between(9, 15) & cell.rlike(PHONE)
+    dated = digits.between(6, 8) & F.length(cell).between(8, 10) & ~column_is["timestamp"]
+    birth = dated & F.coalesce(
+        _is_birth(parsed_date(cell, as_of), column_is["birth"], as_of), F.lit(False)
+    )
+    rc = (digits >= 9) & cell.rlike(RC_EXTENDED if rc_extended_months else RC)
     if not relaxed:
-        rc = rc & valid_rc(cell, as_of)
-    bank = digit & (cell.rlike(BANK_ACCOUNT) | cell.rlike(IBAN))
+        rc = rc & (digits <= 10) & valid_rc(cell, as_of)
+    account = (digits >= 6) & F.contains(cell, F.lit("/")) & cell.rlike(BANK_ACCOUNT)
+    iban = (digits >= 2) & (F.length(cell) >= 15) & cell.rlike(IBAN)
     by_column = COLUMN_RULE_CONFIDENCE[mode]
 
     def when(hit: Column, *finding) -> Column:
@@ -166,27 +174,30 @@ def cell_findings(
 
     address = when(column_is["address"], "ADDRESS", "column_address_heuristic", by_column, 7)
     if not relaxed:
-        postcode = digit & cell.rlike(POSTCODE)
+        postcode = (digits >= 5) & cell.rlike(POSTCODE)
         address = F.coalesce(address, when(postcode, "ADDRESS", "postcode_heuristic", 0.6, 8))
     if strict:
-        address = F.coalesce(address, when(has_hint(cell), "ADDRESS", "address_hint_heuristic", 0.65, 9))
+        address = F.coalesce(address, when(column_is["text"] & has_hint(cell), "ADDRESS", "address_hint_heuristic", 0.65, 9))
     # A birth number found by its column alone stands behind BANK, one found by its form before it.
-    rc_form = when(rc, "RC", "regex_rc", 0.9, 3)
-    rc_column = when(column_is["rc"] & ~F.coalesce(rc, F.lit(False)), "RC", "column_rc_heuristic", 0.7, 5)
     return F.array_compact(
         F.array(
             when(email, "EMAIL", "regex_email", 0.99, 0),
             when(phone, "PHONE", "regex_phone", 0.9, 1),
             when(birth, "DOB", "regex_date", 0.88, 2),
-            rc_form,
-            when(bank, "BANK", "regex_bank", 0.9, 4),
-            rc_column,
+            when(rc, "RC", "regex_rc", 0.9, 3),
+            when(account | iban, "BANK", "regex_bank", 0.9, 4),
+            when(column_is["rc"] & ~rc, "RC", "column_rc_heuristic", 0.7, 5),
             when(column_is["name"], "NAME", "column_name_heuristic", by_column, 6),
             address,
         )
     )
 
 
+def _is_birth(born: Column, hinted: Column, as_of: Column) -> Column:
+    """A date in a column that speaks of birth, or an old one."""
+    return F.year(born) < F.when(hinted, F.year(as_of) + 1).otherwise(F.year(as_of) - OLD_DATE_YEARS)
+
+
 def line_findings(line: Column, mode: PrivacyMode, as_of: Column) -> Column:
     """All findings of one text line: every match of every pattern, in rule order, repeats kept."""
     relaxed = mode is PrivacyMode.RELAXED

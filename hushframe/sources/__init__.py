@@ -1,0 +1 @@
+"""Sources and sinks: file catalog, delimited tables, text files, exports."""

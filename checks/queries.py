@@ -35,11 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PEOPLE.replace("FROM customer", f"FROM parquet.`{sf_dir}/customer.parquet`"))
+    return spark.sql(PEOPLE.replace("FROM customer", "FROM {customer}"), customer=spread(table(spark, sf_dir, "customer")))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(NOTES.replace("FROM customer", f"FROM parquet.`{sf_dir}/customer.parquet`"))
+    return spark.sql(NOTES.replace("FROM customer", "FROM {customer}"), customer=spread(table(spark, sf_dir, "customer")))
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def keywords_by_lang(spark, sf_dir):
 @query
 def column_flags(spark, sf_dir):
     df = people(spark, sf_dir)
-    cells = df.select(F.inline(detect.text_cells(df, df.columns))).where(F.col("cell") != "")
+    cells = detect.text_cells(df, [], df.columns)
     flags = F.array(
         *[
             F.struct(F.lit(c).alias("column"), *[F.lit(getattr(rules.column_flags(c), n)).alias(f"is_{n}") for n in detect.FLAG_NAMES])

@@ -30,6 +30,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(**values: Column) -> Column:
+    """Columns that are computed once: behind a generator, no filter or projection repeats their expressions."""
+    return F.inline(F.array(F.struct(*[value.alias(name) for name, value in values.items()])))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

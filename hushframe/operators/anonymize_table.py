@@ -171,8 +171,7 @@ def anonymize_table(
     elif dictionary.size_bytes <= broadcast_bytes and len(touched) <= LOOK_UP_COLUMNS:
         table = _look_up(df, dictionary, touched, extra)
     else:
-        texts = df.select(*keys, F.inline(text_cells(df, [name for _, name in touched])))
-        texts = texts.where(F.col("cell") != "").select(*keys, "column_ord", "raw")
+        texts = text_cells(df, keys, [name for _, name in touched]).select(*keys, "column_ord", "raw")
         table = _join_back(df, keys, cell_tokens(texts, dictionary, ["column_ord", "raw"]), touched, extra)
     return AnonymizedTable(table, dictionary)
 

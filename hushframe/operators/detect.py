@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.functions.masking import mask_value
-from hushframe.functions.text import canonical_text, is_atomic, lines_of, strip
+from hushframe.functions.text import canonical_text, is_atomic, lines_of, once, strip
 from hushframe.modes import PrivacyMode, parse_mode
 from hushframe.operators import rules
 
@@ -44,18 +44,22 @@ def _flags(df: DataFrame, columns: list[tuple[int, str]]) -> dict[str, Column]:
     return {flag: F.col("column_ord").isin(ords) if ords else F.lit(False) for flag, ords in carriers.items()}
 
 
-def text_cells(df: DataFrame, names: Sequence[str]) -> Column:
-    """The cells of a row as array<struct<column_ord,column,raw,cell>>: the text, and the text without outer blanks."""
-    cells = []
-    for name in names:
-        raw = canonical_text(F.col(f"`{name}`"), df.schema[name].dataType)
-        cells.append(
+def text_cells(df: DataFrame, keep: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The non-blank cells of some columns as rows: `keep`, `column_ord`, `column`, `raw` and the stripped `cell`.
+
+    The cells of a row become rows within the same stage, so the size of the plan does not grow with their number.
+    """
+    cells = F.array(
+        *[
             F.struct(
-                F.lit(df.columns.index(name)).alias("column_ord"), F.lit(name).alias("column"), raw.alias("raw"),
-                (strip(raw) if isinstance(df.schema[name].dataType, T.StringType) else raw).alias("cell"),
+                F.lit(df.columns.index(name)).alias("column_ord"), F.lit(name).alias("column"),
+                canonical_text(F.col(f"`{name}`"), df.schema[name].dataType).alias("raw"),
             )
-        )
-    return F.array(*cells)
+            for name in names
+        ]
+    )
+    rows = df.select(*[F.col(f"`{k}`") for k in keep], F.inline(cells)).where(F.col("raw").isNotNull())
+    return rows.select("*", once(cell=strip(F.col("raw")))).where(F.col("cell") != "")
 
 
 def detect_cells(
@@ -68,8 +72,7 @@ def detect_cells(
 ) -> DataFrame:
     """One row per cell with findings: row key, column, unstripped text and its findings in rule order.
 
-    The cells of a row become rows within the same stage, so the size of the plan does not grow with the number
-    of columns. `safe` marks findings that the Strict mode leaves out: row key, `column`, `pii_type`, `rule`.
+    `safe` marks findings that the Strict mode leaves out: row key, `column`, `pii_type`, `rule`.
     """
     mode = parse_mode(mode)
     keys = check_row_key(df, row_key, CELL_FIELDS + FINDING_FIELDS)
@@ -77,17 +80,16 @@ def detect_cells(
     flags = _flags(df, columns)
     by_name_alone = flags["name"] | flags["address"] | flags["rc"]
     with_hints = mode is PrivacyMode.STRICT
-    findings = rules.cell_findings(
+    found_by = rules.cell_rules(
         F.col("cell"), F.col("digits"), flags, mode, rules.as_of_column(as_of), rc_extended_months
     )
-    # Behind a generator, the filter on the findings does not make the rules run twice.
-    once = F.inline(F.array(F.struct(findings.alias("findings"))))
     found = (
-        df.select(*[F.col(f"`{k}`") for k in keys], F.inline(text_cells(df, [name for _, name in columns])))
-        .where((F.col("cell") != "") & (by_name_alone | rules.gate(F.col("cell"), with_hints)))
+        text_cells(df, keys, [name for _, name in columns])
+        .where(by_name_alone | rules.gate(F.col("cell"), with_hints))
         .withColumn("digits", rules.digit_count(F.col("cell")))
-        .select(*keys, "column_ord", "column", "raw", once)
-        .where(F.size("findings") > 0)
+        .select(*keys, "column_ord", "column", "raw", once(mask=rules.rule_mask(found_by)))
+        .where(F.col("mask") != 0)
+        .withColumn("findings", rules.findings_of_mask(F.col("mask"), found_by))
     )
     if safe is not None and mode is PrivacyMode.STRICT:
         marks = safe.groupBy(*keys, "column").agg(F.collect_set(F.concat_ws("|", "pii_type", "rule")).alias("marks"))

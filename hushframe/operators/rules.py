@@ -22,7 +22,9 @@ PHONE = rf"{B}(?:\+?\d{{1,3}}[{S}-]?)?(?:\(?\d{{2,3}}\)?[{S}-]?)?\d{{3}}[{S}-]?\
 DATE_ISO = r"\d{4}-\d{2}-\d{2}"
 DATE_DOTTED = r"\d{1,2}\.\d{1,2}\.\d{4}"
 DATE_SLASHED = r"\d{1,2}/\d{1,2}/\d{4}"
-DATE_FORMATS = ((DATE_ISO, "yyyy-MM-dd"), (DATE_DOTTED, "d.M.yyyy"), (DATE_SLASHED, "d/M/yyyy"))
+DATES = (DATE_ISO, DATE_DOTTED, DATE_SLASHED)
+WHOLE_DATE = f"^(?:{DATE_ISO}|{DATE_DOTTED}|{DATE_SLASHED})$"
+DAY_FIRST = r"^(\d{1,2})([./])(\d{1,2})\2(\d{4})$"
 RC = rf"{B}\d{{2}}[0-1]\d[0-3]\d/?\d{{3,4}}{B}"
 RC_EXTENDED = rf"{B}\d{{2}}[0-8]\d[0-3]\d/?\d{{3,4}}{B}"
 BANK_ACCOUNT = rf"{B}(?:\d{{0,6}}-)?\d{{2,10}}/\d{{4}}{B}"
@@ -85,28 +87,27 @@ def digits_of(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _hint_pattern() -> str:
+    return "|".join(hint.replace(".", r"\.") for hint in ADDRESS_HINTS)
+
+
 def has_hint(text: Column) -> Column:
-    lowered = F.lower(text)
-    hit = F.lit(False)
-    for hint in ADDRESS_HINTS:
-        hit = hit | F.contains(lowered, F.lit(hint))
-    return hit
+    return F.lower(text).rlike(_hint_pattern())
 
 
 def gate(text: Column, with_hints: bool) -> Column:
     """A cheap test that every text with a finding passes, so that the rules skip all other texts."""
     if not with_hints:
         return text.rlike("[0-9@]")
-    hints = "|".join(hint.replace(".", r"\.") for hint in ADDRESS_HINTS)
-    return F.lower(text).rlike(f"[0-9@]|{hints}")
+    return F.lower(text).rlike(f"[0-9@]|{_hint_pattern()}")
 
 
 def parsed_date(text: Column, as_of: Column) -> Column:
     """The date that the whole text spells in one of the three forms, if it lies between 1900 and `as_of`."""
-    value = F.coalesce(
-        *[F.when(text.rlike(f"^{pattern}$"), F.try_to_date(text, form)) for pattern, form in DATE_FORMATS]
+    value = F.regexp_replace(text, DAY_FIRST, "$4-$3-$1").try_cast("date")
+    return F.when(
+        text.rlike(WHOLE_DATE) & (F.year(value) >= FIRST_YEAR) & (value <= as_of), value
     )
-    return F.when((F.year(value) >= FIRST_YEAR) & (value <= as_of), value)
 
 
 def is_old(value: Column, as_of: Column) -> Column:
@@ -116,80 +117,81 @@ def is_old(value: Column, as_of: Column) -> Column:
 def valid_rc(text: Column, as_of: Column) -> Column:
     """Check a Czech birth number: a calendar date in its first six digits and, with ten digits, modulo 11."""
     number = F.replace(text, F.lit("/"), F.lit(""))
-    two = [F.substring(number, start, 2).try_cast("int") for start in (1, 3, 5)]
-    month = (
-        F.when(two[1] > 70, two[1] - 70)
-        .when(two[1] > 50, two[1] - 50)
-        .when(two[1] > 20, two[1] - 20)
-        .otherwise(two[1])
-    )
-    year = two[0] + F.when(two[0] <= F.year(as_of) % 100, 2000).otherwise(1900)
-    day = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, two[2]), "yyyy-MM-dd")
+    year, month = F.substring(number, 1, 2).try_cast("int"), F.substring(number, 3, 2).try_cast("int")
+    month = month - F.when(month > 70, 70).when(month > 50, 50).when(month > 20, 20).otherwise(0)
+    year = year + F.when(year <= F.year(as_of) % 100, 2000).otherwise(1900)
+    day = F.concat_ws("-", year.cast("string"), month.cast("string"), F.substring(number, 5, 2)).try_cast("date")
     checked = (F.length(number) == 9) | (number.try_cast("bigint") % 11 == 0)
     return F.coalesce(F.when(number.rlike("^[0-9]{9,10}$"), day.isNotNull() & checked), F.lit(False))
 
 
-def _finding(pii_type: str, rule: str, confidence: float, order: int) -> Column:
-    return F.struct(
-        F.lit(pii_type).alias("pii_type"),
-        F.lit(rule).alias("rule"),
-        F.lit(confidence).alias("confidence"),
-        F.lit(order).alias("rule_order"),
-    )
-
-
 def digit_count(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "0123456789", ""))
 
 
-def cell_findings(
+def cell_rules(
     cell: Column,
     digits: Column,
     column_is: dict[str, Column],
     mode: PrivacyMode,
     as_of: Column,
     rc_extended_months: bool = False,
-) -> Column:
-    """All findings of one stripped, non-blank cell, at most one per type, in rule order.
+) -> list[tuple[str, str, float, Column]]:
+    """The rules for a stripped, non-blank cell in rule order: type, name, confidence and test.
 
     `digits` is the digit count of the cell, and `column_is` holds one boolean per flag of `ColumnFlags`, and
-    `text` for a column of strings. Rules of other modes never enter the plan. Lengths and single characters that a pattern asks for are tested before it.
+    `text` for a column of strings. Rules of other modes never enter the plan. Lengths and single characters that a
+    pattern asks for are tested before it. Of several rules for one type, the first that holds counts.
     """
     strict, relaxed = mode is PrivacyMode.STRICT, mode is PrivacyMode.RELAXED
-    email = F.contains(cell, F.lit("@")) & cell.rlike(EMAIL)
-    phone = digits.between(9, 15) & cell.rlike(PHONE)
     dated = digits.between(6, 8) & F.length(cell).between(8, 10) & ~column_is["timestamp"]
-    birth = dated & F.coalesce(
-        _is_birth(parsed_date(cell, as_of), column_is["birth"], as_of), F.lit(False)
-    )
     rc = (digits >= 9) & cell.rlike(RC_EXTENDED if rc_extended_months else RC)
     if not relaxed:
         rc = rc & (digits <= 10) & valid_rc(cell, as_of)
     account = (digits >= 6) & F.contains(cell, F.lit("/")) & cell.rlike(BANK_ACCOUNT)
     iban = (digits >= 2) & (F.length(cell) >= 15) & cell.rlike(IBAN)
     by_column = COLUMN_RULE_CONFIDENCE[mode]
-
-    def when(hit: Column, *finding) -> Column:
-        return F.when(hit, _finding(*finding))
-
-    address = when(column_is["address"], "ADDRESS", "column_address_heuristic", by_column, 7)
+    found = [
+        ("EMAIL", "regex_email", 0.99, F.contains(cell, F.lit("@")) & cell.rlike(EMAIL)),
+        ("PHONE", "regex_phone", 0.9, digits.between(9, 15) & cell.rlike(PHONE)),
+        ("DOB", "regex_date", 0.88, dated & _is_birth(parsed_date(cell, as_of), column_is["birth"], as_of)),
+        ("RC", "regex_rc", 0.9, rc),
+        ("BANK", "regex_bank", 0.9, account | iban),
+        ("RC", "column_rc_heuristic", 0.7, column_is["rc"]),
+        ("NAME", "column_name_heuristic", by_column, column_is["name"]),
+        ("ADDRESS", "column_address_heuristic", by_column, column_is["address"]),
+    ]
     if not relaxed:
-        postcode = (digits >= 5) & cell.rlike(POSTCODE)
-        address = F.coalesce(address, when(postcode, "ADDRESS", "postcode_heuristic", 0.6, 8))
+        found.append(("ADDRESS", "postcode_heuristic", 0.6, (digits >= 5) & cell.rlike(POSTCODE)))
     if strict:
-        address = F.coalesce(address, when(column_is["text"] & has_hint(cell), "ADDRESS", "address_hint_heuristic", 0.65, 9))
-    # A birth number found by its column alone stands behind BANK, one found by its form before it.
-    return F.array_compact(
-        F.array(
-            when(email, "EMAIL", "regex_email", 0.99, 0),
-            when(phone, "PHONE", "regex_phone", 0.9, 1),
-            when(birth, "DOB", "regex_date", 0.88, 2),
-            when(rc, "RC", "regex_rc", 0.9, 3),
-            when(account | iban, "BANK", "regex_bank", 0.9, 4),
-            when(column_is["rc"] & ~rc, "RC", "column_rc_heuristic", 0.7, 5),
-            when(column_is["name"], "NAME", "column_name_heuristic", by_column, 6),
-            address,
+        found.append(("ADDRESS", "address_hint_heuristic", 0.65, column_is["text"] & has_hint(cell)))
+    return found
+
+
+def rule_mask(found: list[tuple[str, str, float, Column]]) -> Column:
+    """The rules that hold, as one bit each: a small number, so the tests stay in compiled code."""
+    mask = F.lit(0)
+    for order, (_, _, _, test) in enumerate(found):
+        mask = mask + F.when(test, 1 << order).otherwise(0)
+    return mask
+
+
+def findings_of_mask(mask: Column, found: list[tuple[str, str, float, Column]]) -> Column:
+    """The findings behind the bits, at most one per type, in rule order."""
+    entries = []
+    for order, (pii_type, rule, confidence, _) in enumerate(found):
+        blockers = sum(1 << i for i, other in enumerate(found[:order]) if other[0] == pii_type)
+        entries.append(
+            F.struct(
+                F.lit(pii_type).alias("pii_type"), F.lit(rule).alias("rule"), F.lit(confidence).alias("confidence"),
+                F.lit(order).alias("rule_order"), F.lit(1 << order).alias("bit"), F.lit(blockers).alias("blockers"),
+            )
         )
+    holding = F.filter(
+        F.array(*entries), lambda e: (mask.bitwiseAND(e["bit"]) != 0) & (mask.bitwiseAND(e["blockers"]) == 0)
+    )
+    return F.transform(
+        holding, lambda e: F.struct(*[e[n].alias(n) for n in ("pii_type", "rule", "confidence", "rule_order")])
     )
 
 
@@ -234,7 +236,7 @@ def line_findings(line: Column, mode: PrivacyMode, as_of: Column) -> Column:
     ]
     parts += [
         found(digit, f"{B}{pattern}{B}", "DOB", "regex_date_text", 0.85, 5 + i, old_date)
-        for i, (pattern, _) in enumerate(DATE_FORMATS)
+        for i, pattern in enumerate(DATES)
     ]
     if not relaxed:
         whole = F.array(

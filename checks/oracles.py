@@ -326,9 +326,12 @@ def _payload_guard() -> str:
 
     return f"""WITH {_text_keywords()}, {lines('documents', 'doc_id', 'text')},
       s AS (SELECT doc_id, list(line ORDER BY line_no) AS sample FROM lines WHERE line_no <= 100 GROUP BY doc_id),
-      b AS (SELECT doc_id, octet_length(encode(CAST({payload(", 'sample': coalesce(sample, [])")} AS VARCHAR))) AS full_bytes,
-                   octet_length(encode(CAST({payload('')} AS VARCHAR))) AS short_bytes
-            FROM documents LEFT JOIN kw USING (doc_id) LEFT JOIN s USING (doc_id))
+      -- What an indent of two adds: brackets, lines and keys of the fixed parts, of keywords and of sample lines.
+      x AS (SELECT *, coalesce(len(keywords), 0) AS k, coalesce(len(sample), 0) AS l FROM documents LEFT JOIN kw USING (doc_id) LEFT JOIN s USING (doc_id)),
+      b AS (SELECT doc_id, octet_length(encode(CAST({payload(", 'sample': coalesce(sample, [])")} AS VARCHAR))) + 61 + 18
+                     + CASE WHEN k > 0 THEN 42 * k + 7 ELSE 0 END + CASE WHEN l > 0 THEN 7 * l + 5 ELSE 0 END AS full_bytes,
+                   octet_length(encode(CAST({payload('')} AS VARCHAR))) + 61 + 12 + CASE WHEN k > 0 THEN 42 * k + 7 ELSE 0 END AS short_bytes
+            FROM x)
       SELECT doc_id, full_bytes > 2048 AS truncated,
              CAST(CASE WHEN full_bytes > 2048 THEN short_bytes ELSE full_bytes END AS BIGINT) AS payload_bytes,
              CASE WHEN full_bytes > 2048 THEN short_bytes ELSE full_bytes END > 2048 AS still_over FROM b"""

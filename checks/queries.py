@@ -515,7 +515,7 @@ def release_source(spark, sf_dir):
 @query
 def conversation_newest_first(spark, sf_dir):
     return conversations.newest_first(table(spark, sf_dir, "conversations")).select(
-        "conv_id", "turn", "role", "text", F.col("turn_group").cast("bigint").alias("turn_group"), F.col("position").cast("bigint").alias("position")
+        "conv_id", "turn", "role", "text", "turn_group", "position"
     )
 
 

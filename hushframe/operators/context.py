@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.text import is_atomic, lines_of, without_nan
+from hushframe.functions.text import is_atomic, lines_of, once, without_nan
 from hushframe.modes import SAMPLE_LIMIT, ContextScope, PrivacyMode, parse_mode, parse_scope
 from hushframe.operators import profile_table
 from hushframe.operators.anonymize_text import anonymize_text
@@ -225,11 +225,31 @@ def text_context(
     return counted.select(*columns, sample).withColumn("sample_row_count", F.size("sample_rows").cast("bigint"))
 
 
+def indented_bytes(json: Column) -> Column:
+    """UTF-8 bytes that a compact JSON text takes when it is printed with an indent of two.
+
+    Only brackets, commas and colons matter for the difference; a fold over them keeps the depth.
+    """
+    plain = F.regexp_replace(json, r"\\.", "")
+    scalar = r'"[^"]*"|[^{}\[\],:"]+'
+    shape = F.regexp_replace(F.regexp_replace(plain, scalar, "s"), r"\{\}|\[\]", "s")
+    marks = F.split(F.regexp_replace(shape, "s", ""), "")
+
+    def step(done: Column, mark: Column) -> Column:
+        opens, closes = mark.isin("{", "["), mark.isin("}", "]")
+        depth = done["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        extra = F.when(mark == ":", 1).when(mark == "", 0).otherwise(1 + 2 * depth)
+        return F.struct(depth.cast("int").alias("depth"), (done["extra"] + extra).cast("bigint").alias("extra"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("extra"))
+    return F.octet_length(json) + F.aggregate(marks, start, step, lambda done: done["extra"])
+
+
 def release_payload(context: DataFrame, task: Column, limit_bytes: int = PAYLOAD_LIMIT_BYTES) -> DataFrame:
     """Reshape a context into its payload and guard its size.
 
-    A payload above `limit_bytes` of UTF-8 loses its sample (`truncated`); it is not cut further, and `still_over`
-    says that it stays above the limit. Sizes are those of compact JSON.
+    A payload above `limit_bytes` loses its sample (`truncated`); it is not cut further, and `still_over` says that it
+    stays above the limit. The payload is compact JSON; its size, `payload_bytes`, is that of the indented form.
     """
     profile = context.schema["profile"].dataType
     stats = [F.col("profile")[f.name].alias(f.name) for f in profile.fields if f.name != "schema"]
@@ -248,18 +268,14 @@ def release_payload(context: DataFrame, task: Column, limit_bytes: int = PAYLOAD
         )
 
     keys = [c for c in context.columns if c not in ("profile", "sample_rows", "sample_row_count")]
-    both = context.select(
-        *keys,
-        F.inline(F.array(F.struct(payload(*parts, sample.alias("sample")).alias("full"), payload(*parts).alias("short")))),
-    )
-    over = F.octet_length("full") > limit_bytes
-    return both.select(
-        *keys,
-        F.when(over, F.col("short")).otherwise(F.col("full")).alias("payload"),
-        over.alias("truncated"),
-    ).withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn(
-        "still_over", F.col("payload_bytes") > limit_bytes
+    both = context.select(*keys, once(full=payload(*parts, sample.alias("sample")), short=payload(*parts)))
+    sized = both.select(*keys, "full", "short", once(full_bytes=indented_bytes(F.col("full"))))
+    over = F.col("full_bytes") > limit_bytes
+    kept = sized.select(
+        *keys, F.when(over, F.col("short")).otherwise(F.col("full")).alias("payload"), over.alias("truncated"),
+        once(payload_bytes=F.when(over, indented_bytes(F.col("short"))).otherwise(F.col("full_bytes"))),
     )
+    return kept.withColumn("still_over", F.col("payload_bytes") > limit_bytes)
 
 
 def released_text(df: DataFrame, text: str, mode: str | PrivacyMode, as_of: date | str | None = None) -> DataFrame:

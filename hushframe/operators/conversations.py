@@ -6,23 +6,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.text import strip
+from hushframe.operators.ordered import sorted_once, with_totals
 
 
-def newest_first(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
+# A conversation with more rows than this, and than one in HOT_SHARE of all rows, is too long for one task.
+LONG_ROWS = 100_000
+HOT_SHARE = 10_000
+
+
+def newest_first(
+    messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", long_rows: int = LONG_ROWS
+) -> DataFrame:
     """Add `turn_group` and `position`: groups start at each user message, the newest group comes first.
 
-    A conversation is one user's chat, so one window over it is a bounded group.
+    Usual conversations are ordered by a window each. Long ones, of which there are at most HOT_SHARE, are sorted
+    across tasks and positioned by running totals.
     """
+    total = messages.count()
+    if total <= long_rows:
+        return _by_window(messages, conv, turn, role)
+    limit = max(long_rows, total // HOT_SHARE)
+    long_ones = messages.groupBy(conv).count().where(F.col("count") > limit).select(conv)
+    if long_ones.isEmpty():
+        return _by_window(messages, conv, turn, role)
+    usual = messages.join(F.broadcast(long_ones), conv, "left_anti")
+    long_ = messages.join(F.broadcast(long_ones), conv, "left_semi")
+    result = [*messages.columns, "turn_group", "position"]
+    return (
+        _by_window(usual, conv, turn, role).select(*result)
+        .unionByName(_by_totals(long_, conv, turn, role).select(*result))
+    )
+
+
+def _starts_group(role: str) -> Column:
+    return F.when(F.col(role) == "user", 1).otherwise(0).cast("bigint")
+
+
+def _by_window(messages: DataFrame, conv: str, turn: str, role: str) -> DataFrame:
     by_turn = Window.partitionBy(conv).orderBy(turn)
-    grouped = messages.withColumn("turn_group", F.sum(F.when(F.col(role) == "user", 1).otherwise(0)).over(by_turn))
+    grouped = messages.withColumn("turn_group", F.sum(_starts_group(role)).over(by_turn))
     shown = Window.partitionBy(conv).orderBy(F.desc("turn_group"), turn)
-    return grouped.withColumn("position", F.row_number().over(shown))
+    return grouped.withColumn("position", F.row_number().over(shown).cast("bigint"))
+
+
+def _by_totals(messages: DataFrame, conv: str, turn: str, role: str) -> DataFrame:
+    flat = sorted_once(
+        messages.withColumns({"_one": F.lit(1).cast("bigint"), "_start": _starts_group(role)}), [conv], [turn], "turns"
+    )
+    at = with_totals(flat, [conv], {"_index": "_one", "_starts": "_start"}).withColumn(
+        "turn_group", F.col("_starts") + F.col("_start")
+    )
+    groups = at.groupBy(conv, "turn_group").agg(F.min("_index").alias("_first"), F.max("_index").alias("_last"))
+    ends = at.groupBy(conv).agg(F.max("_index").alias("_end"))
+    # Later groups come before, then the messages of the own group up to this one.
+    position = F.col("_end") - F.col("_last") + F.col("_index") - F.col("_first") + 1
+    return at.join(groups, [conv, "turn_group"]).join(F.broadcast(ends), conv).withColumn("position", position)
 
 
 def append_pair(
     messages: DataFrame, replies: DataFrame, conv: str = "conv_id", turn: str = "turn"
 ) -> DataFrame:
-    """Append a stripped prompt and its reply to conversations; `replies` holds `conv`, `prompt` and `reply`.
+    """Append a stripped prompt and its reply to conversations.
+
+    `replies` holds `conv`, `prompt` and `reply`, with one row per conversation.
 
     `messages` has the columns `conv`, `turn`, `role` and `text`. A conversation without messages starts at turn 0.
     """

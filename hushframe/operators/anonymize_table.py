@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +32,33 @@ class TableDictionary:
     """Tokens of a table; restricted, as they hold the found values: they never join an audit or a context.
 
     `entries` has one row per token: `pii_type`, `chain` (the types replaced before in the same cell), `raw` (the
-    unstripped cell text), `token_no`, `token`, `occurrences`. `finals` has one row per column and found text:
-    `column_ord`, `types`, `raw`, the `token` that the cell ends with, and `occurrences`.
+    unstripped cell text), `token_no`, `token`, `occurrences`. `values` has one row per column and found text.
     """
 
     entries: DataFrame
-    finals: DataFrame
+    values: DataFrame
     columns: list[str]
     size_bytes: int
     cells: int
 
+    @cached_property
+    def finals(self) -> DataFrame:
+        """Per column and found text, the `token` that the cell ends with: that of its last type behind all others.
+
+        Written once, since every column looks its own part up.
+        """
+        types = F.split("types", ">")
+        last = {
+            "pii_type": F.element_at(types, -1),
+            "chain": F.array_join(F.slice(types, 1, F.size(types) - 1), ">"),
+        }
+        return written(
+            self.values.withColumns(last)
+            .join(self.entries.drop("occurrences", "token_no"), list(KEY))
+            .select("column_ord", "types", "raw", "token", "occurrences"),
+            "finals",
+        )
+
     def replaced_counts(self) -> DataFrame:
         return self.entries.groupBy("pii_type").agg(F.sum("occurrences").cast("bigint").alias("replaced"))
 
@@ -97,21 +115,12 @@ def token_dictionary(cells: DataFrame, row_key: Sequence[str]) -> TableDictionar
     entries = numbered(sorted_once(distinct, ["pii_type"], ["first_seen"], "tokens"), ["pii_type"], "token_no").select(
         *KEY, "token_no", F.concat_ws("_", "pii_type", F.col("token_no").cast("string")).alias("token"), "occurrences"
     )
-    last = {
-        "pii_type": F.element_at(types, -1),
-        "chain": F.array_join(F.slice(types, 1, F.size(types) - 1), ">"),
-    }
-    finals = (
-        values.withColumns(last)
-        .join(entries.drop("occurrences", "token_no"), list(KEY))
-        .select("column_ord", "types", "raw", "token", "occurrences")
-    )
     # One row per column.
     sizes = values.groupBy("column").agg(
         F.sum(F.octet_length("raw") + F.lit(ENTRY_BYTES)).alias("bytes"), F.sum("occurrences").alias("cells")
     ).collect()
     return TableDictionary(
-        entries, finals, [r["column"] for r in sizes], sum(r["bytes"] for r in sizes), sum(r["cells"] for r in sizes)
+        entries, values, [r["column"] for r in sizes], sum(r["bytes"] for r in sizes), sum(r["cells"] for r in sizes)
     )
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-SMALL_PIECE = 1 << 18
+SMALL_PIECE = 1 << 15
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -389,6 +389,10 @@ ORACLES: dict[str, str] = {
     "profile_numeric_nulls": f"WITH p AS ({PEOPLE}) {numeric('p', PEOPLE_COLUMNS)}",
     "profile_top_values": top_values("orders", ORDER_COLUMNS),
     "profile_top_values_nulls": f"WITH p AS ({PEOPLE}) {top_values('p', PEOPLE_COLUMNS)}",
+    "profile_top_values_texts": """WITH c AS (SELECT 0 AS ord, 'lang' AS col, lang AS value FROM documents UNION ALL SELECT 1, 'text', text FROM documents),
+      k AS (SELECT ord, col, value, count(*) AS n FROM c GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY n DESC, CASE WHEN length(value) <= 64 THEN value ELSE left(value, 64) || sha256(value) END) AS rank FROM k)
+      SELECT CAST(ord AS INT) AS column_ord, col AS "column", value, n AS "count", CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""",
     "profile_duplicates": """SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_linenumber, l_quantity, l_discount, l_tax,
       l_returnflag, l_linestatus FROM lineitem)) AS duplicate_rows FROM lineitem""",
     "profile_duplicates_wide": "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS duplicate_rows FROM documents",

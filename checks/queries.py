@@ -88,7 +88,7 @@ def delimiter_fallback(spark, sf_dir):
     folders = [f"{root}/{i}" for i in range(len(delimited.DELIMITERS))]
     rows = [
         t.select(F.lit(d).alias("delimiter"), F.col("person_id").cast("bigint").alias("person_id"), "telefon", "city", "date_of_birth")
-        for d, t in delimited.read_by_delimiter(spark, folders).items()
+        for d, t in delimited.read_by_delimiter(spark, folders, always=True).items()
     ]
     result = rows[0]
     for other in rows[1:]:
@@ -154,6 +154,11 @@ def profile_top_values_nulls(spark, sf_dir):
     return profile_table.top_values(people(spark, sf_dir))
 
 
+@query
+def profile_top_values_texts(spark, sf_dir):
+    return profile_table.top_values(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 @query
 def profile_duplicates(spark, sf_dir):
     return profile_table.duplicate_rows(table(spark, sf_dir, "lineitem").drop("l_extendedprice", "l_shipdate", "l_partkey", "l_orderkey"))

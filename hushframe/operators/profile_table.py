@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.functions.text import canonical_text, is_atomic, is_missing, without_nan
+from hushframe.functions.text import canonical_text, is_atomic, is_missing, once, without_nan
 from hushframe.operators.ordered import running_total
+from hushframe.storage import written
 
 # Fixed value: values shown per column.
 TOP_VALUES = 5
 
+# A value of up to this many characters is counted as it is.
+KEY_CHARS = 64
+
 # Type names in a schema listing.
 TYPE_NAMES = {
     T.ByteType: "int8", T.ShortType: "int16", T.IntegerType: "int32", T.LongType: "int64",
@@ -158,11 +162,19 @@ def _ranked_medians(
     return proven | _ranked_medians(df, present, missed) if missed else proven
 
 
+def _value_key(value: Column) -> Column:
+    """A value, or in place of a long one its first characters and its SHA-256; no short value is as long as that."""
+    return F.when(F.length(value) <= KEY_CHARS, value).otherwise(
+        F.concat(F.substring(value, 1, KEY_CHARS), F.sha2(value, 256))
+    )
+
+
 def top_values(df: DataFrame, limit: int = TOP_VALUES, null_label: str = "nan") -> DataFrame:
-    """The most frequent values per column that is neither numeric nor boolean; ties go by value.
+    """The most frequent values per column that is neither numeric nor boolean.
 
-    A missing value counts as the text `null_label`. The ranking keeps `limit` rows per column and task before
-    the shuffle, so no task sees all values of a column.
+    A missing value counts as the text `null_label`. Ties go by value; among long values with the same first
+    characters, by digest. Long values do not travel: keys are counted, and the few long ones in the result are looked
+    up in a second pass. The ranking keeps `limit` rows per column and task before the shuffle.
     """
     columns = [
         (i, f) for i, f in enumerate(df.schema.fields)
@@ -171,23 +183,42 @@ def top_values(df: DataFrame, limit: int = TOP_VALUES, null_label: str = "nan")
     schema = "column_ord int, column string, value string, count bigint, rank int"
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("column_ord"),
-                F.lit(f.name).alias("column"),
-                F.coalesce(canonical_text(F.col(f"`{f.name}`"), f.dataType), F.lit(null_label)).alias("value"),
+    cells = df.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("column_ord"),
+                        F.lit(f.name).alias("column"),
+                        F.coalesce(canonical_text(F.col(f"`{f.name}`"), f.dataType), F.lit(null_label)).alias("value"),
+                    )
+                    for i, f in columns
+                ]
             )
-            for i, f in columns
-        ]
+        )
     )
-    frequent = Window.partitionBy("column_ord", "column").orderBy(F.desc("count"), "value")
-    return (
-        df.select(F.inline(cells))
-        .groupBy("column_ord", "column", "value").agg(F.count(F.lit(1)).alias("count"))
+    frequent = Window.partitionBy("column_ord", "column").orderBy(F.desc("count"), "key")
+    top = (
+        cells.select("column_ord", "column", _value_key(F.col("value")).alias("key"))
+        .groupBy("column_ord", "column", "key").agg(F.count(F.lit(1)).alias("count"))
         .withColumn("rank", F.row_number().over(frequent))
         .where(F.col("rank") <= limit)
     )
+    # `limit` rows per column.
+    top = written(top.select("column_ord", "column", "key", "count", "rank"), "top-values")
+    long_key = F.length("key") > KEY_CHARS
+    if top.where(long_key).isEmpty():
+        return top.withColumnRenamed("key", "value")
+    wanted = top.where(long_key).select("column_ord", "key")
+    long_values = (
+        cells.where(F.length("value") > KEY_CHARS)
+        .select("column_ord", "value", once(key=_value_key(F.col("value"))))
+        .join(F.broadcast(wanted), ["column_ord", "key"], "left_semi")
+        .groupBy("column_ord", "key").agg(F.min("value").alias("value"))
+    )
+    return top.join(long_values, ["column_ord", "key"], "left").select(
+        "column_ord", "column", F.coalesce("value", "key").alias("value"), "count", "rank"
+    )
 
 
 def duplicate_rows(df: DataFrame, by_digest: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.text import na_to_null
+from hushframe.storage import few_splits
 
 # Delimiters that a file may use.
 DELIMITERS = (",", ";", "\t", "|")
@@ -81,6 +82,12 @@ def typed(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     return df.select(*[casts[types[c]](F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def _count_of(line: Column, delimiter: str) -> Column:
+    """Delimiters outside quotes."""
+    unquoted = F.regexp_replace(line, '"[^"]*"', "")
+    return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit("")))
+
+
 def sniff_delimiters(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Per file, the delimiter whose count is the same in the most head lines; `path`, `delimiter`.
 
@@ -97,12 +104,11 @@ def sniff_delimiters(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
     # The first lines of each file are kept before the shuffle, so no task sees a whole file.
     head = Window.partitionBy("path").orderBy("at")
     lines = lines.withColumn("line", F.row_number().over(head)).where(F.col("line") <= HEAD_LINES)
-    unquoted = F.regexp_replace("value", '"[^"]*"', "")
     counts = F.array(
         *[
             F.struct(
                 F.lit(i).alias("preference"), F.lit(d).alias("delimiter"),
-                (F.length(unquoted) - F.length(F.replace(unquoted, F.lit(d), F.lit("")))).alias("n"),
+                _count_of(F.col("value"), d).alias("n"),
             )
             for i, d in enumerate(DELIMITERS)
         ]
@@ -118,15 +124,35 @@ def sniff_delimiters(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
     return per_file.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == 1).select("path", "delimiter")
 
 
+def failing_files(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",") -> DataFrame:
+    """Files that do not parse with `delimiter`: some line has more fields than the first one; `path`."""
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), _count_of(F.col("value"), delimiter).alias("n"),
+    )
+    # Per split first, where the number of a line orders the lines; then the first split of the file.
+    per_split = lines.groupBy("path", "start").agg(F.max("n").alias("most"), F.min_by("n", "at").alias("first"))
+    per_file = per_split.groupBy("path").agg(F.max("most").alias("most"), F.min_by("first", "start").alias("first"))
+    return per_file.where(F.col("most") > F.col("first")).select("path")
+
+
 def read_by_delimiter(
-    spark: SparkSession, paths: Sequence[str], multiline: bool = True
+    spark: SparkSession, paths: Sequence[str], multiline: bool = True, always: bool = False
 ) -> dict[str, DataFrame]:
     """One table per delimiter in use: the files of a delimiter are read together.
 
-    The list of files, not their content, passes through the driver.
+    Files are read with commas, and only those that do not parse so get another delimiter: a file whose lines hold no
+    comma at all stays a table of one column. With `always`, the delimiter of every file is looked for. The list of
+    files, not their content, passes through the driver.
     """
+    sniffed = sniff_delimiters(spark, paths)
+    if not always:
+        failing = failing_files(spark, paths).withColumn("failing", F.lit(True))
+        sniffed = sniffed.join(failing, "path", "left").select(
+            "path", F.when(F.col("failing"), F.col("delimiter")).otherwise(",").alias("delimiter")
+        )
     by_delimiter: dict[str, list[str]] = {}
-    for row in sniff_delimiters(spark, paths).orderBy("path").collect():
+    for row in sniffed.orderBy("path").collect():
         by_delimiter.setdefault(row["delimiter"], []).append(row["path"])
     return {d: read_text_table(spark, files, d, multiline=multiline) for d, files in by_delimiter.items()}
 
@@ -134,7 +160,7 @@ def read_by_delimiter(
 def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """Number the rows of a file source from 0 in file order, for tables without a key.
 
-    Counts per file split give the offsets; they join back without a limit on the number of splits.
+    Counts per file split give the offsets, which are broadcast if their number is known to be small.
     """
     split = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
     numbered = df.select("*", *[c.alias(n) for n, c in split.items()]).withColumn(MONO_ID, F.monotonically_increasing_id())
@@ -145,7 +171,7 @@ def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
     return (
-        numbered.join(offsets, ["_file", "_start"])
+        numbered.join(F.broadcast(offsets) if few_splits(df) else offsets, ["_file", "_start"])
         .withColumn(name, F.col(MONO_ID) - F.col("_first") + F.col("_before"))
         .drop("_file", "_start", MONO_ID, "_first", "_before")
     )

@@ -35,14 +35,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _split_bytes(df: DataFrame) -> int:
+    return int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
+def few_splits(df: DataFrame, limit: int = 100_000) -> bool:
+    """True if the files of `df` are read in at most `limit` splits, so that one row per split may be broadcast."""
+    return _estimated_bytes(df) // _split_bytes(df) + len(df.inputFiles()) <= limit
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that is smaller than one scan split per core.
+    """Use all cores on an input that is smaller than one scan split.
 
     A small file of one row group is read by a single task. The estimate of the optimizer decides, so a large
     input, which has splits enough, is never shuffled.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(min(cores, estimate // SMALL_PIECE + 1)) if estimate < split else df
+    estimate = _estimated_bytes(df)
+    if estimate >= _split_bytes(df):
+        return df
+    return df.repartition(min(df.sparkSession.sparkContext.defaultParallelism, estimate // SMALL_PIECE + 1))

@@ -58,10 +58,20 @@ def test_delimiters(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r["delimiter"] for r in delimited.sniff_delimiters(spark, str(tmp_path)).collect()}
     assert got == {"a.csv": ",", "b.csv": ";", "c.csv": "\t", "d.csv": "|", "e.csv": ","}
     files = [str(tmp_path / f"{n}.csv") for n in "abcd"]
-    tables = delimited.read_by_delimiter(spark, files)
+    tables = delimited.read_by_delimiter(spark, files, always=True)
     assert {d: (t.columns, t.count()) for d, t in tables.items()} == {d: (["x", "y"], 30) for d in ",;\t|"}
 
 
+def test_other_delimiters_are_a_fallback(spark, tmp_path):
+    write(tmp_path / "one.csv", "x;y\n1;2\n")
+    write(tmp_path / "bad.csv", "x;y\n1;2,5\n3;4,5\n")
+    write(tmp_path / "good.csv", 'x,y\n1,"2,5"\n')
+    tables = delimited.read_by_delimiter(spark, [str(tmp_path / f"{n}.csv") for n in ("one", "bad", "good")])
+    assert sorted(tables) == [",", ";"]
+    assert tables[";"].columns == ["x", "y"] and [tuple(r) for r in tables[";"].collect()] == [("1", "2,5"), ("3", "4,5")]
+    assert [r["path"].rsplit("/", 1)[1] for r in delimited.failing_files(spark, str(tmp_path)).collect()] == ["bad.csv"]
+
+
 def test_row_index(spark, tmp_path):
     lines = [f"{i},{'v' * (i % 50)}" for i in range(5000)]
     write(tmp_path / "t.csv", "i,v\n" + "\n".join(lines) + "\n")

@@ -434,6 +434,9 @@ ORACLES: dict[str, str] = {
     "replaced_counts": f"{PEOPLE_STRICT} SELECT pii_type, count(*) AS replaced FROM f GROUP BY pii_type",
     "token_dictionary_text": f"{notes_findings('strict')}, {text_tokens('doc_id')} SELECT doc_id, pii_type, raw, token_no, token FROM dict",
     "anonymized_notes": f"{notes_findings('strict')}, {text_tokens('doc_id')} {replaced_text('n', 'doc_id', 'text')}",
+    "anonymized_notes_effective": f"""{notes_findings('strict').replace(', t AS (', ', t0 AS (', 1)}, t AS (
+      SELECT * FROM t0 WHERE NOT (line_no = 2 AND pii_type = 'PHONE' AND doc_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))),
+      {text_tokens('doc_id')} {replaced_text('n', 'doc_id', 'text')}""",
     "anonymized_documents": f"WITH {text_findings('documents', 'doc_id', 'text', 'strict')}, {text_tokens('doc_id')} {replaced_text('documents', 'doc_id', 'text')}",
     "context_schema": f"""SELECT 'people' AS dataset, 'schema' AS scope, col AS "column", dtype, (SELECT count(*) FROM customer) AS row_count
       FROM (VALUES {schema_rows(PEOPLE_COLUMNS)}) v(ord, col, dtype)""",

@@ -385,6 +385,15 @@ def anonymized_notes(spark, sf_dir):
     return anonymize_text.anonymize_text(notes(spark, sf_dir), "text", "strict", AS_OF)
 
 
+@query
+def anonymized_notes_effective(spark, sf_dir):
+    """Reviewed as safe: the phone numbers in the second line of the notes of customers with a negative balance."""
+    safe = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(
+        F.col("c_custkey").alias("doc_id"), F.lit(2).alias("line_no"), F.lit("PHONE").alias("pii_type"), F.lit("regex_text").alias("rule")
+    )
+    return anonymize_text.anonymize_text(notes(spark, sf_dir), "text", "strict", AS_OF, safe, ["doc_id"])
+
+
 @query
 def anonymized_documents(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))

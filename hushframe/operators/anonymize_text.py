@@ -15,14 +15,39 @@ from hushframe.operators import rules
 TEXT_TYPES = ("EMAIL", "PHONE", "RC", "BANK", "DOB", "ADDRESS")
 
 
-def _found_values(text: Column, mode: PrivacyMode, as_of: Column) -> Column:
-    """The found values of a text in finding order, as array<struct<pii_type,raw>>."""
+MARKS = "_marks"
+
+
+def _found_values(text: Column, mode: PrivacyMode, as_of: Column, marks: Column | None) -> Column:
+    """The found values of a text in finding order, as array<struct<pii_type,raw>>.
+
+    `marks` is an array of `line|type|rule` texts; findings that they name are left out.
+    """
     with_hints = mode is not PrivacyMode.RELAXED
-    lines = F.filter(lines_of(text), lambda line: rules.gate(line, with_hints))
-    found = F.flatten(F.transform(lines, lambda line: rules.line_findings(line, mode, as_of)))
+    lines = F.transform(lines_of(text), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("line_no")))
+    worth = F.filter(lines, lambda at: rules.gate(at["line"], with_hints))
+
+    def of_line(at: Column) -> Column:
+        found = rules.line_findings(at["line"], mode, as_of)
+        if marks is None:
+            return found
+        return F.filter(
+            found,
+            lambda f: ~F.array_contains(marks, F.concat_ws("|", at["line_no"].cast("string"), f["pii_type"], f["rule"])),
+        )
+
+    found = F.flatten(F.transform(worth, of_line))
     return F.transform(found, lambda f: F.struct(f["pii_type"].alias("pii_type"), f["raw_value"].alias("raw")))
 
 
+def _with_marks(df: DataFrame, key: Sequence[str], safe: DataFrame) -> DataFrame:
+    """Add the marks of each text; a text has no more of them than findings."""
+    mark = F.concat_ws("|", F.col("line_no").cast("string"), "pii_type", "rule")
+    marks = safe.groupBy(*key).agg(F.collect_set(mark).alias(MARKS))
+    empty = F.array().cast("array<string>")
+    return df.join(marks, list(key), "left").withColumn(MARKS, F.coalesce(F.col(MARKS), empty))
+
+
 def _entries(found: Column) -> Column:
     """The tokens of a text in replacement order: longer values first, then by first appearance.
 
@@ -65,9 +90,11 @@ def _entries(found: Column) -> Column:
     return let(ordered, number)
 
 
-def token_entries(text: Column, mode: str | PrivacyMode, as_of: date | str | None = None) -> Column:
+def token_entries(
+    text: Column, mode: str | PrivacyMode, as_of: date | str | None = None, marks: Column | None = None
+) -> Column:
     """The token entries of a text as one array column; null for a text without a found value."""
-    found = _found_values(text, parse_mode(mode), rules.as_of_column(as_of))
+    found = _found_values(text, parse_mode(mode), rules.as_of_column(as_of), marks)
     return let(found, lambda f: F.when(F.size(f) > 0, _entries(f)))
 
 
@@ -102,14 +129,24 @@ def _replaced_counts(text: Column, entries: Column) -> Column:
 
 
 def anonymize_text(
-    df: DataFrame, text: str, mode: str | PrivacyMode, as_of: date | str | None = None
+    df: DataFrame,
+    text: str,
+    mode: str | PrivacyMode,
+    as_of: date | str | None = None,
+    safe: DataFrame | None = None,
+    key: Sequence[str] = (),
 ) -> DataFrame:
-    """Replace every found value everywhere in its text, longer ones first; the other columns stay."""
-    value = F.col(text)
+    """Replace every found value everywhere in its text, longer ones first; the other columns stay.
+
+    `safe` marks findings that the Strict mode leaves out: the text key `key`, `line_no`, `pii_type`, `rule`.
+    """
+    value, marks, columns = F.col(text), None, df.columns
+    if safe is not None and parse_mode(mode) is PrivacyMode.STRICT:
+        df, marks = _with_marks(df, key, safe), F.col(MARKS)
     replaced = let(
-        token_entries(value, mode, as_of), lambda e: F.when(e.isNull(), value).otherwise(_replaced(value, e))
+        token_entries(value, mode, as_of, marks), lambda e: F.when(e.isNull(), value).otherwise(_replaced(value, e))
     )
-    return df.withColumn(text, replaced)
+    return df.withColumn(text, replaced).select(*columns)
 
 
 def replaced_counts(

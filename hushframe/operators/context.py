@@ -278,6 +278,13 @@ def release_payload(context: DataFrame, task: Column, limit_bytes: int = PAYLOAD
     return kept.withColumn("still_over", F.col("payload_bytes") > limit_bytes)
 
 
-def released_text(df: DataFrame, text: str, mode: str | PrivacyMode, as_of: date | str | None = None) -> DataFrame:
+def released_text(
+    df: DataFrame,
+    text: str,
+    mode: str | PrivacyMode,
+    as_of: date | str | None = None,
+    safe: DataFrame | None = None,
+    key: Sequence[str] = (),
+) -> DataFrame:
     """Add `released`, the anonymized version of a text, next to the original."""
-    return anonymize_text(df.withColumn("released", F.col(text)), "released", mode, as_of)
+    return anonymize_text(df.withColumn("released", F.col(text)), "released", mode, as_of, safe, key)

@@ -80,9 +80,10 @@ def release_texts(
     as_of: date | str | None,
     scope: str | ContextScope,
     task: Column,
+    safe: DataFrame | None = None,
     limit_bytes: int = PAYLOAD_LIMIT_BYTES,
 ) -> DataFrame:
     """Anonymize every text and build its guarded payload, all inside its row."""
-    released = released_text(df.select(*key, text), text, mode, as_of)
+    released = released_text(df.select(*key, text), text, mode, as_of, safe, key)
     context = text_context(released, key, text, mode, scope, released="released")
     return release_payload(context, task, limit_bytes)

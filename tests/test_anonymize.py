@@ -132,3 +132,14 @@ def test_texts_against_model(spark, as_of, mode):
     for r in ax.replaced_counts(df, "text", mode, as_of, ["d"]).collect():
         counts.setdefault(r["d"], {})[r["pii_type"]] = r["replaced"]
     assert counts == {d: w[2] for d, w in want.items() if w[2]}
+
+
+def test_safe_marks_in_texts(spark, as_of):
+    df = spark.createDataFrame([(1, "777888999\n777888999 a@b.cz"), (2, "777888999")], "d int, text string")
+    safe = spark.createDataFrame([(1, 1, "PHONE", "regex_text"), (1, 2, "PHONE", "regex_text")], "d int, line_no int, pii_type string, rule string")
+    got = {r["d"]: r["text"] for r in ax.anonymize_text(df, "text", "strict", as_of, safe, ["d"]).collect()}
+    assert got == {1: "777888999\n777888999 EMAIL_1", 2: "PHONE_1"}
+    # A value that is safe on one line is replaced everywhere as long as another line is not.
+    got = {r["d"]: r["text"] for r in ax.anonymize_text(df, "text", "strict", as_of, safe.where("line_no = 1"), ["d"]).collect()}
+    assert got[1] == "PHONE_1\nPHONE_1 EMAIL_1"
+    assert ax.anonymize_text(df, "text", "relaxed", as_of, safe, ["d"]).where("text like '777%'").count() == 0

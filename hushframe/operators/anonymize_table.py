@@ -210,13 +210,15 @@ def _join_back(
 def _look_up(
     df: DataFrame, dictionary: TableDictionary, touched: list[tuple[int, str]], extra: list[Column]
 ) -> DataFrame:
-    """Per column, a broadcast of its own tokens by text."""
+    """One broadcast of all tokens by column and text, reused by the look-up of every column."""
     ords = {name: i for i, name in touched}
-    keyed = df.select("*", *[_text(df, name).alias(f"_text_{i}") for name, i in ords.items()])
+    texts = {f"_text_{i}": _text(df, name) for name, i in ords.items()}
+    keyed = df.select("*", *[text.alias(name) for name, text in texts.items()])
+    keyed = keyed.withColumns({f"_key_{i}": F.concat(F.lit(f"{i}\n"), f"_text_{i}") for i in ords.values()})
+    tokens = dictionary.finals.select(F.concat(F.col("column_ord").cast("string"), F.lit("\n"), "raw").alias("key"), "token")
     for i in ords.values():
-        side = dictionary.finals.where(F.col("column_ord") == i)
-        side = side.select(F.col("raw").alias(f"_text_{i}"), F.col("token").alias(f"_token_{i}"))
-        keyed = keyed.join(F.broadcast(side), f"_text_{i}", "left")
+        side = tokens.select(F.col("key").alias(f"_key_{i}"), F.col("token").alias(f"_token_{i}"))
+        keyed = keyed.join(F.broadcast(side), f"_key_{i}", "left")
     return keyed.select(
         *[
             F.coalesce(f"_token_{ords[c]}", f"_text_{ords[c]}").alias(c) if c in ords else F.col(f"`{c}`")

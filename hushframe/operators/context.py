@@ -7,7 +7,6 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hushframe.functions.text import is_atomic, lines_of, once, without_nan
 from hushframe.modes import SAMPLE_LIMIT, ContextScope, PrivacyMode, parse_mode, parse_scope

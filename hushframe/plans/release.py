@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from hushframe.modes import ContextScope, PrivacyMode, parse_mode
 from hushframe.operators import report

@@ -65,6 +65,17 @@ def is_space(flat: np.ndarray) -> np.ndarray:
     return (flat == 32) | ((flat >= 9) & (flat <= 13))
 
 
+def word_spans(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts start and end; no word reaches from one text into the next."""
+    space = is_space(flat)
+    edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    cuts = np.unique(offsets[1:-1])
+    cuts = cuts[(cuts > 0) & (cuts < len(flat))]
+    cuts = cuts[~space[cuts - 1] & ~space[cuts]]
+    return (np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))) if len(cuts) else (starts, ends)
+
+
 _ODD = 0x9E3779B97F4A7C15
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 

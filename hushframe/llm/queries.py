@@ -14,8 +14,10 @@ from hushframe.llm.chat import format_turns, read_back
 from hushframe.llm.fingerprints import digest, edited_fingerprints
 from hushframe.llm.jaccard_join import jaccard_components
 from hushframe.llm.labelled import held_out
+from hushframe.llm.line_dedup import dedup_lines
 from hushframe.llm.mixing import mix
 from hushframe.llm.quality_rules import apply_rules
+from hushframe.llm.suffix_dedup import dedup_suffixes
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 # A conversation that speaks the template's own control strings.
@@ -84,6 +86,29 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return made.select(
+        "row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
+        F.array_join("removed", ",").alias("removed_lines"), F.sha2(text, 256).alias("kept_sha256"),
+    )
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = dedup_suffixes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
@@ -93,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}

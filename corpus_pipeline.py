@@ -37,9 +37,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates; rows with its id that repeat it go, too.
+    """The first document of each group of near duplicates.
 
-    Documents without an id or without words are in no group and stay.
+    Documents without an id or without words are in no group and stay. Rows with the same id stay or go together.
     """
     groups = jaccard_components(docs, rule=NEAR).filter("component_id is not null and doc_id <> component_id")
     kept = docs.join(groups.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -16,6 +16,7 @@ from hushframe.llm.jaccard_join import jaccard_components
 from hushframe.llm.labelled import held_out
 from hushframe.llm.line_dedup import dedup_lines
 from hushframe.llm.mixing import mix
+from hushframe.llm.oracles import ORACLES as ORACLES
 from hushframe.llm.quality_rules import apply_rules
 from hushframe.llm.suffix_dedup import dedup_suffixes
 
@@ -123,4 +124,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+

@@ -293,14 +293,17 @@ def schema_rows(columns) -> str:
 
 REQUESTS = f"""
 {notes_findings('relaxed')},
+known AS (SELECT c_custkey AS dataset, c_custkey % 5 <> 0 AND c_custkey IN (SELECT doc_id FROM t) AS found
+          FROM customer WHERE c_custkey % 6 <> 0),
 r AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN ' ' || chr(10) || chr(9) ELSE text END AS prompt,
-             length(text) > 60 AS submitted, conv_id % 3 = 0 AS wants, turn = 0 AS available,
-             conv_id % 150 IN (SELECT doc_id FROM t WHERE pii_type = 'EMAIL') AS has_pii
-      FROM conversations WHERE role = 'user')
+             length(text) > 60 AND (conv_id + turn) % 11 <> 1 AS submitted, conv_id % 3 = 0 AND (conv_id + turn) % 11 <> 2 AS wants,
+             turn = 0 AND (conv_id + turn) % 11 <> 3 AS available, found AS has_pii, found IS NOT NULL AS scanned,
+             coalesce(found, true) AS maybe
+      FROM conversations LEFT JOIN known ON conv_id % 13 <> 0 AND dataset = conv_id % 150 WHERE role = 'user')
 """
 REASON = (
-    "CASE WHEN NOT submitted THEN 'submit_not_clicked' {extra} WHEN " + strip("prompt") + " = '' THEN 'empty_prompt'"
-    " WHEN has_pii AND NOT {used} THEN 'pii_requires_anonymization' ELSE 'ok' END"
+    "CASE WHEN NOT submitted THEN 'submit_not_clicked' WHEN NOT scanned THEN 'not_scanned' {extra} WHEN " + strip("prompt")
+    + " = '' THEN 'empty_prompt' WHEN has_pii AND NOT {used} THEN 'pii_requires_anonymization' ELSE 'ok' END"
 )
 
 
@@ -376,6 +379,9 @@ ORACLES: dict[str, str] = {
     "csv_round_trip": f"SELECT {', '.join(f'nullif({canonical(c, t)}, {chr(39)*2}) AS {c}' for c, t in PEOPLE_COLUMNS)} FROM ({PEOPLE}) p",
     "delimiter_fallback": f"""SELECT CASE person_id % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter,
       person_id, telefon, city, date_of_birth FROM ({PEOPLE}) p""",
+    "anonymized_keyless": f"""{PEOPLE_STRICT}, ends AS (SELECT person_id, col, arg_max(pii_type, rule_order) AS last FROM f GROUP BY ALL),
+      c AS ({" UNION ALL ".join(f"SELECT person_id, '{c}' AS col, {c} AS v FROM p" for c in ("email", "telefon", "rodne_cislo", "city", "note"))})
+      SELECT col AS "column", coalesce(last || '_', v) AS form, count(*) AS cells FROM c LEFT JOIN ends USING (person_id, col) GROUP BY ALL""",
     "text_source": r"SELECT page_id, md5(regexp_replace(html || chr(13) || chr(10) || 'end' || chr(13), '\r\n?', chr(10), 'g')) AS digest FROM pages",
     "preview_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20",
     "preview_text": "SELECT doc_id, left(text, 5000) AS preview FROM documents",
@@ -389,13 +395,15 @@ ORACLES: dict[str, str] = {
     "profile_numeric_nulls": f"WITH p AS ({PEOPLE}) {numeric('p', PEOPLE_COLUMNS)}",
     "profile_top_values": top_values("orders", ORDER_COLUMNS),
     "profile_top_values_nulls": f"WITH p AS ({PEOPLE}) {top_values('p', PEOPLE_COLUMNS)}",
-    "profile_top_values_texts": """WITH c AS (SELECT 0 AS ord, 'lang' AS col, lang AS value FROM documents UNION ALL SELECT 1, 'text', text FROM documents),
+    "profile_top_values_texts": """WITH c AS (SELECT 1 AS ord, 'text' AS col, text AS value FROM documents
+        UNION ALL SELECT 2, 'lang', lang FROM documents UNION ALL SELECT 3, 'source', source FROM documents),
       k AS (SELECT ord, col, value, count(*) AS n FROM c GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY n DESC, CASE WHEN length(value) <= 64 THEN value ELSE left(value, 64) || sha256(value) END) AS rank FROM k)
       SELECT CAST(ord AS INT) AS column_ord, col AS "column", value, n AS "count", CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""",
-    "profile_duplicates": """SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_linenumber, l_quantity, l_discount, l_tax,
-      l_returnflag, l_linestatus FROM lineitem)) AS duplicate_rows FROM lineitem""",
-    "profile_duplicates_wide": "SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS duplicate_rows FROM documents",
+    "profile_duplicates": """WITH l AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)
+      SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM l)) AS duplicate_rows FROM l""",
+    "profile_duplicates_wide": """WITH d AS (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE lang = 'en')
+      SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS duplicate_rows FROM d""",
     "text_profile": f"""SELECT doc_id, length(text) AS char_count, CAST({line_count('text')} AS BIGINT) AS line_count,
       CAST({word_count('text')} AS BIGINT) AS word_count FROM documents""",
     "keywords_by_doc": f"WITH {keywords('doc_id', 'pos')} SELECT doc_id, rank, term, \"count\" FROM ranked WHERE rank <= 15",
@@ -405,7 +413,9 @@ ORACLES: dict[str, str] = {
     "pii_cells_events": f"WITH {cell_findings('events', EVENT_COLUMNS, 'event_id', 'balanced')} {findings_select('event_id', 'events')}",
     "pii_text_documents": text_detection("documents", "doc_id", "text", "strict", "documents"),
     "pii_text_pages": text_detection("pages", "page_id", "html", "strict", "pages"),
-    "pii_text_conversations": text_detection("conversations", "conv_id, turn", "text", "balanced", "conversations"),
+    "pii_text_conversations": f"""WITH c AS (SELECT conv_id, turn, text || CASE WHEN (conv_id + turn) % 5 = 0
+        THEN chr(10) || 'novak' || conv_id || '@example.com, +420 602 123 456' ELSE '' END AS text FROM conversations),
+      {text_findings('c', 'conv_id, turn', 'text', 'balanced')} {text_select('conv_id, turn', 'conversations')}""",
     "pii_report_totals": f"{PEOPLE_STRICT} SELECT pii_type, count(*) AS total FROM f GROUP BY pii_type",
     "pii_report_columns": f"{PEOPLE_STRICT} SELECT pii_type, string_agg(DISTINCT col, ',' ORDER BY col) AS columns FROM f GROUP BY pii_type",
     "pii_report_rows": f"{PEOPLE_STRICT} SELECT DISTINCT pii_type, person_id FROM f",
@@ -413,7 +423,16 @@ ORACLES: dict[str, str] = {
     "pii_effective_strict": f"{PEOPLE_STRICT}, {SAFE}, {EFFECTIVE} {findings_select('person_id', 'people', 'e')}",
     "pii_masked_samples": f"SELECT * EXCLUDE (raw_value) FROM ({PEOPLE_STRICT} {findings_select('person_id', 'people')}) ORDER BY column_ord, person_id, rule_order LIMIT 200",
     "audit_detection_summary": f"""{PEOPLE_STRICT} SELECT 'pii_detection' AS event, 'people' AS dataset, 'Strict' AS mode, pii_type AS subject,
-      'has_pii=true' AS detail, count(*) AS amount FROM f GROUP BY pii_type""",
+      'has_pii=true' AS detail, count(*) AS amount FROM f GROUP BY pii_type
+      UNION ALL SELECT 'pii_detection', 'regions', 'Strict', NULL, 'has_pii=false', 0""",
+    "audit_events": f"""{REQUESTS}
+      SELECT 'profiling_completed' AS event, 'people' AS dataset, NULL AS mode, 'csv' AS subject, NULL AS detail, count(*) AS amount FROM customer
+      UNION ALL SELECT 'anonymization_completed', 'people', 'Strict', pii_type, NULL, count(*) FROM ({PEOPLE_STRICT} SELECT pii_type FROM f) x GROUP BY pii_type
+      UNION ALL SELECT 'safe_marked', CASE WHEN c_acctbal < 0 OR c_custkey % 2 = 0 THEN 'people' ELSE 'others' END,
+        CASE WHEN c_acctbal < 0 OR c_custkey % 2 = 1 THEN 'Strict' ELSE 'Relaxed' END, pii_type, mark, 1
+        FROM customer, (VALUES ('ADDRESS', 'note/postcode_heuristic'), ('NAME', 'name/column_name_heuristic')) m(pii_type, mark)
+      UNION ALL SELECT 'release_decided', CASE WHEN conv_id % 13 <> 0 THEN CAST(conv_id % 150 AS VARCHAR) END, 'Strict',
+        {REASON.format(extra='', used='wants')}, 'schema/original', turn FROM r""",
     "mask_emails": f"""WITH p AS ({PEOPLE}) SELECT person_id, {mask_email('email')} AS email, {mask_email('note')} AS note,
       {mask_email(f"regexp_extract(note, '{EMAIL}')")} AS note_match FROM p""",
     "mask_phones": f"WITH p AS ({PEOPLE}) SELECT person_id, {mask_phone('telefon')} AS telefon, {mask_phone('city')} AS city FROM p",
@@ -457,12 +476,17 @@ ORACLES: dict[str, str] = {
     "payload_size_guard": _payload_guard(),
     "release_decisions": f"{REQUESTS} SELECT conv_id, turn, has_pii, {REASON.format(extra='', used='wants')} AS reason FROM r",
     "released_requests": f"{REQUESTS} SELECT conv_id, turn FROM r WHERE {REASON.format(extra='', used='wants')} = 'ok'",
-    "release_source": f"""{REQUESTS} SELECT conv_id, turn, CASE WHEN has_pii OR wants THEN 'anonymized' ELSE 'original' END AS source,
-      (has_pii OR wants) AND NOT available AS source_missing,
-      {REASON.format(extra="WHEN (has_pii OR wants) AND NOT available THEN 'anonymized_missing'", used='(has_pii OR wants)')} AS reason FROM r""",
+    "release_source": f"""{REQUESTS} SELECT conv_id, turn, CASE WHEN maybe OR wants THEN 'anonymized' ELSE 'original' END AS source,
+      (maybe OR wants) AND NOT available AS source_missing,
+      {REASON.format(extra="WHEN (maybe OR wants) AND NOT available THEN 'anonymized_missing'", used='(maybe OR wants)')} AS reason FROM r""",
     "conversation_newest_first": """WITH g AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)
         OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn_group FROM conversations)
       SELECT conv_id, turn, role, text, turn_group, row_number() OVER (PARTITION BY conv_id ORDER BY turn_group DESC, turn) AS position FROM g""",
+    "conversation_tied_turns": """WITH m AS (SELECT CASE WHEN conv_id % 3 = 0 THEN -1 ELSE conv_id END AS conv_id, (conv_id * 64 + turn) // 2 AS turn, role, text FROM conversations),
+      g AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text
+              ROWS UNBOUNDED PRECEDING) AS BIGINT) AS turn_group FROM m)
+      SELECT conv_id, turn, role, md5(text) AS digest, turn_group,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn_group DESC, turn, role, text) AS position FROM g""",
     "conversation_append": f"""SELECT conv_id, turn, role, text FROM conversations
       UNION ALL SELECT doc_id, coalesce(last, -1) + step, CASE step WHEN 1 THEN 'user' ELSE 'assistant' END,
         CASE step WHEN 1 THEN {strip("'  ' || lang || chr(10)")} ELSE source END
@@ -475,6 +499,7 @@ for _mode in ("strict", "balanced", "relaxed"):
 for _mode in ("strict", "relaxed"):
     ORACLES[f"pii_text_notes_{_mode}"] = f"{notes_findings(_mode)} {text_select('doc_id', 'notes')}"
 ORACLES["anonymized_people_joined"] = ORACLES["anonymized_people"]
+ORACLES["anonymized_keyless_joined"] = ORACLES["anonymized_keyless"]
 # Substitutions that took place: lengths before and after each step of the fold.
 ORACLES["replaced_counts_text"] = f"""WITH RECURSIVE n AS ({NOTES}), {text_findings('n', 'doc_id', 'text', 'strict')}, {text_tokens('doc_id')},
   ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(raw) DESC, first_at) AS step FROM dict),

@@ -49,11 +49,6 @@ def as_text(df: DataFrame) -> DataFrame:
 # Sources and sinks
 
 
-@query
-def file_catalog(spark, sf_dir):
-    return catalog.file_catalog(spark, sf_dir, supported=[".parquet"]).withColumn("shown", format_size(F.col("size_bytes")))
-
-
 @query
 def catalog_filters(spark, sf_dir):
     low, high = catalog.size_bounds(1, 4)
@@ -156,17 +151,21 @@ def profile_top_values_nulls(spark, sf_dir):
 
 @query
 def profile_top_values_texts(spark, sf_dir):
-    return profile_table.top_values(table(spark, sf_dir, "documents").select("lang", "text"))
+    return profile_table.top_values(table(spark, sf_dir, "documents"))
 
 
 @query
 def profile_duplicates(spark, sf_dir):
-    return profile_table.duplicate_rows(table(spark, sf_dir, "lineitem").drop("l_extendedprice", "l_shipdate", "l_partkey", "l_orderkey"))
+    """All columns; the first lines of the orders come twice."""
+    lines = table(spark, sf_dir, "lineitem")
+    return profile_table.duplicate_rows(lines.unionByName(lines.where("l_linenumber = 1")))
 
 
 @query
 def profile_duplicates_wide(spark, sf_dir):
-    return profile_table.duplicate_rows(table(spark, sf_dir, "documents").select("text", "lang"), by_digest=True)
+    """All columns; the English documents come twice."""
+    docs = table(spark, sf_dir, "documents")
+    return profile_table.duplicate_rows(docs.unionByName(docs.where("lang = 'en'")), by_digest=True)
 
 
 @query
@@ -232,9 +231,11 @@ def pii_text_pages(spark, sf_dir):
 
 @query
 def pii_text_conversations(spark, sf_dir):
-    return detect.detect_text(
-        spread(table(spark, sf_dir, "conversations")), ["conv_id", "turn"], "text", "balanced", AS_OF, "conversations"
-    )
+    """Every fifth turn leaves an address and a number."""
+    contact = F.concat("text", F.lit("\nnovak"), F.col("conv_id").cast("string"), F.lit("@example.com, +420 602 123 456"))
+    turns = spread(table(spark, sf_dir, "conversations"))
+    left = turns.select("conv_id", "turn", F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, contact).otherwise(F.col("text")).alias("text"))
+    return detect.detect_text(left, ["conv_id", "turn"], "text", "balanced", AS_OF, "conversations")
 
 
 def _pii_notes(mode: str) -> Query:
@@ -273,14 +274,20 @@ def pii_has_pii(spark, sf_dir):
 
 
 def _safe(spark, sf_dir):
-    """Reviewed as safe: the postcodes in notes and the names of customers with a negative balance."""
+    """Reviewed as safe: the postcodes in notes and the names of customers with a negative balance.
+
+    Marks of another dataset and of another mode, for all other customers, must change nothing.
+    """
     pairs = F.array(
         F.struct(F.lit("note").alias("column"), F.lit("ADDRESS").alias("pii_type"), F.lit("postcode_heuristic").alias("rule")),
         F.struct(F.lit("name").alias("column"), F.lit("NAME").alias("pii_type"), F.lit("column_name_heuristic").alias("rule")),
     )
-    return table(spark, sf_dir, "customer").where("c_acctbal < 0").select(
-        F.lit("people").alias("dataset"), F.lit("Strict").alias("mode"), F.col("c_custkey").alias("person_id"), F.inline(pairs)
-    )
+    own = F.col("c_acctbal") < 0
+    return table(spark, sf_dir, "customer").select(
+        F.when(own | (F.col("c_custkey") % 2 == 0), "people").otherwise("others").alias("dataset"),
+        F.when(own | (F.col("c_custkey") % 2 == 1), "Strict").otherwise("Relaxed").alias("mode"),
+        F.col("c_custkey").alias("person_id"), F.inline(pairs),
+    )
 
 
 @query
@@ -295,7 +302,30 @@ def pii_masked_samples(spark, sf_dir):
 
 @query
 def audit_detection_summary(spark, sf_dir):
-    return audit.detection_summary(_found(spark, sf_dir), "strict")
+    """People, and the regions, which are scanned and clean."""
+    regions = detect.detect_table(table(spark, sf_dir, "region"), ["r_regionkey"], "strict", AS_OF, "regions")
+    names = ["dataset", "pii_type"]
+    found = _found(spark, sf_dir).select(names).unionByName(regions.select(names))
+    scanned = spark.range(1).select(F.explode(F.array(F.lit("people"), F.lit("regions"))).alias("dataset"))
+    return audit.detection_summary(found, "strict", scanned)
+
+
+@query
+def audit_events(spark, sf_dir):
+    """The events of the other steps, for people and for the requests."""
+    df = people(spark, sf_dir)
+    cells = detect.detect_cells(df, ["person_id"], "strict", AS_OF)
+    replaced = anonymize_table.token_dictionary(cells, ["person_id"]).replaced_counts()
+    decided = gate.release_decisions(_with_state(spark, sf_dir).withColumn("use_anonymized", F.col("wants_anonymized")))
+    decided = decided.withColumns({
+        "mode": F.lit("Strict"), "scope": F.lit("schema"), "source": F.lit("original"), "sample_rows": F.col("turn"),
+    })
+    return (
+        audit.profiling_completed(profile_table.counts(df), "people", "csv")
+        .unionByName(audit.anonymization_completed(replaced, "people", "strict"))
+        .unionByName(audit.safe_marked(_safe(spark, sf_dir)))
+        .unionByName(audit.release_decided(decided))
+    )
 
 
 # Masks
@@ -303,8 +333,7 @@ def audit_detection_summary(spark, sf_dir):
 
 @query
 def mask_emails(spark, sf_dir):
-    df = people(spark, sf_dir).where(F.col("email").isNotNull() | F.col("note").isNotNull())
-    return df.select(
+    return people(spark, sf_dir).select(
         "person_id", mask_email(F.col("email")).alias("email"), mask_email(F.col("note")).alias("note"),
         mask_email(F.col("note"), rules.EMAIL).alias("note_match"),
     )
@@ -358,10 +387,33 @@ def anonymized_people_joined(spark, sf_dir):
     return as_text(anonymize_table.anonymize_table(df, ["person_id"], "strict", AS_OF, broadcast_bytes=0).table)
 
 
+def _keyless(spark, sf_dir):
+    """People whose key is null or repeats in half of the rows."""
+    key = F.when(F.col("person_id") % 4 == 0, F.lit(None)).when(F.col("person_id") % 4 == 1, 1).otherwise(F.col("person_id"))
+    return people(spark, sf_dir).select(key.cast("bigint").alias("row_key"), "email", "telefon", "rodne_cislo", "city", "note")
+
+
+@query
+def anonymized_keyless(spark, sf_dir):
+    """Counts of each form of a cell after replacement: token types only, since numbers of tied rows are not fixed."""
+    return _forms(anonymize_table.anonymize_table(_keyless(spark, sf_dir), ["row_key"], "strict", AS_OF).table)
+
+
+@query
+def anonymized_keyless_joined(spark, sf_dir):
+    return _forms(anonymize_table.anonymize_table(_keyless(spark, sf_dir), ["row_key"], "strict", AS_OF, broadcast_bytes=0).table)
+
+
+def _forms(df: DataFrame) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.regexp_replace(c, r"^([A-Z]+)_\d+$", "$1_").alias("form")) for c in df.columns[1:]])
+    return df.select(F.inline(cells)).groupBy("column", "form").agg(F.count(F.lit(1)).alias("cells"))
+
+
 @query
 def anonymized_people_effective(spark, sf_dir):
     df = people(spark, sf_dir)
-    return as_text(anonymize_table.anonymize_table(df, ["person_id"], "strict", AS_OF, safe=_safe(spark, sf_dir)).table)
+    done = anonymize_table.anonymize_table(df, ["person_id"], "strict", AS_OF, safe=_safe(spark, sf_dir), dataset="people")
+    return as_text(done.table)
 
 
 @query
@@ -388,10 +440,13 @@ def anonymized_notes(spark, sf_dir):
 @query
 def anonymized_notes_effective(spark, sf_dir):
     """Reviewed as safe: the phone numbers in the second line of the notes of customers with a negative balance."""
-    safe = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(
-        F.col("c_custkey").alias("doc_id"), F.lit(2).alias("line_no"), F.lit("PHONE").alias("pii_type"), F.lit("regex_text").alias("rule")
-    )
-    return anonymize_text.anonymize_text(notes(spark, sf_dir), "text", "strict", AS_OF, safe, ["doc_id"])
+    own = F.col("c_acctbal") < 0
+    safe = table(spark, sf_dir, "customer").select(
+        F.when(own | (F.col("c_custkey") % 2 == 0), "notes").otherwise("others").alias("dataset"),
+        F.when(own | (F.col("c_custkey") % 2 == 1), "Strict").otherwise("Balanced").alias("mode"),
+        F.col("c_custkey").alias("doc_id"), F.lit(2).alias("line_no"), F.lit("PHONE").alias("pii_type"), F.lit("regex_text").alias("rule"),
+    )
+    return anonymize_text.anonymize_text(notes(spark, sf_dir), "text", "strict", AS_OF, safe, ["doc_id"], "notes")
 
 
 @query
@@ -492,20 +547,30 @@ def release_payload_texts(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    """One request per user turn: longer prompts were submitted, every third conversation asks for tokens."""
+    """One request per user turn: longer prompts were submitted, every third conversation asks for tokens.
+
+    Every eleventh request lacks a flag, and some name no dataset or one that was never scanned.
+    """
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    unless = lambda part, flag: F.when((F.col("conv_id") + F.col("turn")) % 11 != part, flag)
     return turns.select(
-        F.col("conv_id"), F.col("turn"), (F.col("conv_id") % 150).alias("dataset"),
+        F.col("conv_id"), F.col("turn"), F.when(F.col("conv_id") % 13 != 0, F.col("conv_id") % 150).alias("dataset"),
         F.when(F.col("conv_id") % 7 == 0, F.lit(" \n\t")).otherwise(F.col("text")).alias("prompt"),
-        (F.length("text") > 60).alias("submitted"),
-        (F.col("conv_id") % 3 == 0).alias("wants_anonymized"),
-        (F.col("turn") == 0).alias("anonymized_available"),
+        unless(1, F.length("text") > 60).alias("submitted"),
+        unless(2, F.col("conv_id") % 3 == 0).alias("wants_anonymized"),
+        unless(3, F.col("turn") == 0).alias("anonymized_available"),
     )
 
 
 def _with_state(spark, sf_dir):
-    found = detect.detect_text(notes(spark, sf_dir), ["doc_id"], "text", "relaxed", AS_OF, "notes").where("pii_type = 'EMAIL'")
-    return gate.with_pii_state(_requests(spark, sf_dir), found.select(F.col("doc_id").alias("dataset")))
+    """All findings count. Of the notes, those of every fifth customer have no contact data; every sixth were not scanned."""
+    df = notes(spark, sf_dir)
+    clean = F.when(F.col("doc_id") % 5 == 0, F.lit("bez údajů")).otherwise(F.col("text"))
+    scanned = df.where("doc_id % 6 <> 0").select("doc_id", clean.alias("text"))
+    found = detect.detect_text(scanned, ["doc_id"], "text", "relaxed", AS_OF, "notes")
+    return gate.with_pii_state(
+        _requests(spark, sf_dir), found.select(F.col("doc_id").alias("dataset")), scanned.select(F.col("doc_id").alias("dataset"))
+    )
 
 
 @query
@@ -533,6 +598,18 @@ def conversation_newest_first(spark, sf_dir):
     )
 
 
+@query
+def conversation_tied_turns(spark, sf_dir):
+    """Two messages in each turn, and one conversation of a third of all rows, which is ordered across tasks."""
+    turns = table(spark, sf_dir, "conversations")
+    merged = turns.select(
+        F.when(F.col("conv_id") % 3 == 0, -1).otherwise(F.col("conv_id")).alias("conv_id"),
+        F.expr("(conv_id * 64 + turn) div 2").alias("turn"), "role", "text",
+    )
+    limit = max(1, merged.count() // 10)
+    return conversations.newest_first(merged, long_rows=limit).select("conv_id", "turn", "role", F.md5("text").alias("digest"), "turn_group", "position")
+
+
 @query
 def conversation_append(spark, sf_dir):
     messages = table(spark, sf_dir, "conversations")

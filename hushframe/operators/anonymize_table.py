@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.text import canonical_text
 from hushframe.modes import PrivacyMode, parse_mode
-from hushframe.operators.detect import detect_cells, detectable_columns, text_cells
+from hushframe.operators.detect import detect_cells, detectable_columns, without_marked
 from hushframe.operators.ordered import numbered, sorted_once
 from hushframe.storage import written
 
-# Tokens that may be matched by broadcast: those of a table that has up to this many bytes of them, or the frequent
-# ones, which each stand for at least one in HOT_SHARE of all replaced cells (so there are at most HOT_SHARE).
+# Tokens that may be matched by broadcast: those of a table that has up to this many bytes of them.
 BROADCAST_BYTES = 32 << 20
-HOT_SHARE = 1_000
 ENTRY_BYTES = 100
+# Number of a row while it is away from its cells.
+ROW = "_row_number"
 # Wider tables join their tokens back by row, so that the plan stays small.
 LOOK_UP_COLUMNS = 40
 KEY = ("pii_type", "chain", "raw")
@@ -94,7 +94,7 @@ def token_dictionary(cells: DataFrame, row_key: Sequence[str]) -> TableDictionar
     types so far and the text of the cell, so these are the key, and no step has to wait for another.
     """
     keys = list(row_key)
-    position = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+    position = F.col(f"`{keys[0]}`") if len(keys) == 1 else F.struct(*[F.col(f"`{k}`") for k in keys])
     # The rules run once, here: all later steps work with the distinct texts per column.
     values = written(
         cells.select(position.alias("row"), "column_ord", "column", "raw", _types(F.col("findings")).alias("types"))
@@ -124,20 +124,13 @@ def token_dictionary(cells: DataFrame, row_key: Sequence[str]) -> TableDictionar
     )
 
 
-def cell_tokens(
-    cells: DataFrame, dictionary: TableDictionary, on: Sequence[str], hot_share: int = HOT_SHARE
-) -> DataFrame:
+def cell_tokens(cells: DataFrame, dictionary: TableDictionary) -> DataFrame:
     """The final token of each found cell.
 
-    Only the tokens of frequent texts, whose number is bounded, are broadcast; the cells that they leave meet all
-    others in a shuffle without a hot key.
+    Only found cells take part. A text that very many of them hold is a skewed key on the side of the cells, which
+    adaptive execution splits.
     """
-    tokens = dictionary.finals.select(*on, "token", "occurrences")
-    hot = F.col("occurrences") * hot_share >= dictionary.cells
-    frequent = F.broadcast(tokens.where(hot).drop("occurrences"))
-    near = cells.join(frequent, list(on))
-    far = cells.join(frequent, list(on), "left_anti").join(tokens.where(~hot).drop("occurrences"), list(on))
-    return near.unionByName(far)
+    return cells.join(dictionary.finals.drop("occurrences"), list(VALUE))
 
 
 @dataclass
@@ -154,35 +147,41 @@ def anonymize_table(
     safe: DataFrame | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     order_columns: bool = False,
+    dataset: str = "table",
 ) -> AnonymizedTable:
     """Replace every found cell by its token. Columns with a finding become text, all others keep their type.
 
     The row key may hold findings too; `order_columns` adds copies of it (`_order_0`, ...) that stay as they are.
+    `safe` marks count if they are of this `dataset` and mode. Nested and binary columns are left as they are.
 
     With tokens of a checked size, each column looks its own up by broadcast and no row of the table moves.
-    Otherwise the tokens are matched cell by cell and come back to their rows in one join on the row key.
+    Otherwise the rows are numbered in a written copy, the tokens are matched by found cell, and come back by that
+    number. Both ways give the same table, also where row keys are null or repeat.
     """
     mode = parse_mode(mode)
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
+    extra = [F.col(f"`{k}`").alias(f"_order_{i}") for i, k in enumerate(keys)] if order_columns else []
+    # A mark belongs to a row, so with marks equal texts may differ in their types.
     marked = safe is not None and mode is PrivacyMode.STRICT
-    cells = detect_cells(df, keys, mode, as_of, safe=safe)
+    if not marked:
+        dictionary = token_dictionary(detect_cells(df, keys, mode, as_of), keys)
+        touched = _touched(df, dictionary)
+        if not touched:
+            return AnonymizedTable(df.select("*", *extra), dictionary)
+        if dictionary.size_bytes <= broadcast_bytes and len(touched) <= LOOK_UP_COLUMNS:
+            return AnonymizedTable(_look_up(df, dictionary, touched, extra), dictionary)
+    stored = written(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    cells = detect_cells(stored, [*keys, ROW], mode, as_of, skip=[ROW])
     if marked:
-        cells = written(cells, "cells")
-    dictionary = token_dictionary(cells, keys)
-    touched = [(i, name) for i, name in detectable_columns(df) if name in dictionary.columns]
-    extra = [F.col(f"`{k}`").alias(f"_order_{i}") for i, k in enumerate(keys)] if order_columns else []
-    if not touched:
-        table = df.select("*", *extra)
-    elif marked:
-        # A mark belongs to a row, so here equal texts may differ in their types.
-        found = cells.select(*keys, "column_ord", "raw", _types(F.col("findings")).alias("types"))
-        table = _join_back(df, keys, cell_tokens(found, dictionary, VALUE), touched, extra)
-    elif dictionary.size_bytes <= broadcast_bytes and len(touched) <= LOOK_UP_COLUMNS:
-        table = _look_up(df, dictionary, touched, extra)
-    else:
-        texts = text_cells(df, keys, [name for _, name in touched]).select(*keys, "column_ord", "raw")
-        table = _join_back(df, keys, cell_tokens(texts, dictionary, ["column_ord", "raw"]), touched, extra)
-    return AnonymizedTable(table, dictionary)
+        cells = written(without_marked(cells, keys, safe, dataset, mode), "cells")
+        dictionary = token_dictionary(cells, keys)
+        touched = _touched(df, dictionary)
+    found = cells.select(ROW, "column_ord", "raw", _types(F.col("findings")).alias("types"))
+    return AnonymizedTable(_join_back(stored, cell_tokens(found, dictionary), df.columns, touched, extra), dictionary)
+
+
+def _touched(df: DataFrame, dictionary: TableDictionary) -> list[tuple[int, str]]:
+    return [(i, name) for i, name in detectable_columns(df) if name in dictionary.columns]
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -190,21 +189,16 @@ def _text(df: DataFrame, name: str) -> Column:
 
 
 def _join_back(
-    df: DataFrame, keys: list[str], tokens: DataFrame, touched: list[tuple[int, str]], extra: list[Column]
+    stored: DataFrame, tokens: DataFrame, columns: Sequence[str], touched: list[tuple[int, str]], extra: list[Column]
 ) -> DataFrame:
-    row = {k: f"_row_{i}" for i, k in enumerate(keys)}
-    by_row = (
-        tokens.groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("column_ord", "token"))).alias("_tokens"))
-        .withColumnsRenamed(row)
-    )
-    match = [F.col(f"`{k}`") == F.col(alias) for k, alias in row.items()]
+    """The stored rows with their tokens, which are at most one per column."""
+    by_row = tokens.groupBy(ROW).agg(F.map_from_entries(F.collect_list(F.struct("column_ord", "token"))).alias("_tokens"))
     ords = {name: i for i, name in touched}
-    columns = [
-        F.coalesce(F.try_element_at("_tokens", F.lit(ords[c])), _text(df, c)).alias(c) if c in ords else F.col(f"`{c}`")
-        for c in df.columns
+    replaced = [
+        F.coalesce(F.try_element_at("_tokens", F.lit(ords[c])), _text(stored, c)).alias(c) if c in ords else F.col(f"`{c}`")
+        for c in columns
     ]
-    return df.join(by_row, match, "left").select(*columns, *extra)
+    return stored.join(by_row, ROW, "left").select(*replaced, *extra)
 
 
 def _look_up(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hushframe.functions.text import let, lines_of
 from hushframe.modes import PrivacyMode, parse_mode
 from hushframe.operators import rules
+from hushframe.operators.marks import marks_of
 
 TEXT_TYPES = ("EMAIL", "PHONE", "RC", "BANK", "DOB", "ADDRESS")
 
@@ -40,12 +41,14 @@ def _found_values(text: Column, mode: PrivacyMode, as_of: Column, marks: Column
     return F.transform(found, lambda f: F.struct(f["pii_type"].alias("pii_type"), f["raw_value"].alias("raw")))
 
 
-def _with_marks(df: DataFrame, key: Sequence[str], safe: DataFrame) -> DataFrame:
+def _with_marks(df: DataFrame, key: Sequence[str], own: DataFrame) -> DataFrame:
     """Add the marks of each text; a text has no more of them than findings."""
     mark = F.concat_ws("|", F.col("line_no").cast("string"), "pii_type", "rule")
-    marks = safe.groupBy(*key).agg(F.collect_set(mark).alias(MARKS))
+    alias = {k: f"_key_{i}" for i, k in enumerate(key)}
+    marks = own.groupBy(*[F.col(f"`{k}`").alias(a) for k, a in alias.items()]).agg(F.collect_set(mark).alias(MARKS))
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(a)) for k, a in alias.items()]
     empty = F.array().cast("array<string>")
-    return df.join(marks, list(key), "left").withColumn(MARKS, F.coalesce(F.col(MARKS), empty))
+    return df.join(marks, same, "left").withColumn(MARKS, F.coalesce(F.col(MARKS), empty))
 
 
 def _entries(found: Column) -> Column:
@@ -135,18 +138,21 @@ def anonymize_text(
     as_of: date | str | None = None,
     safe: DataFrame | None = None,
     key: Sequence[str] = (),
+    dataset: str = "text",
 ) -> DataFrame:
     """Replace every found value everywhere in its text, longer ones first; the other columns stay.
 
-    `safe` marks findings that the Strict mode leaves out: the text key `key`, `line_no`, `pii_type`, `rule`.
+    `safe` marks findings of a `dataset` and `mode` that the Strict mode leaves out: the text key `key`, `line_no`,
+    `pii_type`, `rule`.
     """
-    value, marks, columns = F.col(text), None, df.columns
-    if safe is not None and parse_mode(mode) is PrivacyMode.STRICT:
-        df, marks = _with_marks(df, key, safe), F.col(MARKS)
+    value, marks, columns = F.col(f"`{text}`"), None, df.columns
+    own = None if safe is None else marks_of(safe, dataset, parse_mode(mode), [*key, "line_no"])
+    if own is not None:
+        df, marks = _with_marks(df, key, own), F.col(MARKS)
     replaced = let(
         token_entries(value, mode, as_of, marks), lambda e: F.when(e.isNull(), value).otherwise(_replaced(value, e))
     )
-    return df.withColumn(text, replaced).select(*columns)
+    return df.withColumn(text, replaced).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def replaced_counts(

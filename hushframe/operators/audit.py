@@ -21,7 +21,6 @@ def _event(df: DataFrame, event: str, dataset: Column, mode: Column, subject: Co
     )
 
 
-
 def file_loaded(catalog: DataFrame) -> DataFrame:
     return _event(catalog, "file_loaded", F.col("path"), F.lit(None), F.col("extension"), F.lit(None), F.col("size_bytes"))
 
@@ -33,12 +32,15 @@ def profiling_completed(counts: DataFrame, dataset: str, kind: str) -> DataFrame
     )
 
 
-def detection_summary(findings: DataFrame, mode: str | PrivacyMode) -> DataFrame:
-    """Totals per dataset and type; a dataset without findings has no row."""
+def detection_summary(findings: DataFrame, mode: str | PrivacyMode, scanned: DataFrame | None = None) -> DataFrame:
+    """Totals per dataset and type; a dataset of `scanned` without findings has one event that says so."""
     totals = findings.groupBy("dataset", "pii_type").agg(F.count(F.lit(1)).alias("total"))
+    if scanned is not None:
+        clean = scanned.select("dataset").distinct().join(findings.select("dataset").distinct(), "dataset", "left_anti")
+        totals = totals.unionByName(clean.select("dataset", F.lit(None).cast("string").alias("pii_type"), F.lit(0).cast("bigint").alias("total")))
+    flag = F.when(F.col("total") > 0, "has_pii=true").otherwise("has_pii=false")
     return _event(
-        totals, "pii_detection", F.col("dataset"), F.lit(parse_mode(mode).value), F.col("pii_type"),
-        F.lit("has_pii=true"), F.col("total"),
+        totals, "pii_detection", F.col("dataset"), F.lit(parse_mode(mode).value), F.col("pii_type"), flag, F.col("total")
     )
 
 

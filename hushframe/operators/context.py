@@ -92,11 +92,13 @@ def sample_rows(
 ) -> DataFrame:
     """The first rows by row key, as many as the mode allows; Strict leaves identifier columns out.
 
+    Nested and binary columns stay out in every mode: detection can't look into them, so nothing of them is released.
     Copies of the row key (`_sample_order_0`, ...) follow the columns. `hidden` columns are left out.
     """
     mode = parse_mode(mode)
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
-    drop = [*hidden, *(columns_to_drop(df.drop(*hidden)) if mode is PrivacyMode.STRICT else [])]
+    unseen = [f.name for f in df.schema.fields if not is_atomic(f.dataType)]
+    drop = [*hidden, *unseen, *(columns_to_drop(df.drop(*hidden)) if mode is PrivacyMode.STRICT else [])]
     ordered = [F.col(f"`{k}`").alias(f"_sample_order_{i}") for i, k in enumerate(keys)]
     kept = [F.col(f"`{c}`") for c in df.columns if c not in drop]
     return (
@@ -284,6 +286,7 @@ def released_text(
     as_of: date | str | None = None,
     safe: DataFrame | None = None,
     key: Sequence[str] = (),
+    dataset: str = "text",
 ) -> DataFrame:
     """Add `released`, the anonymized version of a text, next to the original."""
-    return anonymize_text(df.withColumn("released", F.col(text)), "released", mode, as_of, safe, key)
+    return anonymize_text(df.withColumn("released", F.col(text)), "released", mode, as_of, safe, key, dataset)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.functions.text import strip
+from hushframe.functions.text import is_atomic, strip
 from hushframe.operators.ordered import sorted_once, with_totals
+from hushframe.storage import written
 
-
-# A conversation with more rows than this, and than one in HOT_SHARE of all rows, is too long for one task.
+# A conversation with more rows than this is too long for one task.
 LONG_ROWS = 100_000
-HOT_SHARE = 10_000
 
 
 def newest_first(
@@ -19,22 +18,21 @@ def newest_first(
 ) -> DataFrame:
     """Add `turn_group` and `position`: groups start at each user message, the newest group comes first.
 
-    Usual conversations are ordered by a window each. Long ones, of which there are at most HOT_SHARE, are sorted
-    across tasks and positioned by running totals.
+    Messages of the same turn are ordered by their role, then by their other columns. Usual conversations are ordered
+    by a window each; long ones are sorted across tasks and positioned by running totals, with the same result.
     """
-    total = messages.count()
-    if total <= long_rows:
-        return _by_window(messages, conv, turn, role)
-    limit = max(long_rows, total // HOT_SHARE)
-    long_ones = messages.groupBy(conv).count().where(F.col("count") > limit).select(conv)
+    order = [turn, role, *(f.name for f in messages.schema.fields if f.name not in (conv, turn, role) and is_atomic(f.dataType))]
+    if messages.count() <= long_rows:
+        return _by_window(messages, conv, order, role)
+    long_ones = written(messages.groupBy(conv).count().where(F.col("count") > long_rows).select(conv), "long-conversations")
     if long_ones.isEmpty():
-        return _by_window(messages, conv, turn, role)
-    usual = messages.join(F.broadcast(long_ones), conv, "left_anti")
-    long_ = messages.join(F.broadcast(long_ones), conv, "left_semi")
+        return _by_window(messages, conv, order, role)
+    usual = messages.join(long_ones, conv, "left_anti")
+    long_ = messages.join(long_ones, conv, "left_semi")
     result = [*messages.columns, "turn_group", "position"]
     return (
-        _by_window(usual, conv, turn, role).select(*result)
-        .unionByName(_by_totals(long_, conv, turn, role).select(*result))
+        _by_window(usual, conv, order, role).select(*result)
+        .unionByName(_by_totals(long_, conv, order, role).select(*result))
     )
 
 
@@ -42,16 +40,16 @@ def _starts_group(role: str) -> Column:
     return F.when(F.col(role) == "user", 1).otherwise(0).cast("bigint")
 
 
-def _by_window(messages: DataFrame, conv: str, turn: str, role: str) -> DataFrame:
-    by_turn = Window.partitionBy(conv).orderBy(turn)
+def _by_window(messages: DataFrame, conv: str, order: list[str], role: str) -> DataFrame:
+    by_turn = Window.partitionBy(conv).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grouped = messages.withColumn("turn_group", F.sum(_starts_group(role)).over(by_turn))
-    shown = Window.partitionBy(conv).orderBy(F.desc("turn_group"), turn)
+    shown = Window.partitionBy(conv).orderBy(F.desc("turn_group"), *order)
     return grouped.withColumn("position", F.row_number().over(shown).cast("bigint"))
 
 
-def _by_totals(messages: DataFrame, conv: str, turn: str, role: str) -> DataFrame:
+def _by_totals(messages: DataFrame, conv: str, order: list[str], role: str) -> DataFrame:
     flat = sorted_once(
-        messages.withColumns({"_one": F.lit(1).cast("bigint"), "_start": _starts_group(role)}), [conv], [turn], "turns"
+        messages.withColumns({"_one": F.lit(1).cast("bigint"), "_start": _starts_group(role)}), [conv], order, "turns"
     )
     at = with_totals(flat, [conv], {"_index": "_one", "_starts": "_start"}).withColumn(
         "turn_group", F.col("_starts") + F.col("_start")
@@ -60,7 +58,7 @@ def _by_totals(messages: DataFrame, conv: str, turn: str, role: str) -> DataFram
     ends = at.groupBy(conv).agg(F.max("_index").alias("_end"))
     # Later groups come before, then the messages of the own group up to this one.
     position = F.col("_end") - F.col("_last") + F.col("_index") - F.col("_first") + 1
-    return at.join(groups, [conv, "turn_group"]).join(F.broadcast(ends), conv).withColumn("position", position)
+    return at.join(groups, [conv, "turn_group"]).join(ends, conv).withColumn("position", position)
 
 
 def append_pair(

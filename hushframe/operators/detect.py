@@ -13,6 +13,7 @@ from hushframe.functions.masking import mask_value
 from hushframe.functions.text import canonical_text, is_atomic, lines_of, once, strip
 from hushframe.modes import PrivacyMode, parse_mode
 from hushframe.operators import rules
+from hushframe.operators.marks import marks_of
 
 CELL_FIELDS = ("column_ord", "column", "raw", "findings")
 FINDING_FIELDS = (
@@ -35,6 +36,11 @@ def check_row_key(df: DataFrame, row_key: Sequence[str], reserved: Sequence[str]
     return keys
 
 
+def named(columns: Sequence[str]) -> list[Column]:
+    """Columns by name, whatever characters the name holds."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
 def _flags(df: DataFrame, columns: list[tuple[int, str]]) -> dict[str, Column]:
     """Per flag, a test of the column number against the columns that carry it."""
     carriers = {
@@ -69,14 +75,17 @@ def detect_cells(
     as_of: date | str | None = None,
     rc_extended_months: bool = False,
     safe: DataFrame | None = None,
+    dataset: str = "table",
+    skip: Sequence[str] = (),
 ) -> DataFrame:
     """One row per cell with findings: row key, column, unstripped text and its findings in rule order.
 
-    `safe` marks findings that the Strict mode leaves out: row key, `column`, `pii_type`, `rule`.
+    `safe` marks findings of a `dataset` and `mode` that the Strict mode leaves out: row key, `column`, `pii_type`,
+    `rule`. Columns in `skip` are not looked at. Nested and binary columns have no cells.
     """
     mode = parse_mode(mode)
     keys = check_row_key(df, row_key, CELL_FIELDS + FINDING_FIELDS)
-    columns = detectable_columns(df)
+    columns = [(i, name) for i, name in detectable_columns(df) if name not in skip]
     flags = _flags(df, columns)
     by_name_alone = flags["name"] | flags["address"] | flags["rc"]
     with_hints = mode is PrivacyMode.STRICT
@@ -87,26 +96,30 @@ def detect_cells(
         text_cells(df, keys, [name for _, name in columns])
         .where(by_name_alone | rules.gate(F.col("cell"), with_hints))
         .withColumn("digits", rules.digit_count(F.col("cell")))
-        .select(*keys, "column_ord", "column", "raw", once(mask=rules.rule_mask(found_by)))
+        .select(*named(keys), "column_ord", "column", "raw", once(mask=rules.rule_mask(found_by)))
         .where(F.col("mask") != 0)
         .withColumn("findings", rules.findings_of_mask(F.col("mask"), found_by))
     )
-    if safe is not None and mode is PrivacyMode.STRICT:
-        marks = safe.groupBy(*keys, "column").agg(F.collect_set(F.concat_ws("|", "pii_type", "rule")).alias("marks"))
-        found = (
-            found.join(marks, [*keys, "column"], "left")
-            .withColumn(
-                "findings",
-                F.when(F.col("marks").isNull(), F.col("findings")).otherwise(
-                    F.filter(
-                        "findings",
-                        lambda f: ~F.array_contains(F.col("marks"), F.concat_ws("|", f["pii_type"], f["rule"])),
-                    )
-                ),
-            )
-            .where(F.size("findings") > 0)
-        )
-    return found.select(*keys, *CELL_FIELDS)
+    if safe is not None:
+        found = without_marked(found, keys, safe, dataset, mode)
+    return found.select(*named(keys), *CELL_FIELDS)
+
+
+def without_marked(cells: DataFrame, row_key: Sequence[str], safe: DataFrame, dataset: str, mode: PrivacyMode) -> DataFrame:
+    """Leave out the findings that marks of this dataset and mode name, and cells that keep none."""
+    place = [*row_key, "column"]
+    marks = marks_of(safe, dataset, mode, place)
+    if marks is None:
+        return cells
+    alias = {c: f"_mark_{i}" for i, c in enumerate(place)}
+    marks = marks.groupBy(*[F.col(f"`{c}`").alias(a) for c, a in alias.items()]).agg(
+        F.collect_set(F.concat_ws("|", "pii_type", "rule")).alias("_marks")
+    )
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(a)) for c, a in alias.items()]
+    is_marked = lambda f: F.array_contains(F.col("_marks"), F.concat_ws("|", f["pii_type"], f["rule"]))
+    left = F.when(F.col("_marks").isNull(), F.col("findings")).otherwise(F.filter("findings", lambda f: ~is_marked(f)))
+    joined = cells.join(marks, same, "left").withColumn("findings", left).where(F.size("findings") > 0)
+    return joined.select(*named(cells.columns))
 
 
 def findings_of_cells(cells: DataFrame, dataset: str = "table", email_pattern: str | None = None) -> DataFrame:
@@ -114,9 +127,9 @@ def findings_of_cells(cells: DataFrame, dataset: str = "table", email_pattern: s
     keys = [c for c in cells.columns if c not in CELL_FIELDS]
     value = strip(F.col("raw"))
     return cells.select(
-        F.lit(dataset).alias("dataset"), *keys, "column_ord", "column", F.inline("findings"), value.alias("raw_value")
+        F.lit(dataset).alias("dataset"), *named(keys), "column_ord", "column", F.inline("findings"), value.alias("raw_value")
     ).select(
-        "dataset", *keys, "column_ord", "column", "pii_type", "rule", "confidence",
+        "dataset", *named(keys), "column_ord", "column", "pii_type", "rule", "confidence",
         mask_value(F.col("raw_value"), F.col("pii_type"), email_pattern).alias("masked_preview"),
         "raw_value", "rule_order",
     )
@@ -148,15 +161,15 @@ def detect_text(
     mode = parse_mode(mode)
     keys = check_row_key(df, key, ("line_no", "line", "match_no", *FINDING_FIELDS))
     with_hints = mode is not PrivacyMode.RELAXED
-    lines = df.select(*keys, F.posexplode(lines_of(F.col(text))).alias("line_no", "line")).where(
+    lines = df.select(*named(keys), F.posexplode(lines_of(F.col(text))).alias("line_no", "line")).where(
         rules.gate(F.col("line"), with_hints)
     )
     findings = rules.line_findings(F.col("line"), mode, rules.as_of_column(as_of))
     return (
-        lines.select(*keys, (F.col("line_no") + 1).cast("bigint").alias("line_no"), F.posexplode(findings))
-        .select(*keys, "line_no", F.col("pos").alias("match_no"), "col.*")
+        lines.select(*named(keys), (F.col("line_no") + 1).cast("bigint").alias("line_no"), F.posexplode(findings))
+        .select(*named(keys), "line_no", F.col("pos").alias("match_no"), "col.*")
         .select(
-            F.lit(dataset).alias("dataset"), *keys, "line_no", "match_no", F.lit("text").alias("column"),
+            F.lit(dataset).alias("dataset"), *named(keys), "line_no", "match_no", F.lit("text").alias("column"),
             "pii_type", "rule", "confidence",
             mask_value(F.col("raw_value"), F.col("pii_type")).alias("masked_preview"), "raw_value", "rule_order",
         )

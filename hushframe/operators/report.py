@@ -24,7 +24,7 @@ def columns_by_type(findings: DataFrame) -> DataFrame:
 
 def rows_by_type(findings: DataFrame, row_key: Sequence[str]) -> DataFrame:
     """Distinct rows per type, as rows: a list per type would grow with the data."""
-    return findings.select("pii_type", *row_key).distinct()
+    return findings.select("pii_type", *[F.col(f"`{k}`") for k in row_key]).distinct()
 
 
 def has_pii(findings: DataFrame) -> DataFrame:
@@ -42,8 +42,9 @@ def effective_findings(
     if mode is not PrivacyMode.STRICT:
         return findings
     on = ["dataset", *row_key, "column", "pii_type", "rule"]
-    marks = safe.where(F.col("mode") == mode.value).select(*on)
-    return findings.join(marks, on, "left_anti")
+    marks = safe.where(F.col("mode") == mode.value).select(*[F.col(f"`{c}`").alias(f"_mark_{i}") for i, c in enumerate(on)])
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_mark_{i}")) for i, c in enumerate(on)]
+    return findings.join(marks, same, "left_anti")
 
 
 def masked_samples(findings: DataFrame, order: Sequence[str], limit: int = SHOWN_FINDINGS) -> DataFrame:

@@ -64,7 +64,7 @@ def release_table(
     The anonymized table is written once; profile and sample read it by column.
     """
     mode = parse_mode(mode)
-    anonymized = anonymize_table(df, row_key, mode, as_of, safe, order_columns=True)
+    anonymized = anonymize_table(df, row_key, mode, as_of, safe, order_columns=True, dataset=dataset)
     stored = written(anonymized.table, "anonymized")
     order = [c for c in stored.columns if c not in df.columns]
     context = table_context(stored, order, mode, scope, dataset, decimals, hidden=order)
@@ -81,8 +81,9 @@ def release_texts(
     task: Column,
     safe: DataFrame | None = None,
     limit_bytes: int = PAYLOAD_LIMIT_BYTES,
+    dataset: str = "text",
 ) -> DataFrame:
     """Anonymize every text and build its guarded payload, all inside its row."""
-    released = released_text(df.select(*key, text), text, mode, as_of, safe, key)
+    released = released_text(df.select(*key, text), text, mode, as_of, safe, key, dataset)
     context = text_context(released, key, text, mode, scope, released="released")
     return release_payload(context, task, limit_bytes)

@@ -7,7 +7,6 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 # Supported extensions and the default upper size of a size filter.
 EXTENSIONS = (".csv", ".txt", ".md")
@@ -59,6 +58,13 @@ def day_filter(modified: Column, first: date | str, last: date | str) -> Column:
     return (modified >= start) & (modified < end)
 
 
+def _is_folder(spark: SparkSession, root: str) -> bool:
+    """False for a missing path and for a file; any other trouble is raised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.exists(path) and files.getFileStatus(path).isDirectory()
+
+
 def file_catalog(
     spark: SparkSession,
     root: str | None,
@@ -74,16 +80,13 @@ def file_catalog(
     The content column is pruned, so no file is read. Names that start with `_` or `.` are not listed.
     """
     empty = spark.createDataFrame([], CATALOG_SCHEMA)
-    if not (root or "").strip():
+    if not (root or "").strip() or not _is_folder(spark, root):
         return empty
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if not recursive:
         # Folders named like partitions would be descended into as well.
         files = files.option("basePath", root)
-    try:
-        files = files.load(root)
-    except AnalysisException:
-        return empty
+    files = files.load(root)
     path = F.regexp_replace("path", "^file:(?=/)", "")
     name = F.element_at(F.split("path", "/"), -1)
     wanted = sorted({e.lower() for e in supported} & {e.lower() for e in (file_types or supported)})

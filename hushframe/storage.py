@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,18 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 SMALL_PIECE = 1 << 15
+#: Temporary folders of local sessions without a configured one, by application.
+_temporary: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder from `spark.checkpoint.dir`; only a local session without one gets a temporary folder."""
+    """The folder from `spark.checkpoint.dir`; only a session whose executors are threads of the driver may go without.
+
+    Such a session gets one temporary folder. A `file:` folder on a cluster must be on storage that all machines share.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="hushframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _temporary:
+        _temporary[context.applicationId] = tempfile.mkdtemp(prefix="hushframe-")
+    return _temporary[context.applicationId]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

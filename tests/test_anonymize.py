@@ -59,8 +59,8 @@ def test_hot_and_rare_texts_meet_their_tokens(spark, as_of):
     rows = [(i, "hot@b.cz" if i % 3 else f"u{i}@b.cz") for i in range(300)]
     df = spark.createDataFrame(rows, "k int, mail string")
     dictionary = at.token_dictionary(detect_cells(df, ["k"], "strict", as_of), ["k"])
-    cells = df.select("k", F.lit(1).alias("column_ord"), F.col("mail").alias("raw"))
-    got = {r["k"]: r["token"] for r in at.cell_tokens(cells, dictionary, ["column_ord", "raw"], hot_share=10).collect()}
+    cells = df.select("k", F.lit(1).alias("column_ord"), F.col("mail").alias("raw"), F.lit("EMAIL").alias("types"))
+    got = {r["k"]: r["token"] for r in at.cell_tokens(cells, dictionary).collect()}
     assert len(got) == 300
     assert len({got[i] for i in range(300) if i % 3}) == 1
     assert len({got[i] for i in range(0, 300, 3)}) == 100
@@ -74,7 +74,7 @@ def test_composite_key_and_safe_marks(spark, as_of):
         [("a", 2, "name", "NAME", "column_name_heuristic"), ("b", 1, "name", "EMAIL", "regex_email"),
          ("b", 1, "name", "NAME", "column_name_heuristic")],
         "g string, k int, column string, pii_type string, rule string",
-    )
+    ).withColumns({"dataset": F.lit("table"), "mode": F.lit("Strict")})
     marked = at.anonymize_table(df, ["g", "k"], "strict", as_of, safe=safe).table
     assert {(r["g"], r["k"]): r["name"] for r in marked.collect()} == {("a", 1): "NAME_1", ("a", 2): "EMAIL_1", ("b", 1): "z@y.cz"}
     relaxed = at.anonymize_table(df, ["g", "k"], "relaxed", as_of, safe=safe).table
@@ -137,6 +137,7 @@ def test_texts_against_model(spark, as_of, mode):
 def test_safe_marks_in_texts(spark, as_of):
     df = spark.createDataFrame([(1, "777888999\n777888999 a@b.cz"), (2, "777888999")], "d int, text string")
     safe = spark.createDataFrame([(1, 1, "PHONE", "regex_text"), (1, 2, "PHONE", "regex_text")], "d int, line_no int, pii_type string, rule string")
+    safe = safe.withColumns({"dataset": F.lit("text"), "mode": F.lit("Strict")})
     got = {r["d"]: r["text"] for r in ax.anonymize_text(df, "text", "strict", as_of, safe, ["d"]).collect()}
     assert got == {1: "777888999\n777888999 EMAIL_1", 2: "PHONE_1"}
     # A value that is safe on one line is replaced everywhere as long as another line is not.

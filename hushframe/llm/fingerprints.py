@@ -17,8 +17,11 @@ from hushframe.llm.common import text_or_empty, words_of
 
 GRAM = 5
 SPAN = 6
-#: About so many bytes of documents are put in order by one task.
+#: About so many bytes of documents are put in order by one task, in at most so many ranges of ids.
 BUCKET_BYTES = 16 << 20
+MOST_BUCKETS = 50_000
+#: Estimates from here on only say that the size of a table is unknown.
+UNKNOWN_BYTES = 1 << 58
 
 
 def gram_hashes(token_hashes: Column, gram: int = GRAM) -> Column:
@@ -99,15 +102,19 @@ def _bucket_starts(ids: DataFrame, buckets: int) -> list[int | None]:
     return [None, *starts] if row["nulls"] else starts
 
 
+def _longs(values: list[int]) -> Column:
+    """A constant array; as one text, since the plan would hold an expression for each value otherwise."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _range_of(doc_id: Column, starts: list[int]) -> Column:
     """The number of the range that an id is in. Two short lists are looked through instead of one long one."""
     wide = max(1, int(len(starts) ** 0.5))
-    literal = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
     below = lambda values: F.size(F.filter(values, lambda start: start <= doc_id))
     if len(starts) <= 64:
-        return below(literal(starts)) - 1
-    block = F.greatest(below(literal(starts[::wide])) - 1, F.lit(0))
-    return block * wide + below(F.slice(literal(starts), block * wide + 1, wide)) - 1
+        return below(_longs(starts)) - 1
+    block = F.greatest(below(_longs(starts[::wide])) - 1, F.lit(0))
+    return block * wide + below(F.slice(_longs(starts), block * wide + 1, wide)) - 1
 
 
 def with_next(rows: DataFrame, columns: Sequence[str], buckets: int, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -124,7 +131,7 @@ def with_next(rows: DataFrame, columns: Sequence[str], buckets: int, prepare: Ca
     if known:
         doc_id = F.col("doc_id")
         bucket = F.when(doc_id.isNull(), F.lit(0)).otherwise(_range_of(doc_id, known) + shift)
-        first = F.coalesce(doc_id.isin(known), F.lit(True))
+        first = F.coalesce(F.get(_longs(known), bucket - shift) == doc_id, F.lit(True))
     place = lambda at, guest: F.struct(at.cast("int").alias("bucket"), F.lit(guest).alias("guest"))
     own, before = place(bucket, False), place(F.pmod(bucket - 1, F.lit(len(starts))), True)
     dealt = rows.select(*rows.columns, F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))).alias("to"))
@@ -137,7 +144,9 @@ def with_next(rows: DataFrame, columns: Sequence[str], buckets: int, prepare: Ca
 def buckets_for(docs: DataFrame) -> int:
     """So many ranges that one of them holds about `BUCKET_BYTES` of the table's files."""
     estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, -(-estimate // BUCKET_BYTES))
+    if estimate >= UNKNOWN_BYTES:
+        return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(-(-estimate // BUCKET_BYTES), MOST_BUCKETS))
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,11 +23,11 @@ TYPE_NAMES = {
     T.TimestampType: "datetime64[us, UTC]", T.TimestampNTZType: "datetime64[us]",
 }
 
-# Search for exact medians: share of rows that a first look takes, half widths of the brackets around the middle
-# it gives (the narrow one from so many values on), and the number of values below which no bracket is needed.
-LOOK_SHARE = 1 / 32
-WIDE, NARROW = 0.02, 0.002
-NARROW_FROM = 1_000_000_000
+# Search for exact medians: half width of the bracket around the middle, accuracy of the sketch that gives it (its
+# rank is off by one in so many rows at most, far less than the bracket is wide), and the number of values below which
+# no bracket is needed.
+HALF_WIDTH = 0.001
+ACCURACY = 10_000
 DIRECT_VALUES = 1_000_000
 EVERYTHING = (float("-inf"), float("inf"))
 
@@ -75,60 +75,42 @@ def schema_listing(df: DataFrame) -> DataFrame:
     )
 
 
-def _numbers(df: DataFrame, clip: dict[int, tuple[float, float]] | None = None) -> DataFrame:
-    """The present numbers as rows (column_ord, value); the plan does not grow with the number of columns.
-
-    With `clip`, only the columns it names, without the values above their bracket; all values below count as
-    minus infinity.
-    """
-    cells = []
-    for name in numeric_columns(df):
-        i = df.columns.index(name)
-        value = without_nan(F.col(f"`{name}`"), df.schema[name].dataType).cast("double")
-        if clip is not None and i in clip:
-            low, high = clip[i]
-            value = F.when(value < low, float("-inf")).when(value <= high, value)
-        if clip is None or i in clip:
-            cells.append(F.struct(F.lit(i).alias("column_ord"), value.alias("value")))
-    return df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+def _numbers(df: DataFrame) -> dict[int, Column]:
+    """Per numeric column, by its position, the present values as doubles."""
+    return {
+        df.columns.index(name): without_nan(F.col(f"`{name}`"), df.schema[name].dataType).cast("double")
+        for name in numeric_columns(df)
+    }
 
 
 def numeric_stats(df: DataFrame, direct_values: int = DIRECT_VALUES) -> DataFrame:
     """Min, max, mean and exact median of the present values per numeric column; all null if there are none.
 
-    A table that the first pass has counted as small gets its medians from one more aggregation. Otherwise a look at
-    a few rows gives brackets around the middle, and the values inside them are grouped and ranked by a distributed
-    running total; the ranks prove that a bracket holds its median.
+    One aggregation of one pass gives all but the medians, and a sketch of the middle of each column. A table that it
+    has counted as small gets its medians from one more aggregation. Otherwise a second pass counts what lies below
+    the brackets of the sketch and ranks the few values inside by a distributed running total; the ranks prove that a
+    bracket holds its median.
     """
     names = {df.columns.index(name): name for name in numeric_columns(df)}
     schema = "column_ord int, column string, min double, max double, mean double, median double"
     if not names:
         return df.sparkSession.createDataFrame([], schema)
     numbers = _numbers(df)
-    # One row per column.
-    summary = {
-        r["column_ord"]: r
-        for r in numbers.groupBy("column_ord").agg(
-            F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
-            F.avg("value").alias("mean"),
-        ).collect()
-    }
-    present = {i: r["n"] for i, r in summary.items()}
+    around = F.array(F.lit(0.5 - HALF_WIDTH), F.lit(0.5 + HALF_WIDTH))
+    parts = []
+    for i, value in numbers.items():
+        parts += [
+            F.count(value).alias(f"n{i}"), F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"),
+            F.avg(value).alias(f"mean{i}"), F.percentile_approx(value, around, ACCURACY).alias(f"around{i}"),
+        ]
+    row = df.agg(*parts).first()
+    present = {i: row[f"n{i}"] for i in numbers}
     if sum(present.values()) <= direct_values:
-        medians = dict(numbers.groupBy("column_ord").agg(F.median("value")).collect())
+        medians = df.agg(*[F.median(value).alias(f"m{i}") for i, value in numbers.items()]).first()
+        medians = {i: medians[f"m{i}"] for i in numbers}
     else:
-        around = [0.5 - WIDE, 0.5 - NARROW, 0.5 + NARROW, 0.5 + WIDE]
-        look = _numbers(df.where(F.rand(7) < LOOK_SHARE)).groupBy("column_ord")
-        edges = dict(look.agg(F.percentile_approx("value", around, 10_000)).collect())
-        brackets = {}
-        for i, n in present.items():
-            low, low_narrow, high_narrow, high = edges.get(i) or sorted(EVERYTHING * 2)
-            brackets[i] = (low_narrow, high_narrow) if n >= NARROW_FROM else (low, high)
-        medians = _ranked_medians(df, present, brackets)
-    rows = [
-        (i, name, *([summary[i]["min"], summary[i]["max"], summary[i]["mean"], medians[i]] if i in summary else [None] * 4))
-        for i, name in names.items()
-    ]
+        medians = _ranked_medians(df, present, {i: tuple(row[f"around{i}"]) for i, n in present.items() if n})
+    rows = [(i, name, row[f"min{i}"], row[f"max{i}"], row[f"mean{i}"], medians.get(i)) for i, name in names.items()]
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -136,28 +118,30 @@ def _ranked_medians(
     df: DataFrame, present: dict[int, int], brackets: dict[int, tuple[float, float]]
 ) -> dict[int, float]:
     """Exact medians from the values inside the brackets; a bracket that misses its median is opened fully."""
-    tallies = _numbers(df, brackets).groupBy("column_ord", "value").count()
+    numbers = _numbers(df)
+    below = df.agg(*[F.count_if(numbers[i] < low).alias(f"b{i}") for i, (low, _) in brackets.items()]).first()
+    inside = F.array(*[
+        F.when((numbers[i] >= low) & (numbers[i] <= high), F.struct(F.lit(i).alias("column_ord"), numbers[i].alias("value")))
+        for i, (low, high) in brackets.items()
+    ])
+    tallies = df.select(F.inline(F.array_compact(inside))).groupBy("column_ord", "value").count()
     ranked = running_total(tallies, ["column_ord"], ["value"], "count", "before")
+    # The ranks of the two middle values among the values inside; two rows per column at most.
     middle = F.create_map(
         *[
             part
             for i in brackets
-            for part in (F.lit(i), F.array(F.lit((present[i] - 1) // 2), F.lit(present[i] // 2)))
+            for part in (F.lit(i), F.array(*[F.lit(k - below[f"b{i}"]) for k in ((present[i] - 1) // 2, present[i] // 2)]))
         ]
     )
-    # Two rows per column at most.
     hits = (
         ranked.select("*", F.explode(middle[F.col("column_ord")]).alias("rank"))
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("count")))
         .groupBy("column_ord")
-        .agg(F.avg("value").alias("median"), F.count(F.lit(1)).alias("hits"), F.min("value").alias("low"))
+        .agg(F.avg("value").alias("median"), F.count(F.lit(1)).alias("hits"))
         .collect()
     )
-    proven = {
-        h["column_ord"]: h["median"]
-        for h in hits
-        if brackets[h["column_ord"]] == EVERYTHING or (h["hits"] == 2 and h["low"] >= brackets[h["column_ord"]][0])
-    }
+    proven = {h["column_ord"]: h["median"] for h in hits if h["hits"] == 2}
     missed = {i: EVERYTHING for i in brackets if i not in proven}
     return proven | _ranked_medians(df, present, missed) if missed else proven
 

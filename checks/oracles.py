@@ -379,6 +379,10 @@ ORACLES: dict[str, str] = {
     "csv_round_trip": f"SELECT {', '.join(f'nullif({canonical(c, t)}, {chr(39)*2}) AS {c}' for c, t in PEOPLE_COLUMNS)} FROM ({PEOPLE}) p",
     "delimiter_fallback": f"""SELECT CASE person_id % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter,
       person_id, telefon, city, date_of_birth FROM ({PEOPLE}) p""",
+    "csv_mixed_headers": f"""WITH p AS (SELECT *, note || ';a,b' || chr(10) || 'c,' || city AS remark FROM ({PEOPLE}) q)
+      SELECT ',' AS delimiter, 'person_id,city,remark' AS header, person_id, city, remark, NULL AS telefon, NULL AS date_of_birth FROM p WHERE person_id % 3 = 0
+      UNION ALL SELECT ',', 'remark,person_id,telefon', person_id, NULL, remark, telefon, NULL FROM p WHERE person_id % 3 = 1
+      UNION ALL SELECT ';', 'person_id;date_of_birth', person_id, NULL, NULL, NULL, 'x,' || date_of_birth FROM p WHERE person_id % 3 = 2""",
     "anonymized_keyless": f"""{PEOPLE_STRICT}, ends AS (SELECT person_id, col, arg_max(pii_type, rule_order) AS last FROM f GROUP BY ALL),
       c AS ({" UNION ALL ".join(f"SELECT person_id, '{c}' AS col, {c} AS v FROM p" for c in ("email", "telefon", "rodne_cislo", "city", "note"))})
       SELECT col AS "column", coalesce(last || '_', v) AS form, count(*) AS cells FROM c LEFT JOIN ends USING (person_id, col) GROUP BY ALL""",

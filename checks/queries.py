@@ -91,6 +91,27 @@ def delimiter_fallback(spark, sf_dir):
     return result
 
 
+@query
+def csv_mixed_headers(spark, sf_dir):
+    """People in files of two headers and two delimiters, with quoted line ends; a comma file must stay one."""
+    root = f"{shared_folder(spark)}/mixed-{uuid.uuid4().hex}"
+    source = people(spark, sf_dir).withColumn("remark", F.concat("note", F.lit(";a,b\nc,"), "city"))
+    shapes = {"0": (("person_id", "city", "remark"), ","), "1": (("remark", "person_id", "telefon"), ","), "2": (("person_id", "date_of_birth"), ";")}
+    for i, (names, delimiter) in shapes.items():
+        part = source.where(F.col("person_id") % 3 == int(i))
+        rows = part.select(*names) if delimiter == "," else part.select("person_id", F.concat(F.lit("x,"), "date_of_birth").alias("date_of_birth"))
+        rows.coalesce(1).write.options(header="true", sep=delimiter, escape='"', emptyValue="").csv(f"{root}/{i}")
+    tables = delimited.read_tables(spark, [f"{root}/{i}" for i in shapes])
+    parts = []
+    for (delimiter, header), t in tables.items():
+        t = t.withColumns({c: F.lit(None).cast("string") for c in ("city", "remark", "telefon", "date_of_birth") if c not in t.columns})
+        parts.append(t.select(F.lit(delimiter).alias("delimiter"), F.lit(header).alias("header"), F.col("person_id").cast("bigint").alias("person_id"), "city", "remark", "telefon", "date_of_birth"))
+    result = parts[0]
+    for other in parts[1:]:
+        result = result.unionByName(other)
+    return result
+
+
 @query
 def text_source(spark, sf_dir):
     raw = table(spark, sf_dir, "pages").select("page_id", F.encode(F.concat("html", F.lit("\r\nend\r")), "utf-8").alias("content"))

@@ -82,41 +82,48 @@ def typed(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     return df.select(*[casts[types[c]](F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def _count_of(line: Column, delimiter: str) -> Column:
+def _count_of(record: Column, delimiter: str) -> Column:
     """Delimiters outside quotes."""
-    unquoted = F.regexp_replace(line, '"[^"]*"', "")
+    unquoted = F.regexp_replace(record, '"[^"]*"', "")
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit("")))
 
 
-def sniff_delimiters(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Per file, the delimiter whose count is the same in the most head lines; `path`, `delimiter`.
+def records(spark: SparkSession, paths: str | Sequence[str], delimiter: str, multiline: bool = True) -> DataFrame:
+    """The records of each file as the CSV parser sees them: `path`, `start`, `at`, `record`, `n` delimiters.
 
-    Only the first lines of a file take part: those of its first split, by their position in it.
+    The parser knows line ends inside quotes. A record with more than one field does not fit a table of one column and
+    comes whole.
     """
-    lines = (
-        spark.read.text(paths if isinstance(paths, str) else list(paths))
-        .select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
-        )
-        .where(F.col("start") == 0)
-        .withColumn("at", F.monotonically_increasing_id())
+    reader = spark.read.schema("only string, whole string").options(
+        header="false", quote='"', escape='"', sep=delimiter, multiLine=str(multiline).lower(), mode="PERMISSIVE",
+        columnNameOfCorruptRecord="whole",
     )
-    # The first lines of each file are kept before the shuffle, so no task sees a whole file.
-    head = Window.partitionBy("path").orderBy("at")
-    lines = lines.withColumn("line", F.row_number().over(head)).where(F.col("line") <= HEAD_LINES)
-    counts = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("preference"), F.lit(d).alias("delimiter"),
-                _count_of(F.col("value"), d).alias("n"),
-            )
-            for i, d in enumerate(DELIMITERS)
-        ]
+    return reader.csv(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), F.coalesce("whole", "only").alias("record"),
+        # Spark wants a data column read besides the whole record, so the count of none is made from one.
+        F.when(F.col("whole").isNull(), F.coalesce(F.length("only") * 0, F.lit(0)))
+        .otherwise(_count_of(F.col("whole"), delimiter)).alias("n"),
     )
-    per_file = (
-        lines.select("path", F.inline(counts))
-        .groupBy("path", "preference", "delimiter")
-        .agg(F.mode("n").alias("usual"), F.count(F.lit(1)).alias("lines"), F.variance("n").alias("spread"))
+
+
+def sniff_delimiters(spark: SparkSession, paths: str | Sequence[str], multiline: bool = True) -> DataFrame:
+    """Per file, the delimiter whose count is the same in the most head records; `path`, `delimiter`.
+
+    Only the first records of a file take part: those of its first split, by their position in it.
+    """
+    head = Window.partitionBy("path").orderBy("at")
+    counts = None
+    for i, d in enumerate(DELIMITERS):
+        # The first records of each file are kept before the shuffle, so no task sees a whole file.
+        first = (
+            records(spark, paths, d, multiline).where(F.col("start") == 0).select("path", "at", "n")
+            .withColumn("line", F.row_number().over(head)).where(F.col("line") <= HEAD_LINES)
+            .select("path", F.lit(i).alias("preference"), F.lit(d).alias("delimiter"), "n")
+        )
+        counts = first if counts is None else counts.unionByName(first)
+    per_file = counts.groupBy("path", "preference", "delimiter").agg(
+        F.mode("n", deterministic=True).alias("usual"), F.variance("n").alias("spread")
     )
     rank = Window.partitionBy("path").orderBy(
         F.desc(F.col("usual") > 0), F.coalesce("spread", F.lit(0.0)), F.desc("usual"), "preference"
@@ -124,37 +131,56 @@ def sniff_delimiters(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
     return per_file.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == 1).select("path", "delimiter")
 
 
-def failing_files(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",") -> DataFrame:
-    """Files that do not parse with `delimiter`: some line has more fields than the first one; `path`."""
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"), _count_of(F.col("value"), delimiter).alias("n"),
+def _headers(found: DataFrame) -> DataFrame:
+    """Per file, its first record and the most delimiters of any; per split first, where a number orders the records."""
+    per_split = found.groupBy("path", "start").agg(
+        F.max("n").alias("most"), F.min_by(F.struct("n", "record"), "at").alias("first")
     )
-    # Per split first, where the number of a line orders the lines; then the first split of the file.
-    per_split = lines.groupBy("path", "start").agg(F.max("n").alias("most"), F.min_by("n", "at").alias("first"))
-    per_file = per_split.groupBy("path").agg(F.max("most").alias("most"), F.min_by("first", "start").alias("first"))
-    return per_file.where(F.col("most") > F.col("first")).select("path")
+    return per_split.groupBy("path").agg(F.max("most").alias("most"), F.min_by("first", "start").alias("first"))
 
 
-def read_by_delimiter(
+def failing_files(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",", multiline: bool = True) -> DataFrame:
+    """Files that do not parse with `delimiter`: some record has more fields than the first one; `path`."""
+    return _headers(records(spark, paths, delimiter, multiline)).where(F.col("most") > F.col("first.n")).select("path")
+
+
+def surplus_records(spark: SparkSession, paths: str | Sequence[str], delimiter: str = ",", multiline: bool = True) -> DataFrame:
+    """Records with more fields than the first one of their file; `path`, `record`. A table keeps only the first fields."""
+    found = records(spark, paths, delimiter, multiline)
+    first = _headers(found).select("path", F.col("first.n").alias("fields"))
+    return found.join(first, "path").where(F.col("n") > F.col("fields")).select("path", "record")
+
+
+def read_tables(
     spark: SparkSession, paths: Sequence[str], multiline: bool = True, always: bool = False
-) -> dict[str, DataFrame]:
-    """One table per delimiter in use: the files of a delimiter are read together.
+) -> dict[tuple[str, str], DataFrame]:
+    """One table per (delimiter, header line) in use: only files with the same header are read together.
 
-    Files are read with commas, and only those that do not parse so get another delimiter: a file whose lines hold no
+    Files are read with commas, and only those that do not parse so get another delimiter: a file whose records hold no
     comma at all stays a table of one column. With `always`, the delimiter of every file is looked for. The list of
-    files, not their content, passes through the driver.
+    files, not their content, passes through the driver, as it does in every scan.
     """
-    sniffed = sniff_delimiters(spark, paths)
-    if not always:
-        failing = failing_files(spark, paths).withColumn("failing", F.lit(True))
-        sniffed = sniffed.join(failing, "path", "left").select(
-            "path", F.when(F.col("failing"), F.col("delimiter")).otherwise(",").alias("delimiter")
-        )
-    by_delimiter: dict[str, list[str]] = {}
-    for row in sniffed.orderBy("path").collect():
-        by_delimiter.setdefault(row["delimiter"], []).append(row["path"])
-    return {d: read_text_table(spark, files, d, multiline=multiline) for d, files in by_delimiter.items()}
+    files = _headers(records(spark, paths, ",", multiline))
+    failing = F.lit(True) if always else F.col("most") > F.col("first.n")
+    by_group = (
+        files.join(sniff_delimiters(spark, paths, multiline), "path", "left")
+        .select("path", F.when(failing, F.col("delimiter")).otherwise(",").alias("delimiter"), F.col("first.record").alias("header"))
+        .groupBy("delimiter", "header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    )
+    return {
+        (r["delimiter"], r["header"]): read_text_table(spark, r["paths"], r["delimiter"], multiline=multiline)
+        for r in by_group.orderBy("delimiter", "header").collect()
+    }
+
+
+def read_by_delimiter(
+    spark: SparkSession, paths: Sequence[str], multiline: bool = True, always: bool = False
+) -> dict[str, DataFrame]:
+    """`read_tables` with the tables of a delimiter put together by column names; missing columns are null."""
+    result: dict[str, DataFrame] = {}
+    for (delimiter, _), table in read_tables(spark, paths, multiline, always).items():
+        result[delimiter] = result[delimiter].unionByName(table, allowMissingColumns=True) if delimiter in result else table
+    return result
 
 
 def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:

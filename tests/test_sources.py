@@ -72,6 +72,29 @@ def test_other_delimiters_are_a_fallback(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in delimited.failing_files(spark, str(tmp_path)).collect()] == ["bad.csv"]
 
 
+def test_line_ends_inside_quotes_are_no_surplus(spark, tmp_path):
+    write(tmp_path / "t.csv", 'id,note;alt\n1,"p;q\nr,s,t;u"\n2,v;w\n')
+    tables = delimited.read_by_delimiter(spark, [str(tmp_path / "t.csv")])
+    assert {d: t.columns for d, t in tables.items()} == {",": ["id", "note;alt"]}
+    assert [tuple(r) for r in tables[","].collect()] == [("1", "p;q\nr,s,t;u"), ("2", "v;w")]
+
+
+def test_files_with_other_headers_keep_their_columns(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,name\n1,A\n")
+    write(tmp_path / "b.csv", "mail,id,phone\nx@y.cz,7,602\n")
+    files = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    assert {k: t.columns for k, t in delimited.read_tables(spark, files).items()} == {
+        (",", "id,name"): ["id", "name"], (",", "mail,id,phone"): ["mail", "id", "phone"],
+    }
+    rows = delimited.read_by_delimiter(spark, files)[","].select("id", "name", "mail", "phone").orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [("1", "A", None, None), ("7", None, "x@y.cz", "602")]
+
+
+def test_surplus_fields_are_reported(spark, tmp_path):
+    write(tmp_path / "t.csv", "id,name\n1,A\n2,B,EXTRA\n")
+    assert [r["record"] for r in delimited.surplus_records(spark, str(tmp_path / "t.csv")).collect()] == ["2,B,EXTRA"]
+
+
 def test_row_index(spark, tmp_path):
     lines = [f"{i},{'v' * (i % 50)}" for i in range(5000)]
     write(tmp_path / "t.csv", "i,v\n" + "\n".join(lines) + "\n")

@@ -229,10 +229,10 @@ def tokens(key: str, source: str) -> str:
     last AS (SELECT s.{key}, s.col, n.token FROM steps s JOIN named n USING (pii_type, chain, raw) WHERE s.from_end = 1)"""
 
 
-def anonymized(source: str, columns, key: str) -> str:
+def anonymized(source: str, columns, key: str, extra: str = "") -> str:
     picks = ", ".join(f"max(CASE WHEN col = '{c}' THEN token END) AS {c}" for c, _ in columns)
     shown = ", ".join(f"coalesce(w.{c}, {canonical(f's.{c}', t)}) AS {c}" for c, t in columns)
-    return f"SELECT {shown} FROM {source} s LEFT JOIN (SELECT {key} AS k, {picks} FROM last GROUP BY {key}) w ON s.{key} = w.k"
+    return f"SELECT {shown}{extra} FROM {source} s LEFT JOIN (SELECT {key} AS k, {picks} FROM last GROUP BY {key}) w ON s.{key} = w.k"
 
 
 TEXT_TOKENS = """d AS (
@@ -379,6 +379,15 @@ ORACLES: dict[str, str] = {
     "csv_round_trip": f"SELECT {', '.join(f'nullif({canonical(c, t)}, {chr(39)*2}) AS {c}' for c, t in PEOPLE_COLUMNS)} FROM ({PEOPLE}) p",
     "delimiter_fallback": f"""SELECT CASE person_id % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END AS delimiter,
       person_id, telefon, city, date_of_birth FROM ({PEOPLE}) p""",
+    "release_payload_cells": f"""{PEOPLE_STRICT}, {tokens('person_id', 'f')},
+      a AS ({anonymized('p', PEOPLE_COLUMNS, 'person_id', ', s.person_id AS place')}),
+      s AS (SELECT *, row_number() OVER (ORDER BY place) - 1 AS row_no FROM a ORDER BY place LIMIT 100) """ + " UNION ALL ".join(
+        f"""SELECT row_no, '{c}' AS "column", {f'lower({c})' if c == 'active' else c} AS value, (SELECT count(*) FROM p) AS row_count,
+      (SELECT count(*) - count({c}) FROM p) AS missing FROM s""" for c, _ in PEOPLE_COLUMNS if c not in ("person_id", "customer_id")
+    ),
+    "release_payload_lines": f"""{notes_findings('balanced')}, {text_tokens('doc_id')}, a AS ({replaced_text('n', 'doc_id', 'text')})
+      SELECT * FROM (WITH {lines('a', 'doc_id', 'text')} SELECT doc_id, CAST(line_no - 1 AS INT) AS line_no, line FROM lines WHERE line_no <= 200)""",
+    "text_export": f"{notes_findings('strict')}, {text_tokens('doc_id')} {replaced_text('n', 'doc_id', 'text')}",
     "csv_mixed_headers": f"""WITH p AS (SELECT *, note || ';a,b' || chr(10) || 'c,' || city AS remark FROM ({PEOPLE}) q)
       SELECT ',' AS delimiter, 'person_id,city,remark' AS header, person_id, city, remark, NULL AS telefon, NULL AS date_of_birth FROM p WHERE person_id % 3 = 0
       UNION ALL SELECT ',', 'remark,person_id,telefon', person_id, NULL, remark, telefon, NULL FROM p WHERE person_id % 3 = 1

@@ -564,6 +564,32 @@ def release_payload_texts(spark, sf_dir):
     )
 
 
+@query
+def release_payload_cells(spark, sf_dir):
+    """The payload of the table, read back: each sampled cell with the rows and missing values of its column."""
+    payload = release_payload_table(spark, sf_dir)
+    shape = "dataset struct<sample: array<map<string,string>>, stats: struct<row_count: bigint, missing_by_column: map<string,bigint>>>"
+    read = payload.select(F.from_json("payload", shape).alias("p")).select("p.dataset.*")
+    rows = read.select("stats", F.posexplode("sample").alias("row_no", "row"))
+    cells = rows.select("stats", F.col("row_no").cast("bigint").alias("row_no"), F.explode("row").alias("column", "value"))
+    missing = F.element_at("stats.missing_by_column", F.col("column"))
+    return cells.select("row_no", "column", "value", F.col("stats.row_count").alias("row_count"), missing.alias("missing"))
+
+
+@query
+def release_payload_lines(spark, sf_dir):
+    """The payloads of the texts, read back line by line."""
+    sample = F.from_json("payload", "dataset struct<sample: array<string>>")["dataset"]["sample"]
+    return release_payload_texts(spark, sf_dir).select("doc_id", F.posexplode(sample).alias("line_no", "line"))
+
+
+@query
+def text_export(spark, sf_dir):
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    export.export_texts(anonymize_text.anonymize_text(notes(spark, sf_dir), "text", "strict", AS_OF), path)
+    return spark.read.parquet(path)
+
+
 # Gate and conversations
 
 

@@ -388,6 +388,14 @@ ORACLES: dict[str, str] = {
     "release_payload_lines": f"""{notes_findings('balanced')}, {text_tokens('doc_id')}, a AS ({replaced_text('n', 'doc_id', 'text')})
       SELECT * FROM (WITH {lines('a', 'doc_id', 'text')} SELECT doc_id, CAST(line_no - 1 AS INT) AS line_no, line FROM lines WHERE line_no <= 200)""",
     "text_export": f"{notes_findings('strict')}, {text_tokens('doc_id')} {replaced_text('n', 'doc_id', 'text')}",
+    "folder_exploration": f"""WITH p AS ({PEOPLE}), q AS (SELECT {', '.join(f'{canonical(c, t)} AS {c}' for c, t in PEOPLE_COLUMNS)} FROM p),
+      {cell_findings('q', [(c, 'string') for c, _ in PEOPLE_COLUMNS], 'person_id', 'strict')},
+      x AS ({notes_findings('strict')} SELECT pii_type FROM t)
+      SELECT 'people' AS dataset, pii_type AS subject, 'has_pii=true' AS detail, count(*) AS amount FROM f GROUP BY pii_type
+      UNION ALL SELECT 'notes', pii_type, 'has_pii=true', count(*) FROM x GROUP BY pii_type
+      UNION ALL SELECT 'regions', NULL, 'has_pii=false', 0
+      UNION ALL SELECT 'people', 'rows', '{len(PEOPLE_COLUMNS)}', count(*) FROM p
+      UNION ALL SELECT 'regions', 'rows', '2', count(*) FROM region""",
     "csv_mixed_headers": f"""WITH p AS (SELECT *, note || ';a,b' || chr(10) || 'c,' || city AS remark FROM ({PEOPLE}) q)
       SELECT ',' AS delimiter, 'person_id,city,remark' AS header, person_id, city, remark, NULL AS telefon, NULL AS date_of_birth FROM p WHERE person_id % 3 = 0
       UNION ALL SELECT ',', 'remark,person_id,telefon', person_id, NULL, remark, telefon, NULL FROM p WHERE person_id % 3 = 1

@@ -16,7 +16,7 @@ from hushframe.operators import (
     anonymize_table, anonymize_text, audit, context, conversations, detect, gate, profile_table, profile_text, report,
     rules,
 )
-from hushframe.plans import release
+from hushframe.plans import folder, release
 from hushframe.sources import catalog, delimited, documents, export
 from hushframe.storage import shared_folder, spread
 
@@ -590,6 +590,20 @@ def text_export(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query
+def folder_exploration(spark, sf_dir):
+    """A folder with people and regions as CSV and with notes as a text file: what its trail says about each file."""
+    root = f"{shared_folder(spark)}/folder-{uuid.uuid4().hex}"
+    for name, df in (("people", as_text(people(spark, sf_dir))), ("regions", as_text(table(spark, sf_dir, "region")))):
+        df.coalesce(1).write.options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(f"{root}/{name}")
+    notes(spark, sf_dir).orderBy("doc_id").select("text").coalesce(1).write.text(f"{root}/notes")
+    explored = folder.explore_folder(spark, root, "strict", AS_OF)
+    label = F.regexp_extract("dataset", "/(people|regions|notes)/", 1).alias("dataset")
+    found = explored.events.where("event = 'pii_detection'").select(label, "subject", "detail", "amount")
+    sizes = explored.profile.where("kind = 'csv'").select(label, F.lit("rows").alias("subject"), F.col("column_count").cast("string").alias("detail"), F.col("row_count").alias("amount"))
+    return found.unionByName(sizes)
+
+
 # Gate and conversations
 
 

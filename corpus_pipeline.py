@@ -18,10 +18,12 @@ from hushframe.llm.jaccard_join import Similar, jaccard_components
 from hushframe.llm.line_dedup import dedup_lines
 from hushframe.llm.mixing import emit, mix
 from hushframe.llm.quality_rules import apply_rules
-from hushframe.storage import shared_folder
+from hushframe.storage import shared_folder, written
 
 #: Near duplicates share at least 0.8 of their shingles of five words.
 NEAR = Similar(above=80, below=100, shingle=5)
+#: Up to so many ids of near duplicates are sent to every task; more meet the documents in a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without an id or without words are in no group and stay. Rows with the same id stay or go together.
     """
     groups = jaccard_components(docs, rule=NEAR).filter("component_id is not null and doc_id <> component_id")
-    kept = docs.join(groups.select("doc_id").distinct(), "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    gone = written(groups.select("doc_id").distinct(), "near-duplicates")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

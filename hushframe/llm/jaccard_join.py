@@ -6,9 +6,10 @@ for boxes of points, and only pairs that pass are verified on their shingles.
 
 How the index is spread over a cluster. If two sets are similar enough, their points differ by at most R in all. Groups
 are dealt into R + 1 + SPARE parts; then the points are equal on more than SPARE parts, so the pair meets under the key
-of a part. Points that meet, directly or through others, form a candidate component, whose points are sorted
-into leaves of an R-tree. Leaves whose boxes can hold a pair are compared, with everything above as bounds inside them.
-Equal sets are one point from the start, so copies never meet each other.
+of a part. The points that meet under a key are searched in nodes of an R-tree of their own; pairs that pass the bound,
+directly or through others, form a candidate component. Its points are sorted into leaves of a tree again, and leaves
+whose boxes can hold a pair are compared on their shingles. Equal sets are one point from the start, so copies never
+meet each other.
 """
 
 from __future__ import annotations
@@ -32,10 +33,18 @@ from hushframe.storage import written
 SPARE = 2
 #: Coordinates of the points in the tree, points of a leaf (a power of two), points of a node inside it.
 GROUPS = 32
+FULL = (1 << 16) - 1  # stands for this count and all above, so that bounds stay bounds
 LEAF_BITS = 8
 NODE = 16
 #: Up to so many ids are broadcast to find the texts of candidates; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Points under one key that are searched for pairs, in all and in one slice of documents; more of them are a crowd, in
+#: which all are taken for candidates of each other.
+MEETING = 10_000
+CROWD = 64
+#: Bytes of the hash that stands for a set, and bits of a meeting key: they are what travels most.
+NAME_BYTES = 12
+KEY_SHIFT = np.uint64(16)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -93,7 +102,7 @@ def _class_names(owner: np.ndarray, values: np.ndarray, count: int) -> tuple[np.
     """The size and the name of each set: equal sets have equal names, empty ones none."""
     cuts = np.searchsorted(owner, np.arange(count + 1))
     raw = values.astype("<u8")
-    names = [hashlib.blake2b(raw[a:b].data, digest_size=16).digest() if b > a else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    names = [hashlib.blake2b(raw[a:b].data, digest_size=NAME_BYTES).digest() if b > a else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return np.diff(cuts), names
 
 
@@ -135,24 +144,32 @@ def _part_keys(owner: np.ndarray, values: np.ndarray, sizes: np.ndarray, rule: S
     return np.concatenate(out_set), np.concatenate(out_key)
 
 
+def _coarse(owner: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """The point of each set: how many of its shingles fall into each of `GROUPS` groups."""
+    group = (mixed(values) >> np.uint64(20)).astype(np.int64) % GROUPS
+    return np.bincount(owner * GROUPS + group, minlength=count * GROUPS).reshape(-1, GROUPS)
+
+
 def document_classes(docs: DataFrame, rule: Similar) -> DataFrame:
-    """(doc_id, n_shingles, class): documents with equal sets have the same class; empty sets have none."""
+    """(doc_id, n_shingles, class, point): documents with equal sets have the same class; empty sets have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, names = _class_names(*shingle_sets(part.column("text"), rule.shingle), part.num_rows)
-                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class"])
+                owner, values = shingle_sets(part.column("text"), rule.shingle)
+                sizes, names = _class_names(owner, values, part.num_rows)
+                points = [row.tobytes() for row in np.minimum(_coarse(owner, values, part.num_rows), FULL).astype("<u2")]
+                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(points, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "point"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class binary, point binary")
 
 
 def _meetings(docs: DataFrame, rule: Similar) -> DataFrame:
-    """(key, class): classes under the same key may be linked.
+    """(key, class, crowd): classes under the same key may be linked.
 
-    A slice of documents says each key once: further classes under it are tied to the first by a key of their own, so
-    a part that many documents share does not make a hot key.
+    Where a slice of documents has a crowd under a key, it says the key once: the other classes are tied to the first by
+    keys of their own, so a part that many documents share does not make a hot key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,25 +185,73 @@ def _meetings(docs: DataFrame, rule: Similar) -> DataFrame:
                 sets, keys = sets[order], keys[order]
                 head = np.ones(len(keys), bool)
                 head[1:] = keys[1:] != keys[:-1]
-                lead = sets[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))] if len(keys) else sets
-                tied = np.unique(np.column_stack([lead[~head], sets[~head]]), axis=0)
+                run_of = np.cumsum(head) - 1
+                lead = sets[np.flatnonzero(head)][run_of]
+                crowd = (np.bincount(run_of) > CROWD)[run_of] if len(keys) else head
+                tied = np.unique(np.column_stack([lead[crowd & ~head], sets[crowd & ~head]]), axis=0)
                 tied = tied[tied[:, 0] != tied[:, 1]]
                 with np.errstate(over="ignore"):
                     tie = mixed(np.frombuffer(b"".join(names[a][:8] for a in tied[:, 0]), "<u8") * np.uint64(3) + np.frombuffer(b"".join(names[b][:8] for b in tied[:, 1]), "<u8"))
-                all_keys = np.concatenate([keys[head], tie, tie]).view(np.int64)
-                all_sets = np.concatenate([sets[head], tied[:, 0], tied[:, 1]])
+                own = head | ~crowd
+                all_keys = (np.concatenate([keys[own], tie, tie]) >> KEY_SHIFT).view(np.int64)
+                all_sets = np.concatenate([sets[own], tied[:, 0], tied[:, 1]])
                 table = pa.array(names, pa.binary()).take(pa.array(all_sets, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(all_keys), table], ["key", "class"])
+                flags = np.concatenate([crowd[own], np.ones(2 * len(tie), bool)])
+                yield pa.RecordBatch.from_arrays([pa.array(all_keys), table, pa.array(flags)], ["key", "class", "crowd"])
+
+    return docs.select("text").mapInArrow(run, "key long, class binary, crowd boolean")
 
-    return docs.select("text").mapInArrow(run, "key long, class binary")
 
+def _candidate_edges(meetings: DataFrame, classes: DataFrame, rule: Similar) -> DataFrame:
+    """(a, b): pairs under a key that pass the bound on their points, as many as connect them.
 
-def _candidate_edges(meetings: DataFrame) -> DataFrame:
-    """Neighbours in the sorted list of the classes under a key: as connected as all pairs, and never more than rows."""
+    Most keys have one class; only the others bring the points of theirs. In a crowd, neighbours in the list are taken
+    for candidates: that connects them all, so no pair is lost.
+    """
     from pyspark.sql import Window
 
-    before = F.lag("class").over(Window.partitionBy("key").orderBy("class"))
-    return meetings.select("class", before.alias("before")).filter("before <> class").select(F.col("before").alias("a"), F.col("class").alias("b"))
+    order = Window.partitionBy("key").orderBy("class")
+    beside = F.coalesce(F.lag("class").over(order) != F.col("class"), F.lit(False)) | F.coalesce(
+        F.lead("class").over(order) != F.col("class"), F.lit(False)
+    )
+    shared = meetings.select("key", "class", "crowd", beside.alias("beside")).filter("beside").drop("beside")
+    rows = shared.join(classes, "class").repartition("key").sortWithinPartitions("key", F.desc("crowd"), "n", "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, crowd = None, {}, None
+
+        def pairs() -> list[tuple[bytes, bytes]]:
+            names = list(held)
+            points = np.frombuffer(b"".join(p for _, p in held.values()), "<u2").astype(np.int64).reshape(-1, GROUPS)
+            points[points == FULL] = 1 << 40
+            sizes = np.array([n for n, _ in held.values()], np.int64)
+            return [(names[i], names[j]) for i, j in linked_pairs(points, sizes, None, None, rule)]
+
+        out: list[tuple[bytes, bytes]] = []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "class", "crowd", "n", "point")]
+            for key, name, many, n, point in zip(*columns, strict=True):
+                if key != current:
+                    if len(held) > 1:
+                        out += pairs()
+                    current, held, crowd = key, {}, name if many else None
+                if crowd is not None:
+                    if name != crowd:
+                        out.append((crowd, name))
+                        crowd = name
+                    continue
+                held[name] = n, point
+                if len(held) > MEETING:
+                    names = list(held)
+                    out += zip(names[:-1], names[1:], strict=True)
+                    held, crowd = {}, names[-1]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
+            out = []
+        if len(held) > 1:
+            out = pairs()
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
+
+    return rows.select("key", "class", "crowd", "n", "point").mapInArrow(run, "a binary, b binary")
 
 
 def _points(docs: DataFrame, chosen: DataFrame, rule: Similar) -> DataFrame:
@@ -200,8 +265,7 @@ def _points(docs: DataFrame, chosen: DataFrame, rule: Similar) -> DataFrame:
                 owner, values = shingle_sets(part.column("text"), rule.shingle)
                 sizes, names = _class_names(owner, values, part.num_rows)
                 same = np.array([a == b for a, b in zip(names, part.column("class").to_pylist(), strict=True)], bool)
-                group = (mixed(values) >> np.uint64(20)).astype(np.int64) % GROUPS
-                counts = np.bincount(owner * GROUPS + group, minlength=part.num_rows * GROUPS).reshape(-1, GROUPS)
+                counts = _coarse(owner, values, part.num_rows)
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 raw = values.astype("<u8")
                 sets = [raw[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -231,10 +295,13 @@ def _leaf_pairs(members: DataFrame, rule: Similar) -> DataFrame:
     return one.join(two, "component").filter(fits).select("component", F.col("leaf_1").alias("one"), F.col("leaf_2").alias("two"))
 
 
-def linked_pairs(points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, rule: Similar) -> list[tuple[int, int]]:
+def linked_pairs(
+    points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray | None, rule: Similar
+) -> list[tuple[int, int]]:
     """Links that connect what is linked: pairs already connected through others are not verified again.
 
     Points are nodes of `NODE` neighbours in their order. With `side`, only pairs of different sides are compared.
+    Without `sets`, the pairs are those that pass the bound on their points.
     """
     n = len(sizes)
     root = list(range(n))
@@ -263,7 +330,7 @@ def linked_pairs(points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray],
         near, need = (x[np.minimum(points[near], points[i]).sum(1) >= need] for x in (near, need))
         for j, least in zip(near.tolist(), need.tolist(), strict=True):
             a, b = top(i), top(j)
-            if a != b and np.intersect1d(sets[i], sets[j], assume_unique=True).size >= least:
+            if a != b and (sets is None or np.intersect1d(sets[i], sets[j], assume_unique=True).size >= least):
                 root[max(a, b)] = min(a, b)
                 links.append((i, j))
     return links
@@ -312,13 +379,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Words are runs of non-space characters, with A-Z in lower case; a text of fewer than `rule.shingle` words is one
     shingle. A null, empty or wordless text has no shingles and is linked with nothing. Rows with a null id get their
     n_shingles and no component, and link nothing. Rows with equal ids share what each of them links. A 64-bit
-    hash stands for a shingle, and a 128-bit one for a set. Other columns are not read.
+    hash stands for a shingle, and one of 96 bits for a set. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     known = written(document_classes(rows, rule), "jaccard-classes")
     named = rows.filter("doc_id is not null")
-    candidates = connected(_candidate_edges(_meetings(named, rule)))
-    firsts = known.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    placed = known.filter("class is not null and doc_id is not null")
+    points_of = placed.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("point").alias("point"))
+    candidates = connected(_candidate_edges(_meetings(named, rule), points_of, rule))
+    firsts = placed.groupBy("class").agg(F.min("doc_id").alias("rep"))
     chosen = written(candidates.join(firsts, F.col("node") == F.col("class")).select("rep", "class", "component"), "jaccard-candidates")
     points = written(_points(named, chosen, rule), "jaccard-points")
     members = sorted_once(points.select("component", "n", "point", "class"), ("component",), ("n", "point", "class"), "jaccard-leaves")

@@ -31,7 +31,7 @@ def found(rows):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
 
 
-@pytest.mark.parametrize("leaf_bits", [8, 2])
+@pytest.mark.parametrize("leaf_bits", [8, 2, 4])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, leaf_bits):
     monkeypatch.setattr(jaccard_join, "LEAF_BITS", leaf_bits)
     texts = near_texts(leaf_bits)
@@ -64,3 +64,19 @@ def test_connected_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1005), (1005, 1000), (7, 7)]
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1005: 1000}
+
+
+def test_a_crowd_of_near_copies(spark):
+    """More near copies than are searched under one key, in one slice and in many."""
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for d in range(400):
+        words = list(base)
+        words[draw.randrange(60)] = f"x{d}"
+        texts[d] = " ".join(words)
+    texts |= {500 + d: " ".join(draw.sample(base, 60)) for d in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute.components(texts)
+    for parts in (1, 40):
+        assert found(jaccard_components(docs.repartition(parts)).collect()) == want

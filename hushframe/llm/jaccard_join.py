@@ -32,8 +32,9 @@ from hushframe.storage import written
 #: Empty parts that a document may have without taking part under their keys.
 SPARE = 2
 #: Coordinates of the points in the tree, points of a leaf (a power of two), points of a node inside it.
-GROUPS = 32
-FULL = (1 << 16) - 1  # stands for this count and all above, so that bounds stay bounds
+GROUPS = 128
+FOLDED = 16  # coordinates of the boxes of leaves: sums of neighbouring ones
+FULL = 255  # stands for this count and all above, so that bounds stay bounds
 LEAF_BITS = 8
 NODE = 16
 #: Up to so many ids are broadcast to find the texts of candidates; more are joined by a shuffle.
@@ -151,18 +152,29 @@ def _coarse(owner: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
 
 
 def document_classes(docs: DataFrame, rule: Similar) -> DataFrame:
-    """(doc_id, n_shingles, class, point): documents with equal sets have the same class; empty sets have none."""
+    """(doc_id, n_shingles, class, point, folded): documents with equal sets have the same class; empty sets have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 owner, values = shingle_sets(part.column("text"), rule.shingle)
                 sizes, names = _class_names(owner, values, part.num_rows)
-                points = [row.tobytes() for row in np.minimum(_coarse(owner, values, part.num_rows), FULL).astype("<u2")]
-                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(points, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "point"])
+                points = _coarse(owner, values, part.num_rows)
+                folded = points.reshape(part.num_rows, FOLDED, -1).sum(2)
+                columns = [
+                    part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+                    pa.array([row.tobytes() for row in np.minimum(points, FULL).astype(np.uint8)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * FOLDED, pa.int32()), pa.array(folded.ravel(), pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "point", "folded"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class binary, point binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class binary, point binary, folded array<int>")
+
+
+def _points_from(raw: list[bytes]) -> np.ndarray:
+    points = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64).reshape(-1, GROUPS)
+    points[points == FULL] = 1 << 40
+    return points
 
 
 def _meetings(docs: DataFrame, rule: Similar) -> DataFrame:
@@ -215,15 +227,14 @@ def _candidate_edges(meetings: DataFrame, classes: DataFrame, rule: Similar) ->
         F.lead("class").over(order) != F.col("class"), F.lit(False)
     )
     shared = meetings.select("key", "class", "crowd", beside.alias("beside")).filter("beside").drop("beside")
-    rows = shared.join(classes, "class").repartition("key").sortWithinPartitions("key", F.desc("crowd"), "n", "class")
+    rows = shared.join(classes.select("class", "n", "point"), "class").repartition("key").sortWithinPartitions("key", F.desc("crowd"), "n", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, crowd = None, {}, None
 
         def pairs() -> list[tuple[bytes, bytes]]:
             names = list(held)
-            points = np.frombuffer(b"".join(p for _, p in held.values()), "<u2").astype(np.int64).reshape(-1, GROUPS)
-            points[points == FULL] = 1 << 40
+            points = _points_from([p for _, p in held.values()])
             sizes = np.array([n for n, _ in held.values()], np.int64)
             return [(names[i], names[j]) for i, j in linked_pairs(points, sizes, None, None, rule)]
 
@@ -254,34 +265,43 @@ def _candidate_edges(meetings: DataFrame, classes: DataFrame, rule: Similar) ->
     return rows.select("key", "class", "crowd", "n", "point").mapInArrow(run, "a binary, b binary")
 
 
-def _points(docs: DataFrame, chosen: DataFrame, rule: Similar) -> DataFrame:
-    """(class, component, n, point, shingles) of the chosen (rep, class, component) classes, from the text of `rep`."""
+def _visits(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, visits): the pairs of leaves that each point is compared in."""
+    both = pairs.select("component", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("leaf"))
+    dealt = members.select("component", "leaf", "class", F.col(POSITION).alias("place")).join(both, ["component", "leaf"])
+    return dealt.groupBy("class").agg(F.collect_list(F.struct("component", "one", "two", "leaf", "place")).alias("visits"))
+
+
+def _with_shingles(docs: DataFrame, chosen: DataFrame, rule: Similar) -> DataFrame:
+    """One row per visit of the chosen (rep, class, visits) classes, with the shingles from the text of `rep`."""
     few = chosen.count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("rep")).select("text", "class", "component")
+    found = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("rep")).select("text", "class", "visits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 owner, values = shingle_sets(part.column("text"), rule.shingle)
-                sizes, names = _class_names(owner, values, part.num_rows)
-                same = np.array([a == b for a, b in zip(names, part.column("class").to_pylist(), strict=True)], bool)
-                counts = _coarse(owner, values, part.num_rows)
-                cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                raw = values.astype("<u8")
-                sets = [raw[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                point = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * GROUPS, pa.int32()), pa.array(counts.ravel(), pa.int32()))
-                rows = pa.RecordBatch.from_arrays(
-                    [part.column("class"), part.column("component"), pa.array(sizes, pa.int64()), point, pa.array(sets, pa.binary())],
-                    ["class", "component", "n", "point", "shingles"],
-                )
-                yield rows.filter(pa.array(same))
-
-    return found.mapInArrow(run, "class binary, component binary, n long, point array<int>, shingles binary")
+                _, names = _class_names(owner, values, part.num_rows)
+                raw, cuts = values.astype("<u8"), np.searchsorted(owner, np.arange(part.num_rows + 1))
+                for i, (name, own, visits) in enumerate(zip(names, part.column("class").to_pylist(), part.column("visits").to_pylist(), strict=True)):
+                    if name != own:
+                        continue
+                    shingles = raw[cuts[i] : cuts[i + 1]].tobytes()
+                    columns = {c: [v[c] for v in visits] for c in ("component", "one", "two", "leaf", "place")}
+                    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                    arrays = [pa.array(x, k) for x, k in zip(columns.values(), kinds, strict=True)]
+                    copies = len(visits)
+                    yield pa.RecordBatch.from_arrays(
+                        [*arrays, pa.array([name] * copies, pa.binary()), pa.array([shingles] * copies, pa.binary())],
+                        [*columns, "class", "shingles"],
+                    )
+
+    return found.mapInArrow(run, "component binary, one long, two long, leaf long, place long, class binary, shingles binary")
 
 
 def _leaf_pairs(members: DataFrame, rule: Similar) -> DataFrame:
     """(component, one, two): leaves of a component, one <= two, whose boxes can hold a linked pair."""
-    high = F.array(*[F.max(F.col("point")[g]) for g in range(GROUPS)])
+    high = F.array(*[F.max(F.col("folded")[g]) for g in range(FOLDED)])
     boxes = members.groupBy("component", "leaf").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), high.alias("high"))
     one = boxes.select("component", *[F.col(c).alias(f"{c}_1") for c in ("leaf", "low_n", "high_n", "high")])
     two = boxes.select("component", *[F.col(c).alias(f"{c}_2") for c in ("leaf", "low_n", "high_n", "high")])
@@ -336,13 +356,9 @@ def linked_pairs(
     return links
 
 
-def _links(members: DataFrame, points: DataFrame, pairs: DataFrame, rule: Similar) -> DataFrame:
-    """(a, b): verified links between classes."""
-    ends = F.array_distinct(F.array("one", "two"))
-    visits = pairs.select("component", "one", "two", F.explode(ends).alias("leaf"))
-    dealt = members.select("component", "leaf", "class", POSITION).join(visits, ["component", "leaf"])
-    rows = dealt.drop("component").join(points, "class")
-    rows = rows.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", POSITION)
+def _links(rows: DataFrame, rule: Similar) -> DataFrame:
+    """(a, b): verified links between the classes that visit the same pair of leaves."""
+    rows = rows.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -350,17 +366,18 @@ def _links(members: DataFrame, points: DataFrame, pairs: DataFrame, rule: Simila
         def done() -> pa.RecordBatch:
             group = {row[0]: row for row in held}
             names = list(group)
-            point = np.array([row[1] for row in group.values()], np.int64).reshape(-1, GROUPS)
-            sets = [np.frombuffer(row[2], "<u8") for row in group.values()]
-            leaf = np.array([row[3] for row in group.values()], np.int64)
+            sets = [np.frombuffer(row[1], "<u8") for row in group.values()]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            point = _coarse(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), len(sets))
+            leaf = np.array([row[2] for row in group.values()], np.int64)
             side = None if current[1] == current[2] else leaf
-            found = linked_pairs(point, np.array([len(s) for s in sets], np.int64), sets, side, rule)
+            found = linked_pairs(point, sizes, sets, side, rule)
             return pa.RecordBatch.from_arrays(
                 [pa.array([names[i] for i, _ in found], pa.binary()), pa.array([names[j] for _, j in found], pa.binary())], ["a", "b"]
             )
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "one", "two", "class", "point", "shingles", "leaf")]
+            columns = [batch.column(c).to_pylist() for c in ("component", "one", "two", "class", "shingles", "leaf")]
             for component, one, two, *row in zip(*columns, strict=True):
                 if (component, one, two) != current:
                     if held:
@@ -370,7 +387,7 @@ def _links(members: DataFrame, points: DataFrame, pairs: DataFrame, rule: Simila
         if held:
             yield done()
 
-    return rows.select("component", "one", "two", "class", "point", "shingles", "leaf").mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Similar = Similar()) -> DataFrame:
@@ -385,14 +402,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     known = written(document_classes(rows, rule), "jaccard-classes")
     named = rows.filter("doc_id is not null")
     placed = known.filter("class is not null and doc_id is not null")
-    points_of = placed.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("point").alias("point"))
-    candidates = connected(_candidate_edges(_meetings(named, rule), points_of, rule))
-    firsts = placed.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    chosen = written(candidates.join(firsts, F.col("node") == F.col("class")).select("rep", "class", "component"), "jaccard-candidates")
-    points = written(_points(named, chosen, rule), "jaccard-points")
-    members = sorted_once(points.select("component", "n", "point", "class"), ("component",), ("n", "point", "class"), "jaccard-leaves")
+    classes = placed.groupBy("class").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.first("folded").alias("folded")
+    )
+    firsts = classes.select("class", "rep")
+    candidates = connected(_candidate_edges(_meetings(named, rule), classes, rule))
+    members = candidates.join(classes, F.col("node") == F.col("class")).select("component", "n", "folded", "class")
+    members = sorted_once(members, ("component",), ("n", "folded", "class"), "jaccard-leaves")
     members = members.withColumn("leaf", F.shiftright(POSITION, LEAF_BITS))
-    linked = connected(_links(members, points, _leaf_pairs(members, rule), rule))
+    chosen = written(_visits(members, _leaf_pairs(members, rule)).join(firsts, "class"), "jaccard-visits")
+    linked = connected(_links(_with_shingles(named, chosen, rule), rule))
     linked = linked.join(firsts, F.col("node") == F.col("class")).select("class", "component", "rep")
     smallest = linked.groupBy("component").agg(F.min("rep").alias("linked_id"))
     labels = firsts.join(linked.join(smallest, "component").select("class", "linked_id"), "class", "left")

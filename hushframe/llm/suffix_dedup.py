@@ -70,13 +70,18 @@ def _named(docs: DataFrame) -> DataFrame:
     """(gram, name, id, tid, start, at, end, repeat): anchors with the range of their context in the text.
 
     Of equal contexts in a slice only the first travels by its gram; the others are repeats already, so that a passage
-    of a third of all documents does not make a hot key.
+    of a third of all documents does not make a hot key. Of repeated rows in a slice only one is read: their places are
+    the same, and a place does not repeat itself.
     """
     names = ["gram", "name", "id", "tid", "start", "at", "end", "repeat"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
+                keys = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tid")])
+                single = np.unique(keys, axis=0, return_index=True)[1]
+                if len(single) < len(keys):
+                    part = part.take(pa.array(np.sort(single)))
                 flat, offsets = text_bytes(part.column("text"))
                 doc, place, gram = anchors(flat, offsets)
                 start = np.maximum(place - REACH, offsets[doc])
@@ -99,7 +104,10 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _first_and_rest(named: DataFrame) -> DataFrame:
-    """(gram, id, tid, start, at, end, repeat) of repeated contexts, and of the first ones where a gram has several."""
+    """(gram, id, tid, start, at, end, repeat) of repeated contexts, and of the first ones where a gram has several.
+
+    The same place comes from several slices if a row is repeated; only its first one counts.
+    """
     ordered = named.repartition("gram").sortWithinPartitions("repeat", "gram", "name", "id", "tid", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,14 +115,17 @@ def _first_and_rest(named: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, name = (batch.column(c).to_numpy() for c in ("gram", "name"))
+            gram, name, *place = (batch.column(c).to_numpy() for c in ("gram", "name", "id", "tid", "at"))
             done = batch.column("repeat").to_numpy(zero_copy_only=False)
             new_gram, new_name = np.ones(len(gram), bool), np.ones(len(gram), bool)
             new_gram[1:] = gram[1:] != gram[:-1]
             new_name[1:] = new_gram[1:] | (name[1:] != name[:-1])
+            same = np.zeros(len(gram), bool)
+            same[1:] = ~new_name[1:] & np.logical_and.reduce([x[1:] == x[:-1] for x in place])
             if last is not None and not done[0]:
                 new_gram[0] = gram[0] != last[0]
                 new_name[0] = new_gram[0] or name[0] != last[1]
+                same[0] = not new_name[0] and [x[0] for x in place] == last[2]
             repeat = done | ~new_name
             # A first context is compared if its gram has another one, maybe in a later batch.
             heads = np.flatnonzero(~repeat)
@@ -125,11 +136,11 @@ def _first_and_rest(named: DataFrame) -> DataFrame:
                 if waiting is not None and several[0]:
                     yield waiting
                 waiting = None if several[-1] or compare[-1] else batch.slice(int(heads[-1]), 1).drop_columns(["name"])
-            keep = repeat.copy()
+            keep = done | (repeat & ~same)
             keep[heads[compare]] = True
             marked = batch.set_column(batch.schema.get_field_index("repeat"), "repeat", pa.array(repeat)).drop_columns(["name"])
             yield marked.filter(pa.array(keep))
-            last = None if done[-1] else (gram[-1], name[-1])
+            last = None if done[-1] else (gram[-1], name[-1], [x[-1] for x in place])
 
     return ordered.mapInArrow(run, f"gram long, {_PLACE}, start long, at long, end long, repeat boolean")
 
@@ -137,7 +148,9 @@ def _first_and_rest(named: DataFrame) -> DataFrame:
 def _contexts(moved: DataFrame, firsts: DataFrame) -> DataFrame:
     """(gram, id, tid, at, suffix, before) of the contexts to compare: what follows an anchor, and what precedes it, backwards."""
     lists = firsts.groupBy("id", "tid").agg(F.collect_list(F.struct("gram", "start", "at", "end")).alias("parts"))
-    joined = moved.join(lists, ["id", "tid"], "left").select("id", "tid", "text", "parts")
+    # Repeated rows have the same places: one of them is enough.
+    single = moved.dropDuplicates(["id", "tid"])
+    joined = single.join(lists, ["id", "tid"], "left").select("id", "tid", "text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

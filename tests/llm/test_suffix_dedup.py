@@ -60,3 +60,22 @@ def test_odd_rows(spark):
     got = sorted((r["doc_id"] or -1, len(r["kept"])) for r in dedup_suffixes(df).collect())
     assert got == [(-1, len(long)), (4, 0), (4, 0), (5, 0), (6, 1)]
     assert dedup_suffixes(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [50_000, 0])
+@pytest.mark.parametrize("pieces", [1, 3])
+def test_repeated_rows_that_hold_their_text_first_keep_it(spark, monkeypatch, hot, pieces):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    first, other = (" ".join(f"{w}{i}" for i in range(60)) for w in ("word", "term"))
+    # The anchors of `mixed` have other contexts than those of `first`, so that the strings are induced, too.
+    mixed = "y" + first[: len(first) // 2] + "#" + other
+    docs = {4: first, 5: mixed, 6: "x" + first, 7: other}
+    same = [(d, t) for d, t in docs.items() for _ in range(1 if d == 6 else 3)]
+    parts = [spark.createDataFrame(same[k::pieces], "doc_id long, text string").coalesce(1) for k in range(pieces)]
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.union(part)
+    want = brute(docs)
+    got = sorted((r["doc_id"], r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in dedup_suffixes(df).collect())
+    assert got == sorted((d, *want[d]) for d, _ in same)
+    assert len(want[4][2]) == len(first)

@@ -218,7 +218,8 @@ def _candidate_edges(meetings: DataFrame, classes: DataFrame, rule: Similar) ->
     """(a, b): pairs under a key that pass the bound on their points, as many as connect them.
 
     Most keys have one class; only the others bring the points of theirs. In a crowd, neighbours in the list are taken
-    for candidates: that connects them all, so no pair is lost.
+    for candidates: that connects them all, so no pair is lost. A key is a crowd if any slice says so, whichever rows of
+    a class stay.
     """
     from pyspark.sql import Window
 
@@ -226,7 +227,8 @@ def _candidate_edges(meetings: DataFrame, classes: DataFrame, rule: Similar) ->
     beside = F.coalesce(F.lag("class").over(order) != F.col("class"), F.lit(False)) | F.coalesce(
         F.lead("class").over(order) != F.col("class"), F.lit(False)
     )
-    shared = meetings.select("key", "class", "crowd", beside.alias("beside")).filter("beside").drop("beside")
+    crowd = F.max("crowd").over(Window.partitionBy("key"))
+    shared = meetings.select("key", "class", crowd.alias("crowd"), beside.alias("beside")).filter("beside").drop("beside")
     rows = shared.join(classes.select("class", "n", "point"), "class").repartition("key").sortWithinPartitions("key", F.desc("crowd"), "n", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,3 +80,19 @@ def test_a_crowd_of_near_copies(spark):
     want = brute.components(texts)
     for parts in (1, 40):
         assert found(jaccard_components(docs.repartition(parts)).collect()) == want
+
+
+def test_a_crowd_whose_lead_has_copies_in_other_slices(spark):
+    """The key stays a crowd, whichever of the equal rows of its lead are left: what is tied to the lead may be linked with the other class."""
+    lead, other = b"lead", b"other"
+    rows = [(key, lead, copy == key) for key in range(20) for copy in range(20)] + [(key, other, False) for key in range(20)]
+    alone = [(100 + key, name, False) for key in range(20) for name in (lead, lead, other)]
+    points = [(lead, 60, bytes([60] + [0] * 127)), (other, 60, bytes([0] * 127 + [60]))]
+    classes = spark.createDataFrame(points, "class binary, n long, point binary")
+
+    def edges(meetings):
+        made = spark.createDataFrame(meetings, "key long, class binary, crowd boolean").repartition(4)
+        return [{bytes(r["a"]), bytes(r["b"])} for r in jaccard_join._candidate_edges(made, classes, Similar()).collect()]
+
+    assert edges(rows) == [{lead, other}] * 20
+    assert edges(alone) == []

@@ -147,6 +147,18 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+WINDOWS = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_mixing": MIXING,
     "op3_quality_rules": QUALITY,
@@ -154,4 +166,5 @@ ORACLES: dict[str, str] = {
     "op6_jaccard_join": JACCARD,
     "op9_line_dedup": LINES,
     "op10_suffix_dedup": SUFFIXES,
+    "op13_window_dedup": WINDOWS,
 }

@@ -19,6 +19,7 @@ from hushframe.llm.mixing import mix
 from hushframe.llm.oracles import ORACLES as ORACLES
 from hushframe.llm.quality_rules import apply_rules
 from hushframe.llm.suffix_dedup import dedup_suffixes
+from hushframe.llm.window_dedup import dedup_windows
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
 # A conversation that speaks the template's own control strings.
@@ -104,6 +105,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = dedup_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return made.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_window_dedup": op13_window_dedup,
     "pipeline": pipeline,
 }
 

@@ -19,6 +19,7 @@ from hushframe.llm.mixing import mix
 from hushframe.llm.oracles import ORACLES as ORACLES
 from hushframe.llm.quality_rules import apply_rules
 from hushframe.llm.suffix_dedup import dedup_suffixes
+from hushframe.llm.whitening import whitened, with_long_deviation
 from hushframe.llm.window_dedup import dedup_windows
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -105,6 +106,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_long_deviation(whitened(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
 def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = dedup_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_whitening": op12_whitening,
     "op13_window_dedup": op13_window_dedup,
     "pipeline": pipeline,
 }

@@ -124,14 +124,24 @@ class Aligner:
         ids_a = [e.ids for e in self.a.encode_batch_fast([f" {c}" for c in chunks], add_special_tokens=False)]
         return ids_a, self.b.encode(chunks, num_threads=1)
 
+    def _spelled(self, chunks: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
+        """Whether the tokens of both sides spell a space and the chunk: asked for all at once, and for each if some do not."""
+        whole = [f" {c}".encode() for c in chunks]
+        sides = ((self.bytes_a, ids_a), (self.bytes_b, ids_b))
+        for spell, ids in sides:
+            joined = [b"".join(map(spell.__getitem__, own)) for own in ids]
+            if joined != whole:
+                break
+        else:
+            return [True] * len(whole)
+        return [all(b"".join(map(spell.__getitem__, ids[k])) == w for spell, ids in sides) for k, w in enumerate(whole)]
+
     def align(self, chunks: list[str]) -> Iterator[tuple[bool, str, tuple[int, int, int, int], np.ndarray]]:
         """(fits, groups, counts, pairs) of each chunk, all of them at once."""
         ids_a, ids_b = self.tokens(chunks)
-        fits = []
-        for k, chunk in enumerate(chunks):
-            whole = f" {chunk}".encode()
-            fits.append(all(b"".join(map(t.__getitem__, ids[k])) == whole for t, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))))
-            if not fits[-1]:
+        fits = self._spelled(chunks, ids_a, ids_b)
+        for k, ok in enumerate(fits):
+            if not ok:
                 ids_a[k], ids_b[k] = [], []
         count_a, count_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
         a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))

@@ -29,7 +29,7 @@ SIZE = 20
 GRAM = 5
 #: Super-k-mers that are sorted at once, and the most that one minimiser may have before its windows travel alone.
 CHUNK = 20_000
-HOT = 50_000
+HOT = 1_000
 #: Bytes of text that are searched at once.
 SLICE_BYTES = 4 << 20
 _LOW = np.uint64(32)

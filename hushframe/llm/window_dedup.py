@@ -30,6 +30,8 @@ GRAM = 5
 #: Super-k-mers that are sorted at once, and the most that one minimiser may have before its windows travel alone.
 CHUNK = 20_000
 HOT = 1_000
+#: Up to so many hot minimisers are broadcast; there is at most one for each HOT super-k-mers.
+BROADCAST_HOT = 200_000
 #: Bytes of text that are searched at once.
 SLICE_BYTES = 4 << 20
 _LOW = np.uint64(32)
@@ -259,10 +261,12 @@ def dedup_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     long_rows = rows.filter(~short)
     found = written(_sorted_out(_announced(long_rows, size, gram)), "super-kmers")
     repeats, chosen = found.filter("repeat").select("id", "tid", "start", "end"), found.filter("not repeat").drop("repeat")
-    crowded = chosen.groupBy("minimiser").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("minimiser")
-    if crowded.isEmpty():
+    crowded = written(chosen.groupBy("minimiser").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("minimiser"), "hot-minimisers")
+    count = crowded.count()
+    if not count:
         counted = _counted(_packed(long_rows, chosen), size)
     else:
+        crowded = F.broadcast(crowded) if count <= BROADCAST_HOT else crowded
         counted = _counted(_packed(long_rows, chosen.join(crowded, "minimiser", "left_anti")), size)
         counted = counted.unionByName(_alone(_packed(long_rows, chosen.join(crowded, "minimiser", "left_semi")), size))
     ranges = repeats.unionByName(counted).groupBy("id", "tid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))

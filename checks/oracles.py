@@ -390,12 +390,34 @@ ORACLES: dict[str, str] = {
     "text_export": f"{notes_findings('strict')}, {text_tokens('doc_id')} {replaced_text('n', 'doc_id', 'text')}",
     "folder_exploration": f"""WITH p AS ({PEOPLE}), q AS (SELECT {', '.join(f'{canonical(c, t)} AS {c}' for c, t in PEOPLE_COLUMNS)} FROM p),
       {cell_findings('q', [(c, 'string') for c, _ in PEOPLE_COLUMNS], 'person_id', 'strict')},
-      x AS ({notes_findings('strict')} SELECT pii_type FROM t)
-      SELECT 'people' AS dataset, pii_type AS subject, 'has_pii=true' AS detail, count(*) AS amount FROM f GROUP BY pii_type
-      UNION ALL SELECT 'notes', pii_type, 'has_pii=true', count(*) FROM x GROUP BY pii_type
-      UNION ALL SELECT 'regions', NULL, 'has_pii=false', 0
-      UNION ALL SELECT 'people', 'rows', '{len(PEOPLE_COLUMNS)}', count(*) FROM p
-      UNION ALL SELECT 'regions', 'rows', '2', count(*) FROM region""",
+      x AS ({notes_findings('strict')} SELECT * FROM t),
+      n AS ({NOTES}),
+      e AS (
+        SELECT 'people' AS dataset, 'findings' AS event, pii_type AS subject, col AS detail, count(*) AS amount FROM f GROUP BY pii_type, col
+        UNION ALL SELECT 'notes', 'findings', pii_type, 'text', count(*) FROM x GROUP BY pii_type
+        UNION ALL SELECT 'damaged', 'findings', 'EMAIL', '(record)', count(*) FROM customer WHERE c_custkey % 10 = 1)
+      SELECT * FROM e
+      UNION ALL SELECT dataset, 'pii_detection', subject, 'has_pii=true', sum(amount)::BIGINT FROM e GROUP BY dataset, subject
+      UNION ALL SELECT 'regions', 'pii_detection', NULL, 'has_pii=false', 0
+      UNION ALL SELECT 'bare', 'pii_detection', NULL, 'has_pii=false', 0
+      UNION ALL SELECT 'damaged', 'records_quarantined', ['surplus_fields', 'missing_fields', 'undecodable'][(c_custkey % 10)::INT], NULL, count(*)
+        FROM customer WHERE c_custkey % 10 IN (1, 2, 3) GROUP BY c_custkey % 10
+      UNION ALL SELECT 'people', 'profile', 'size', '{len(PEOPLE_COLUMNS)}', count(*) FROM p
+      UNION ALL SELECT 'regions', 'profile', 'size', '2', count(*) FROM region
+      UNION ALL SELECT 'bare', 'profile', 'size', '2', 0
+      UNION ALL SELECT 'damaged', 'profile', 'size', '2', count(*) FROM customer
+      UNION ALL SELECT 'notes', 'profile', 'size', NULL, sum({word_count('text')})::BIGINT FROM n""",
+    "csv_quarantine": """SELECT c_custkey AS person_id, ['surplus_fields', 'missing_fields', 'undecodable'][(c_custkey % 10)::INT] AS reason,
+      (c_custkey % 10 = 1)::BIGINT AS found FROM customer WHERE c_custkey % 10 IN (1, 2, 3)""",
+    "csv_split_records": """SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS l_linenumber, l_suppkey,
+      l_returnflag || '," ' || l_linestatus || CASE WHEN l_linenumber % 3 = 0 THEN chr(10) || chr(10) || ',x' || chr(10) ELSE '' END AS remark FROM lineitem""",
+    "folder_refresh": f"""WITH p AS ({PEOPLE}), q AS (SELECT {', '.join(f'{canonical(c, t)} AS {c}' for c, t in PEOPLE_COLUMNS)} FROM p),
+      {cell_findings('q', [(c, 'string') for c, _ in PEOPLE_COLUMNS], 'person_id', 'strict')}
+      SELECT pii_type AS part, count(*) AS amount FROM f GROUP BY pii_type
+      UNION ALL SELECT 'all rows', count(*) FROM p
+      UNION ALL SELECT 'rows read again', count(*) FROM p WHERE person_id % 2 = 1""",
+    "text_lines": r"""SELECT md5(line) AS digest, count(*) AS amount
+      FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')) AS line FROM documents) t WHERE line <> '' GROUP BY line""",
     "csv_mixed_headers": f"""WITH p AS (SELECT *, note || ';a,b' || chr(10) || 'c,' || city AS remark FROM ({PEOPLE}) q)
       SELECT ',' AS delimiter, 'person_id,city,remark' AS header, person_id, city, remark, NULL AS telefon, NULL AS date_of_birth FROM p WHERE person_id % 3 = 0
       UNION ALL SELECT ',', 'remark,person_id,telefon', person_id, NULL, remark, telefon, NULL FROM p WHERE person_id % 3 = 1

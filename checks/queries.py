@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from checks.people import AS_OF, NOTES, PEOPLE
 from hushframe.functions.masking import mask_email, mask_generic, mask_phone, mask_value
 from hushframe.functions.sizes import format_size
-from hushframe.functions.text import canonical_text, decode_utf8
+from hushframe.functions.text import canonical_text, decode_utf8, lines_of
 from hushframe.operators import (
     anonymize_table, anonymize_text, audit, context, conversations, detect, gate, profile_table, profile_text, report,
     rules,
 )
 from hushframe.plans import folder, release
-from hushframe.sources import catalog, delimited, documents, export
+from hushframe.sources import catalog, delimited, documents, export, split_csv
 from hushframe.storage import shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -590,18 +590,120 @@ def text_export(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def _csv(df, path, **options):
+    """As many files as there are tasks, each with a header."""
+    df.write.options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", **options).csv(path)
+
+
+def _raw_lines(lines, path):
+    """Files of given lines (`bucket`, `place`, `line`) as they are, one for each bucket, in Latin-1: its letters are no UTF-8."""
+    plain = {"header": "false", "sep": "\u0001", "quote": "\u0002", "escapeQuotes": "false", "emptyValue": "", "encoding": "ISO-8859-1"}
+    ordered = lines.repartition(8, "bucket").sortWithinPartitions("bucket", "place").select("bucket", "line")
+    ordered.write.partitionBy("bucket").options(ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", **plain).csv(path)
+
+
+def _damaged_customers(spark, sf_dir):
+    """Customers in files of up to 1,000: of ten keys, one has a surplus field with an e-mail, one lacks a field, one is no
+    UTF-8, and the others have a quoted line end."""
+    key, label = F.col("c_custkey"), F.col("c_mktsegment")
+    named, kind = F.concat(F.lit("c"), key.cast("string")), key % 10
+    text = (
+        F.when(kind == 1, F.concat(named, F.lit(","), label, F.lit(",extra"), key.cast("string"), F.lit("@example.com")))
+        .when(kind == 2, named)
+        .when(kind == 3, F.concat(named, F.lit(",caf\u00e9 "), label))
+        .otherwise(F.concat(named, F.lit(',"'), label, F.lit("\n"), label, F.lit('"')))
+    )
+    bucket = F.floor(key / 1000)
+    rows = spread(table(spark, sf_dir, "customer")).select(bucket.alias("bucket"), key.alias("key"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    rows = rows.select("bucket", F.struct(F.col("key"), F.col("at")).alias("place"), "line")
+    first = rows.select("bucket").distinct().select("bucket", F.struct(F.lit(-1).cast("bigint").alias("key"), F.lit(0).alias("at")).alias("place"), F.lit("code,label").alias("line"))
+    return rows.unionByName(first)
+
+
 @query
 def folder_exploration(spark, sf_dir):
-    """A folder with people and regions as CSV and with notes as a text file: what its trail says about each file."""
+    """A folder with people, regions and damaged files of customers as CSV, a file with a header only, and notes as text
+    files: what its trail, its profile and its findings say about each part."""
     root = f"{shared_folder(spark)}/folder-{uuid.uuid4().hex}"
-    for name, df in (("people", as_text(people(spark, sf_dir))), ("regions", as_text(table(spark, sf_dir, "region")))):
-        df.coalesce(1).write.options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(f"{root}/{name}")
-    notes(spark, sf_dir).orderBy("doc_id").select("text").coalesce(1).write.text(f"{root}/notes")
+    _csv(as_text(people(spark, sf_dir)), f"{root}/people")
+    _csv(as_text(table(spark, sf_dir, "region")), f"{root}/regions")
+    _csv(spark.createDataFrame([], "left string, right string"), f"{root}/bare")
+    _raw_lines(_damaged_customers(spark, sf_dir), f"{root}/damaged")
+    notes(spark, sf_dir).select("text").write.text(f"{root}/notes")
     explored = folder.explore_folder(spark, root, "strict", AS_OF)
-    label = F.regexp_extract("dataset", "/(people|regions|notes)/", 1).alias("dataset")
-    found = explored.events.where("event = 'pii_detection'").select(label, "subject", "detail", "amount")
-    sizes = explored.profile.where("kind = 'csv'").select(label, F.lit("rows").alias("subject"), F.col("column_count").cast("string").alias("detail"), F.col("row_count").alias("amount"))
-    return found.unionByName(sizes)
+    label = F.regexp_extract("dataset", "/(people|regions|notes|bare|damaged)/", 1).alias("dataset")
+    # Clean and unknown files have one event each, however many there are of a part.
+    events = explored.events.where("event <> 'file_loaded'").select(label, "event", "subject", "detail", "amount")
+    events = events.groupBy("dataset", "event", "subject", "detail").agg(F.sum("amount").alias("amount"))
+    sizes = explored.profile.groupBy(label).agg(F.max("column_count").cast("string").alias("detail"), F.sum(F.coalesce("row_count", "word_count")).alias("amount"))
+    sizes = sizes.select("dataset", F.lit("profile").alias("event"), F.lit("size").alias("subject"), "detail", "amount")
+    found = explored.findings.groupBy(label, F.col("column").alias("detail"), "pii_type").agg(F.count(F.lit(1)).alias("amount"))
+    found = found.select("dataset", F.lit("findings").alias("event"), F.col("pii_type").alias("subject"), "detail", "amount")
+    loaded = explored.events.where("event = 'file_loaded'").join(explored.files.withColumnRenamed("path", "dataset"), "dataset", "left_anti")
+    loaded = loaded.select(F.lit("files").alias("dataset"), F.lit("file_loaded").alias("event"), F.lit("unlisted").alias("subject"), F.lit("").alias("detail"), F.lit(1).cast("bigint").alias("amount"))
+    return events.unionByName(sizes).unionByName(found).unionByName(loaded)
+
+
+@query
+def csv_quarantine(spark, sf_dir):
+    """The records that do not fit their table, why, and how many e-mails they hold."""
+    root = f"{shared_folder(spark)}/damaged-{uuid.uuid4().hex}"
+    _raw_lines(_damaged_customers(spark, sf_dir), root)
+    explored = folder.explore_folder(spark, root, "strict", AS_OF)
+    mails = explored.findings.where("column = '(record)' and pii_type = 'EMAIL'").groupBy("dataset", "place").agg(F.count(F.lit(1)).alias("found"))
+    listed = explored.quarantine.join(mails, ["dataset", "place"], "left")
+    return listed.select(
+        F.substring(F.substring_index("record", ",", 1), 2, 20).cast("bigint").alias("person_id"), F.explode("reasons").alias("reason"),
+        F.coalesce("found", F.lit(0)).cast("bigint").alias("found"),
+    )
+
+
+@query
+def csv_split_records(spark, sf_dir):
+    """All lines of orders with quoted line ends, quotes and delimiters in a field, cut in splits far smaller than the files."""
+    root = f"{shared_folder(spark)}/split-{uuid.uuid4().hex}"
+    remark = F.concat("l_returnflag", F.lit('," '), "l_linestatus", F.when(F.col("l_linenumber") % 3 == 0, F.lit("\n\n,x\n")).otherwise(F.lit("")))
+    source = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", remark.alias("remark"), "l_linenumber", "l_suppkey")
+    _csv(source.repartition(4, "l_orderkey"), root)
+    before = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        # The records are cut, and written, inside this call.
+        for name, value in zip(before, ("96k", "8k"), strict=True):
+            spark.conf.set(name, value)
+        tables = split_csv.read_split_tables(spark, [root])
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    numbers = ("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
+    (made,) = tables
+    return made.rows.select(*[F.col(c).cast("bigint").alias(c) for c in numbers], "remark")
+
+
+@query
+def folder_refresh(spark, sf_dir):
+    """A folder explored, extended and explored again with a store: the profile and findings of all, and what was read anew."""
+    root, store = (f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("grown", "store"))
+    source = as_text(people(spark, sf_dir))
+    half = F.col("person_id").cast("bigint") % 2
+    _csv(source.where(half == 0), f"{root}/even")
+    folder.explore_folder(spark, root, "strict", AS_OF, store)
+    _csv(source.where(half == 1), f"{root}/odd")
+    explored = folder.explore_folder(spark, root, "strict", AS_OF, store)
+    rows = explored.profile.agg(F.sum("row_count").alias("amount")).select(F.lit("all rows").alias("part"), "amount")
+    anew = explored.profile.join(explored.read.select(F.col("path").alias("dataset")), "dataset", "left_semi")
+    anew = anew.agg(F.sum("row_count").alias("amount")).select(F.lit("rows read again").alias("part"), "amount")
+    found = explored.findings.groupBy(F.col("pii_type").alias("part")).agg(F.count(F.lit(1)).alias("amount"))
+    return rows.unionByName(anew).unionByName(found)
+
+
+@query
+def text_lines(spark, sf_dir):
+    """The texts of documents in text files read by lines: each line as often as it is there."""
+    root = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("text").write.text(root)
+    lines, _ = documents.read_text_lines(spark, root)
+    single = lines.select(F.explode(lines_of(F.col("text"))).alias("line")).where("line <> ''")
+    return single.groupBy(F.md5("line").alias("digest")).agg(F.count(F.lit(1)).alias("amount"))
 
 
 # Gate and conversations

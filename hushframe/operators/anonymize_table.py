@@ -148,11 +148,13 @@ def anonymize_table(
     broadcast_bytes: int = BROADCAST_BYTES,
     order_columns: bool = False,
     dataset: str = "table",
+    skip: Sequence[str] = (),
 ) -> AnonymizedTable:
     """Replace every found cell by its token. Columns with a finding become text, all others keep their type.
 
     The row key may hold findings too; `order_columns` adds copies of it (`_order_0`, ...) that stay as they are.
-    `safe` marks count if they are of this `dataset` and mode. Nested and binary columns are left as they are.
+    `safe` marks count if they are of this `dataset` and mode. Nested and binary columns are left as they are, and
+    so are those in `skip`.
 
     With tokens of a checked size, each column looks its own up by broadcast and no row of the table moves.
     Otherwise the rows are numbered in a written copy, the tokens are matched by found cell, and come back by that
@@ -164,14 +166,14 @@ def anonymize_table(
     # A mark belongs to a row, so with marks equal texts may differ in their types.
     marked = safe is not None and mode is PrivacyMode.STRICT
     if not marked:
-        dictionary = token_dictionary(detect_cells(df, keys, mode, as_of), keys)
+        dictionary = token_dictionary(detect_cells(df, keys, mode, as_of, skip=skip), keys)
         touched = _touched(df, dictionary)
         if not touched:
             return AnonymizedTable(df.select("*", *extra), dictionary)
         if dictionary.size_bytes <= broadcast_bytes and len(touched) <= LOOK_UP_COLUMNS:
             return AnonymizedTable(_look_up(df, dictionary, touched, extra), dictionary)
     stored = written(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    cells = detect_cells(stored, [*keys, ROW], mode, as_of, skip=[ROW])
+    cells = detect_cells(stored, [*keys, ROW], mode, as_of, skip=[*skip, ROW])
     if marked:
         cells = written(without_marked(cells, keys, safe, dataset, mode), "cells")
         dictionary = token_dictionary(cells, keys)

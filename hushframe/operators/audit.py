@@ -32,18 +32,33 @@ def profiling_completed(counts: DataFrame, dataset: str, kind: str) -> DataFrame
     )
 
 
-def detection_summary(findings: DataFrame, mode: str | PrivacyMode, scanned: DataFrame | None = None) -> DataFrame:
-    """Totals per dataset and type; a dataset of `scanned` without findings has one event that says so."""
+def detection_summary(
+    findings: DataFrame, mode: str | PrivacyMode, scanned: DataFrame | None = None, quarantine: DataFrame | None = None
+) -> DataFrame:
+    """Totals per dataset and type; a dataset of `scanned` without findings has one event that says so.
+
+    One with records in the `quarantine` is not called clean: what they mean is not known.
+    """
     totals = findings.groupBy("dataset", "pii_type").agg(F.count(F.lit(1)).alias("total"))
     if scanned is not None:
         clean = scanned.select("dataset").distinct().join(findings.select("dataset").distinct(), "dataset", "left_anti")
         totals = totals.unionByName(clean.select("dataset", F.lit(None).cast("string").alias("pii_type"), F.lit(0).cast("bigint").alias("total")))
     flag = F.when(F.col("total") > 0, "has_pii=true").otherwise("has_pii=false")
+    if quarantine is not None:
+        doubtful = quarantine.select("dataset", F.lit(True).alias("doubtful")).distinct()
+        totals = totals.join(doubtful, "dataset", "left")
+        flag = F.when((F.col("total") == 0) & F.col("doubtful"), "has_pii=unknown").otherwise(flag)
     return _event(
         totals, "pii_detection", F.col("dataset"), F.lit(parse_mode(mode).value), F.col("pii_type"), flag, F.col("total")
     )
 
 
+def quarantined(quarantine: DataFrame, mode: str | PrivacyMode) -> DataFrame:
+    """Records per dataset and reason; a record with several reasons counts for each. Their texts stay out."""
+    totals = quarantine.select("dataset", F.explode("reasons").alias("reason")).groupBy("dataset", "reason").agg(F.count(F.lit(1)).alias("total"))
+    return _event(totals, "records_quarantined", F.col("dataset"), F.lit(parse_mode(mode).value), F.col("reason"), F.lit(None), F.col("total"))
+
+
 def anonymization_completed(replaced: DataFrame, dataset: str, mode: str | PrivacyMode) -> DataFrame:
     return _event(
         replaced, "anonymization_completed", F.lit(dataset), F.lit(parse_mode(mode).value), F.col("pii_type"),

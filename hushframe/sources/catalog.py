@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +65,30 @@ def _is_folder(spark: SparkSession, root: str) -> bool:
     return files.exists(path) and files.getFileStatus(path).isDirectory()
 
 
+def _empty_files(spark: SparkSession, files: DataFrame, supported: Sequence[str]) -> DataFrame:
+    """The files of 0 bytes among those of a scan, which gives no row for them.
+
+    The scan has listed all paths at the driver already; what its rows lack is looked up there, for supported names only.
+    """
+    ends = tuple(e.lower() for e in supported)
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles() if p.lower().endswith(ends)], "uri string")
+    # Paths of the listing are URIs, those of the rows are not.
+    path = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    seen = files.select(_plain(F.col("path")).alias("key"))
+    lost = listed.select(path.alias("path"), _plain(path).alias("key")).join(seen, "key", "left_anti").collect()
+    made, conf = [], spark._jsparkSession.sessionState().newHadoopConf()
+    for r in lost:
+        file = spark._jvm.org.apache.hadoop.fs.Path(r["path"])
+        status = file.getFileSystem(conf).getFileStatus(file)
+        if status.getLen() == 0:
+            made.append((r["path"], 0, datetime.fromtimestamp(status.getModificationTime() / 1000, UTC)))
+    return spark.createDataFrame(made, "path string, length bigint, modificationTime timestamp")
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:(//)?(?=/)", "")
+
+
 def file_catalog(
     spark: SparkSession,
     root: str | None,
@@ -75,7 +99,7 @@ def file_catalog(
     modified_range: tuple[datetime | str | None, datetime | str | None] | None = None,
     supported: Sequence[str] = EXTENSIONS,
 ) -> DataFrame:
-    """Path, name, extension, size and time of the supported files, newest first.
+    """Path, name, extension, size and time of the supported files, newest first; files of 0 bytes, too.
 
     The content column is pruned, so no file is read. Names that start with `_` or `.` are not listed.
     """
@@ -87,7 +111,8 @@ def file_catalog(
         # Folders named like partitions would be descended into as well.
         files = files.option("basePath", root)
     files = files.load(root)
-    path = F.regexp_replace("path", "^file:(?=/)", "")
+    files = files.select("path", "length", "modificationTime").unionByName(_empty_files(spark, files, supported))
+    path = _plain(F.col("path"))
     name = F.element_at(F.split("path", "/"), -1)
     wanted = sorted({e.lower() for e in supported} & {e.lower() for e in (file_types or supported)})
     keep = extension_of(name).isin(wanted) if wanted else F.lit(False)

@@ -33,8 +33,10 @@ from hushframe.storage import written
 
 #: Pairs that are broadcast; the other ones of more are joined by a shuffle.
 BROADCAST_PAIRS = 500_000
-#: About as many bytes of what is known of chunks a worker keeps; then it starts anew.
-STORE_BYTES = 96 << 20
+#: About as many bytes of what is known of chunks a worker keeps; then it keeps the frequent ones.
+STORE_BYTES = 128 << 20
+#: Chunks that came so often are still known then.
+OFTEN = 4
 #: Bytes of texts that are aligned at once.
 SLICE_BYTES = 1 << 20
 # How the pieces of B spell spaces and single bytes.
@@ -79,7 +81,7 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class _Store:
-    """What is known of chunks, by number: the groups as text, the linked pairs, and a row of counts.
+    """What is known of chunks, by number: the groups as text, a row of counts, and the linked pairs, one after the other.
 
     A row counts the tokens of A and B, the groups, the links, and 1 if the tokens do not spell the chunk.
     """
@@ -87,10 +89,35 @@ class _Store:
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
         self.counts = np.zeros((0, 5), np.int64)
+        self.first = np.zeros(0, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
         self.weight = 0
 
+    def add(self, chunks: list[str], groups: list[str], counts: np.ndarray, pairs: np.ndarray) -> None:
+        self.number.update(zip(chunks, range(len(self.groups), len(self.groups) + len(chunks)), strict=True))
+        self.groups += groups
+        self.counts = np.concatenate([self.counts, counts])
+        self.first = np.concatenate([self.first, len(self.pairs) + np.cumsum(counts[:, 3]) - counts[:, 3]])
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.used = np.concatenate([self.used, np.zeros(len(chunks), np.int64)])
+        self.weight += 350 * len(chunks) + 2 * sum(map(len, chunks)) + sum(map(len, groups)) + pairs.nbytes
+
+    def linked(self, own: np.ndarray) -> np.ndarray:
+        """The pairs of some chunks."""
+        count = self.counts[own, 3]
+        ends = np.cumsum(count)
+        return self.pairs[np.repeat(self.first[own] - ends + count, count) + np.arange(int(ends[-1]))]
+
+    def renewed(self) -> _Store:
+        """A store with the chunks that came often; with none if even they are too many."""
+        kept, chunks = np.flatnonzero(self.used >= OFTEN), list(self.number)
+        new = _Store()
+        if len(kept):
+            new.add([chunks[k] for k in kept], [self.groups[k] for k in kept], self.counts[kept], self.linked(kept))
+        return new if new.weight < STORE_BYTES // 2 else _Store()
+
 
 class Aligner:
     """Two tokenizers, by their files."""
@@ -136,8 +163,8 @@ class Aligner:
             return [True] * len(whole)
         return [all(b"".join(map(spell.__getitem__, ids[k])) == w for spell, ids in sides) for k, w in enumerate(whole)]
 
-    def align(self, chunks: list[str]) -> Iterator[tuple[bool, str, tuple[int, int, int, int], np.ndarray]]:
-        """(fits, groups, counts, pairs) of each chunk, all of them at once."""
+    def align(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of all chunks at once: the groups of each as text, a row of counts for each, and the linked pairs in order."""
         ids_a, ids_b = self.tokens(chunks)
         fits = self._spelled(chunks, ids_a, ids_b)
         for k, ok in enumerate(fits):
@@ -146,9 +173,10 @@ class Aligner:
         count_a, count_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
         a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
         first_a, first_b = np.append(0, np.cumsum(count_a)), np.append(0, np.cumsum(count_b))
+        odd = ~np.array(fits, bool)
         if not len(a):
-            yield from ((ok, "", (0, 0, 0, 0), np.zeros(0, np.int64)) for ok in fits)
-            return
+            zero = np.zeros(len(chunks), np.int64)
+            return [""] * len(chunks), np.column_stack([zero, zero, zero, zero, odd]), zero[:0]
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         top = terminals(pointers(ends_a, ends_b))
         label_a, label_b = top[: len(a)], top[len(a) :]
@@ -156,48 +184,39 @@ class Aligner:
         last_a, last_b = np.append(label_a[1:] != label_a[:-1], True), np.append(label_b[1:] != label_b[:-1], True)
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         text = np.empty(len(a) + len(b), object)
-        to_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
-        to_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
-        text[to_a] = self.names_a[a + last_a * len(self.bytes_a)]
-        text[to_b] = self.names_b[b + last_b * self.width]
+        text[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = self.names_a[a + last_a * len(self.bytes_a)]
+        text[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.names_b[b + last_b * self.width]
         link_a, link_b = links(ends_a, ends_b)
-        pairs = a[link_a] * self.width + b[link_b]
-        first_link = np.searchsorted(link_a, first_a)
-        groups = np.append(group_a, group_a[-1] + 1)[first_a]
-        parts = text.tolist()
-        for k, ok in enumerate(fits):
-            own = pairs[first_link[k] : first_link[k + 1]]
-            said = "".join(parts[first_a[k] + first_b[k] : first_a[k + 1] + first_b[k + 1]])[:-1]
-            yield ok, said, (int(count_a[k]), int(count_b[k]), int(groups[k + 1] - groups[k]), len(own)), own
-
-    def _learn(self, chunks: list[str]) -> None:
-        store, rows = self.store, []
-        for chunk, (ok, said, counts, own) in zip(chunks, self.align(chunks), strict=True):
-            store.number[chunk] = len(store.groups)
-            store.groups.append(said)
-            store.pairs.append(own)
-            store.weight += 300 + len(chunk) + len(said) + own.nbytes
-            rows.append((*counts, not ok))
-        store.counts = np.concatenate([store.counts, np.array(rows, np.int64).reshape(-1, 5)])
+        groups = np.diff(np.append(group_a, group_a[-1] + 1)[first_a])
+        counts = np.column_stack([count_a, count_b, groups, np.diff(np.searchsorted(link_a, first_a)), odd])
+        parts, cuts = text.tolist(), (first_a + first_b).tolist()
+        said = ["".join(parts[x:y])[:-1] for x, y in zip(cuts, cuts[1:], strict=False)]
+        return said, counts, a[link_a] * self.width + b[link_b]
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray]]:
         """(counts, groups, distinct pairs, how often each) of each text; counts of tokens of A and B, groups and links."""
         if self.store.weight > STORE_BYTES:
-            self.store = _Store()
+            self.store = self.store.renewed()
         store = self.store
         cut = [self.cut.split(text) if text else [] for text in texts]
-        self._learn(list(dict.fromkeys(c for c in chain.from_iterable(cut) if c not in store.number)))
+        new = list(dict.fromkeys(c for c in chain.from_iterable(cut) if c not in store.number))
+        if new:
+            store.add(new, *self.align(new))
+        numbers = np.fromiter(map(store.number.__getitem__, chain.from_iterable(cut)), np.int64)
+        store.used += np.bincount(numbers, minlength=len(store.used))
+        start = 0
         for text, chunks in zip(texts, cut, strict=True):
-            own = [*map(store.number.__getitem__, chunks)]
+            own = numbers[start : start + len(chunks)]
+            start += len(chunks)
             counts = store.counts[own].sum(0).tolist()
-            if not own:
+            if not chunks:
                 said, pairs = "", _NONE
-            elif not counts.pop():
-                said, pairs = ";".join(map(store.groups.__getitem__, own)), np.concatenate([*map(store.pairs.__getitem__, own)])
+            elif not counts[4]:
+                said, pairs = ";".join(map(store.groups.__getitem__, own.tolist())), store.linked(own)
             else:
                 # Some chunk is not spelled by its tokens: the text as a whole decides.
-                _, said, counts, pairs = next(self.align([text]))
-            yield list(counts[:4]), said, *np.unique(pairs, return_counts=True)
+                (said,), (counts,), pairs = self.align([text])
+            yield [int(c) for c in counts[:4]], said, *np.unique(pairs, return_counts=True)
 
 
 _NONE = np.zeros(0, np.int64)

@@ -214,16 +214,18 @@ SAFE = """safe AS (SELECT c_custkey AS person_id, col, pii_type, rule FROM custo
 EFFECTIVE = "e AS (SELECT f.* FROM f ANTI JOIN safe s ON f.person_id = s.person_id AND f.col = s.col AND f.pii_type = s.pii_type AND f.rule = s.rule)"
 
 
-def tokens(key: str, source: str) -> str:
-    """CTEs `steps` (a finding with the types before it), `entries` (numbered tokens) and `last` (final tokens)."""
+def tokens(key: str, source: str, batch: str = "0") -> str:
+    """CTEs `steps` (a finding with the types before it), `entries` (numbered tokens) and `last` (final tokens).
+
+    Rows of an earlier `batch` come before those of later ones.
+    """
     return f"""steps AS (
       SELECT *, coalesce(string_agg(pii_type, '>') OVER w, '') AS chain,
              row_number() OVER (PARTITION BY {key}, column_ord ORDER BY rule_order DESC) AS from_end
       FROM {source} WINDOW w AS (PARTITION BY {key}, column_ord ORDER BY rule_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     entries AS (
-      SELECT *, row_number() OVER (PARTITION BY pii_type ORDER BY first_col, first_row) AS token_no FROM (
-        SELECT pii_type, chain, raw, count(*) AS occurrences, min(column_ord) AS first_col,
-               arg_min({key}, (column_ord, {key})) AS first_row
+      SELECT *, row_number() OVER (PARTITION BY pii_type ORDER BY first_seen) AS token_no FROM (
+        SELECT pii_type, chain, raw, count(*) AS occurrences, min(({batch}, column_ord, {key})) AS first_seen, min({batch}) AS batch
         FROM steps GROUP BY ALL)),
     named AS (SELECT *, pii_type || '_' || CAST(token_no AS VARCHAR) AS token FROM entries),
     last AS (SELECT s.{key}, s.col, n.token FROM steps s JOIN named n USING (pii_type, chain, raw) WHERE s.from_end = 1)"""
@@ -492,6 +494,10 @@ ORACLES: dict[str, str] = {
           AND b.rule_order = (SELECT max(rule_order) FROM f WHERE f.person_id = s.person_id AND f.column_ord = s.column_ord AND f.rule_order < s.rule_order))""",
     "anonymized_people": f"{PEOPLE_STRICT}, {tokens('person_id', 'f')} {anonymized('p', PEOPLE_COLUMNS, 'person_id')}",
     "anonymized_people_effective": f"{PEOPLE_STRICT}, {SAFE}, {EFFECTIVE}, {tokens('person_id', 'e')} {anonymized('p', PEOPLE_COLUMNS, 'person_id')}",
+    "streamed_people": f"{PEOPLE_STRICT}, {tokens('person_id', 'f', 'person_id % 2')} {anonymized('p', PEOPLE_COLUMNS, 'person_id')}",
+    "streamed_tokens": f"""{ORDERS_BALANCED.replace('WITH ', 'WITH b AS (SELECT o_orderkey AS k, o_custkey % 2 AS batch FROM orders), ', 1)},
+      g AS (SELECT f.*, b.batch AS in_batch FROM f JOIN b ON f.o_orderkey = b.k), {tokens('o_orderkey', 'g', 'in_batch')}
+      SELECT pii_type, chain, raw, token_no, token, batch FROM named""",
     "anonymized_orders": f"{ORDERS_BALANCED}, {tokens('o_orderkey', 'f')} {anonymized('orders', ORDER_COLUMNS, 'o_orderkey')}",
     "replaced_counts": f"{PEOPLE_STRICT} SELECT pii_type, count(*) AS replaced FROM f GROUP BY pii_type",
     "token_dictionary_text": f"{notes_findings('strict')}, {text_tokens('doc_id')} SELECT doc_id, pii_type, raw, token_no, token FROM dict",

@@ -19,6 +19,7 @@ from hushframe.operators import (
 from hushframe.plans import folder, release
 from hushframe.sources import catalog, delimited, documents, export, split_csv
 from hushframe.storage import shared_folder, spread
+from hushframe.streaming import tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -437,6 +438,29 @@ def anonymized_people_effective(spark, sf_dir):
     return as_text(done.table)
 
 
+@query
+def streamed_people(spark, sf_dir):
+    """People anonymized as a stream of two micro-batches: a value of the first keeps its token in the second."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source = people(spark, sf_dir)
+    made = tokens.StreamTokens(spark, f"{root}/tokens", ["person_id"], "strict", AS_OF)
+    for batch in (0, 1):
+        source.where(F.col("person_id") % 2 == batch).write.mode("append").parquet(f"{root}/in")
+        made.start(spark.readStream.schema(source.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return as_text(spark.read.parquet(f"{root}/out").drop("batch"))
+
+
+@query
+def streamed_tokens(spark, sf_dir):
+    """The dictionary that a stream of two batches of orders leaves, with the batch that each value came in first."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    source = spread(table(spark, sf_dir, "orders"))
+    made = tokens.StreamTokens(spark, root, ["o_orderkey"], "balanced", AS_OF)
+    for batch in (0, 1):
+        made.anonymize(source.where(F.col("o_custkey") % 2 == batch), batch)
+    return made.entries()
+
+
 @query
 def anonymized_orders(spark, sf_dir):
     return as_text(anonymize_table.anonymize_table(spread(table(spark, sf_dir, "orders")), ["o_orderkey"], "balanced", AS_OF).table)

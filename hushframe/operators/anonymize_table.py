@@ -87,11 +87,14 @@ def _types(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda f: f["pii_type"]), ">")
 
 
-def token_dictionary(cells: DataFrame, row_key: Sequence[str]) -> TableDictionary:
+def token_dictionary(cells: DataFrame, row_key: Sequence[str], known: DataFrame | None = None) -> TableDictionary:
     """Number the distinct values of each type by first appearance: column by column, then by row key.
 
     In a cell with several types, each later type sees the token of the one before it. That token stands for the
     types so far and the text of the cell, so these are the key, and no step has to wait for another.
+
+    With entries that are `known` already, a value among them keeps its token, and new ones are numbered after the last
+    of their type.
     """
     keys = list(row_key)
     position = F.col(f"`{keys[0]}`") if len(keys) == 1 else F.struct(*[F.col(f"`{k}`") for k in keys])
@@ -112,9 +115,20 @@ def token_dictionary(cells: DataFrame, row_key: Sequence[str]) -> TableDictionar
         .groupBy(*KEY)
         .agg(F.min(F.struct("column_ord", "row")).alias("first_seen"), F.sum("occurrences").alias("occurrences"))
     )
-    entries = numbered(sorted_once(distinct, ["pii_type"], ["first_seen"], "tokens"), ["pii_type"], "token_no").select(
-        *KEY, "token_no", F.concat_ws("_", "pii_type", F.col("token_no").cast("string")).alias("token"), "occurrences"
-    )
+    first, taken = F.lit(0).cast("bigint"), None
+    if known is not None:
+        distinct = written(distinct, "distinct-values")
+        taken = known.select(*KEY, "token_no", "token").join(distinct.select(*KEY, "occurrences"), list(KEY))
+        # One row per type.
+        last = {r["pii_type"]: r["last"] for r in known.groupBy("pii_type").agg(F.max("token_no").alias("last")).collect()}
+        distinct = distinct.join(taken.select(*KEY), list(KEY), "left_anti")
+        for pii_type, number in last.items():
+            first = F.when(F.col("pii_type") == pii_type, F.lit(number)).otherwise(first)
+    entries = numbered(sorted_once(distinct, ["pii_type"], ["first_seen"], "tokens"), ["pii_type"], "token_no")
+    entries = entries.withColumn("token_no", F.col("token_no") + first)
+    entries = entries.select(*KEY, "token_no", F.concat_ws("_", "pii_type", F.col("token_no").cast("string")).alias("token"), "occurrences")
+    if taken is not None:
+        entries = entries.unionByName(taken.select(*entries.columns))
     # One row per column.
     sizes = values.groupBy("column").agg(
         F.sum(F.octet_length("raw") + F.lit(ENTRY_BYTES)).alias("bytes"), F.sum("occurrences").alias("cells")
@@ -149,12 +163,13 @@ def anonymize_table(
     order_columns: bool = False,
     dataset: str = "table",
     skip: Sequence[str] = (),
+    known: DataFrame | None = None,
 ) -> AnonymizedTable:
     """Replace every found cell by its token. Columns with a finding become text, all others keep their type.
 
     The row key may hold findings too; `order_columns` adds copies of it (`_order_0`, ...) that stay as they are.
     `safe` marks count if they are of this `dataset` and mode. Nested and binary columns are left as they are, and
-    so are those in `skip`.
+    so are those in `skip`. `known` are entries of an earlier dictionary whose tokens stay.
 
     With tokens of a checked size, each column looks its own up by broadcast and no row of the table moves.
     Otherwise the rows are numbered in a written copy, the tokens are matched by found cell, and come back by that
@@ -166,7 +181,7 @@ def anonymize_table(
     # A mark belongs to a row, so with marks equal texts may differ in their types.
     marked = safe is not None and mode is PrivacyMode.STRICT
     if not marked:
-        dictionary = token_dictionary(detect_cells(df, keys, mode, as_of, skip=skip), keys)
+        dictionary = token_dictionary(detect_cells(df, keys, mode, as_of, skip=skip), keys, known)
         touched = _touched(df, dictionary)
         if not touched:
             return AnonymizedTable(df.select("*", *extra), dictionary)
@@ -176,7 +191,7 @@ def anonymize_table(
     cells = detect_cells(stored, [*keys, ROW], mode, as_of, skip=[*skip, ROW])
     if marked:
         cells = written(without_marked(cells, keys, safe, dataset, mode), "cells")
-        dictionary = token_dictionary(cells, keys)
+        dictionary = token_dictionary(cells, keys, known)
         touched = _touched(df, dictionary)
     found = cells.select(ROW, "column_ord", "raw", _types(F.col("findings")).alias("types"))
     return AnonymizedTable(_join_back(stored, cell_tokens(found, dictionary), df.columns, touched, extra), dictionary)

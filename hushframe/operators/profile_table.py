@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.functions.text import canonical_text, is_atomic, is_missing, once, without_nan
-from hushframe.operators.ordered import running_total
 from hushframe.storage import written
 
 # Fixed value: values shown per column.
@@ -23,13 +22,9 @@ TYPE_NAMES = {
     T.TimestampType: "datetime64[us, UTC]", T.TimestampNTZType: "datetime64[us]",
 }
 
-# Search for exact medians: half width of the bracket around the middle, accuracy of the sketch that gives it (its
-# rank is off by one in so many rows at most, far less than the bracket is wide), and the number of values below which
-# no bracket is needed.
-HALF_WIDTH = 0.001
-ACCURACY = 10_000
+# Search for exact medians: values in which one more aggregation is enough, and buckets that a pass cuts an interval into.
 DIRECT_VALUES = 1_000_000
-EVERYTHING = (float("-inf"), float("inf"))
+BUCKETS = 2048
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -86,22 +81,22 @@ def _numbers(df: DataFrame) -> dict[int, Column]:
 def numeric_stats(df: DataFrame, direct_values: int = DIRECT_VALUES) -> DataFrame:
     """Min, max, mean and exact median of the present values per numeric column; all null if there are none.
 
-    One aggregation of one pass gives all but the medians, and a sketch of the middle of each column. A table that it
-    has counted as small gets its medians from one more aggregation. Otherwise a second pass counts what lies below
-    the brackets of the sketch and ranks the few values inside by a distributed running total; the ranks prove that a
-    bracket holds its median.
+    One flat aggregation gives all but the medians. A table that it has counted as small gets its medians from one more.
+    Otherwise they are selected: a pass counts the values of all columns in buckets, the bucket that holds the middle is
+    cut again, and so on until it holds one value. No pass sorts or moves rows, and each brings at most two times `BUCKETS`
+    counts per column to the driver, however many rows there are.
     """
     names = {df.columns.index(name): name for name in numeric_columns(df)}
     schema = "column_ord int, column string, min double, max double, mean double, median double"
     if not names:
         return df.sparkSession.createDataFrame([], schema)
     numbers = _numbers(df)
-    around = F.array(F.lit(0.5 - HALF_WIDTH), F.lit(0.5 + HALF_WIDTH))
     parts = []
     for i, value in numbers.items():
+        finite = F.when(F.abs(value) < float("inf"), value)
         parts += [
             F.count(value).alias(f"n{i}"), F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"),
-            F.avg(value).alias(f"mean{i}"), F.percentile_approx(value, around, ACCURACY).alias(f"around{i}"),
+            F.avg(value).alias(f"mean{i}"), F.min(finite).alias(f"low{i}"), F.max(finite).alias(f"high{i}"),
         ]
     row = df.agg(*parts).first()
     present = {i: row[f"n{i}"] for i in numbers}
@@ -109,41 +104,62 @@ def numeric_stats(df: DataFrame, direct_values: int = DIRECT_VALUES) -> DataFram
         medians = df.agg(*[F.median(value).alias(f"m{i}") for i, value in numbers.items()]).first()
         medians = {i: medians[f"m{i}"] for i in numbers}
     else:
-        medians = _ranked_medians(df, present, {i: tuple(row[f"around{i}"]) for i, n in present.items() if n})
+        middle = {i: ((n - 1) // 2, n // 2) for i, n in present.items() if n}
+        bounds = {i: (row[f"low{i}"] or 0.0, row[f"high{i}"] or 0.0) for i in middle}
+        found = _ranked_values(df, middle, bounds)
+        medians = {i: _between(found[i, a], found[i, b]) for i, (a, b) in middle.items()}
     rows = [(i, name, row[f"min{i}"], row[f"max{i}"], row[f"mean{i}"], medians.get(i)) for i, name in names.items()]
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def _ranked_medians(
-    df: DataFrame, present: dict[int, int], brackets: dict[int, tuple[float, float]]
-) -> dict[int, float]:
-    """Exact medians from the values inside the brackets; a bracket that misses its median is opened fully."""
-    numbers = _numbers(df)
-    below = df.agg(*[F.count_if(numbers[i] < low).alias(f"b{i}") for i, (low, _) in brackets.items()]).first()
-    inside = F.array(*[
-        F.when((numbers[i] >= low) & (numbers[i] <= high), F.struct(F.lit(i).alias("column_ord"), numbers[i].alias("value")))
-        for i, (low, high) in brackets.items()
-    ])
-    tallies = df.select(F.inline(F.array_compact(inside))).groupBy("column_ord", "value").count()
-    ranked = running_total(tallies, ["column_ord"], ["value"], "count", "before")
-    # The ranks of the two middle values among the values inside; two rows per column at most.
-    middle = F.create_map(
-        *[
-            part
-            for i in brackets
-            for part in (F.lit(i), F.array(*[F.lit(k - below[f"b{i}"]) for k in ((present[i] - 1) // 2, present[i] // 2)]))
-        ]
-    )
-    hits = (
-        ranked.select("*", F.explode(middle[F.col("column_ord")]).alias("rank"))
-        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("count")))
-        .groupBy("column_ord")
-        .agg(F.avg("value").alias("median"), F.count(F.lit(1)).alias("hits"))
-        .collect()
-    )
-    proven = {h["column_ord"]: h["median"] for h in hits if h["hits"] == 2}
-    missed = {i: EVERYTHING for i in brackets if i not in proven}
-    return proven | _ranked_medians(df, present, missed) if missed else proven
+def _between(low: float, high: float) -> float:
+    """The middle of two values, also where their sum is too large for a double."""
+    return (low + high) / 2 if abs(low + high) < float("inf") else low / 2 + high / 2
+
+
+def _bucket(value: Column, low: float, high: float) -> Column:
+    """The bucket of a value between two finite bounds, rising with it; the infinite ones lie outside."""
+    width = high / 2 - low / 2
+    inside = F.when(value > low, BUCKETS - 1).otherwise(0) if width == 0 else F.least(F.floor((value / 2 - low / 2) / width * BUCKETS), F.lit(BUCKETS - 1))
+    return F.when(value == float("-inf"), -1).when(value == float("inf"), BUCKETS).otherwise(inside).cast("int")
+
+
+def _ranked_values(df: DataFrame, ranks: dict[int, tuple[int, int]], bounds: dict[int, tuple[float, float]]) -> dict[tuple[int, int], float]:
+    """The values of some ranks (from 0) of columns, by (column, rank).
+
+    An interval is known by its bounds and by how many values lie below; two ranks of a column mostly share theirs.
+    """
+    numbers, found = _numbers(df), {}
+    # The first intervals take everything in, the infinite values, too.
+    open_at = {(i, rank): (*bounds[i], 0, True) for i, own in ranks.items() for rank in own}
+    while open_at:
+        intervals = sorted({(i, *interval) for (i, _), interval in open_at.items()})
+        cells = F.array(*[
+            F.when(
+                numbers[i].isNotNull() if whole else (numbers[i] >= low) & (numbers[i] <= high),
+                F.struct(F.lit(at).alias("at"), _bucket(numbers[i], low, high).alias("bucket"), numbers[i].alias("value")),
+            )
+            for at, (i, low, high, _, whole) in enumerate(intervals)
+        ])
+        counted = df.select(F.inline(F.array_compact(cells))).groupBy("at", "bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+        )
+        buckets: dict[int, list] = {}
+        for r in sorted(counted.collect(), key=lambda r: (r["at"], r["bucket"])):
+            buckets.setdefault(r["at"], []).append(r)
+        next_at = {}
+        for (i, rank), interval in open_at.items():
+            below = interval[2]
+            for r in buckets[intervals.index((i, *interval))]:
+                if rank < below + r["n"]:
+                    if r["low"] == r["high"]:
+                        found[i, rank] = r["low"]
+                    else:
+                        next_at[i, rank] = (r["low"], r["high"], below, False)
+                    break
+                below += r["n"]
+        open_at = next_at
+    return found
 
 
 def _value_key(value: Column) -> Column:

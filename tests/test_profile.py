@@ -30,11 +30,19 @@ def test_numeric_stats(numbers, direct_values):
     assert got["e"] == (None, None, None, None)
 
 
-def test_a_wrong_bracket_is_noticed(numbers):
-    frame, df = numbers
-    present = {0: 3001, 2: 3001}
-    got = pt._ranked_medians(df, present, {0: (2000.0, 2500.0), 2: (0.0, 0.5)})
-    assert got == {0: 1500.0, 2: 2.0}
+@pytest.mark.parametrize("buckets", [2, 7, 2048])
+def test_selection_from_uneven_columns(spark, monkeypatch, buckets):
+    monkeypatch.setattr(pt, "BUCKETS", buckets)
+    inf = float("inf")
+    columns = [
+        [1e308, -1e308, 5.0, 5.0, 1e-320, 0.0], [inf, inf, -inf, 1.0, 2.0, 3.0], [inf] * 3 + [None] * 3, [2.0**-1074 * k for k in range(6)],
+        [1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.0, 1.0, 1e300], [-1e300] * 2 + [3.0] * 4, [1e308, 1.5e308, 1.7e308, 1e308, 1.6e308, 1.6e308],
+    ]
+    df = spark.createDataFrame(list(zip(*columns, strict=True)), ", ".join(f"c{k} double" for k in range(len(columns)))).repartition(3)
+    got = [r["median"] for r in pt.numeric_stats(df, 0).collect()]
+    ordered = [sorted(v for v in c if v is not None) for c in columns]
+    assert got == [pt._between(c[(len(c) - 1) // 2], c[len(c) // 2]) for c in ordered]
+    assert "Sort" not in df.select(pt._bucket(F.col("c0"), 0.0, 1.0))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_missing_and_schema(numbers):

@@ -470,6 +470,8 @@ ORACLES: dict[str, str] = {
     "audit_detection_summary": f"""{PEOPLE_STRICT} SELECT 'pii_detection' AS event, 'people' AS dataset, 'Strict' AS mode, pii_type AS subject,
       'has_pii=true' AS detail, count(*) AS amount FROM f GROUP BY pii_type
       UNION ALL SELECT 'pii_detection', 'regions', 'Strict', NULL, 'has_pii=false', 0""",
+    "audit_log": f"""{PEOPLE_STRICT} SELECT 'pii_detection' AS event, 'people' AS dataset, 'Strict' AS mode, pii_type AS subject,
+      'has_pii=true' AS detail, count(*) AS amount, run FROM f, (VALUES ('first'), ('second')) r(run) GROUP BY pii_type, run""",
     "audit_events": f"""{REQUESTS}
       SELECT 'profiling_completed' AS event, 'people' AS dataset, NULL AS mode, 'csv' AS subject, NULL AS detail, count(*) AS amount FROM customer
       UNION ALL SELECT 'anonymization_completed', 'people', 'Strict', pii_type, NULL, count(*) FROM ({PEOPLE_STRICT} SELECT pii_type FROM f) x GROUP BY pii_type

@@ -353,6 +353,16 @@ def audit_events(spark, sf_dir):
 # Masks
 
 
+@query
+def audit_log(spark, sf_dir):
+    """A log with the detection events of two runs, one of which was repeated."""
+    path = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}"
+    events = audit.detection_summary(_found(spark, sf_dir), "strict")
+    for run in ("first", "second", "first"):
+        audit.append(events, path, run)
+    return audit.read_log(spark, path).drop("part")
+
+
 @query
 def mask_emails(spark, sf_dir):
     return people(spark, sf_dir).select(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.modes import PrivacyMode, parse_mode
 
+EVENT_COLUMNS = ("event", "dataset", "mode", "subject", "detail", "amount")
 AUDIT_SCHEMA = "event string, dataset string, mode string, subject string, detail string, amount bigint"
 
 
@@ -82,5 +86,21 @@ def release_decided(decisions: DataFrame) -> DataFrame:
     )
 
 
-def append(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
+def append(events: DataFrame, path: str, run: str | None = None, part: str = "events") -> str:
+    """Add events to a log and return their run.
+
+    A `run` (of a job, a micro-batch, ...) may add several parts. Adding a part again replaces it, so a job that is repeated
+    under the same run counts once; without a run, each call is one of its own. What a broken job has written does not show,
+    as files appear when the job commits.
+    """
+    run = run or uuid.uuid4().hex
+    for name in (run, part):
+        if not re.fullmatch(r"[\w.-]+", name):
+            raise ValueError(f"{name!r} is no name for a run or part")
+    events.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(f"{path.rstrip('/')}/run={run}/part={part}")
+    return run
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All events of a log with their `run` and `part`."""
+    return spark.read.schema(f"{AUDIT_SCHEMA}, run string, part string").parquet(path)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hushframe.functions.text import is_atomic, strip
+from hushframe.functions.text import canonical_text, is_atomic, strip
 from hushframe.operators.ordered import sorted_once, with_totals
 from hushframe.storage import written
 
@@ -83,18 +84,26 @@ def append_pair(
     return messages.select(conv, turn, "role", "text").unionByName(added)
 
 
+def _part_text(part: Column) -> Column:
+    """The text of a part that is no object: `True`, `None` and `1.0` are spelled so; lists stay JSON."""
+    kind = F.schema_of_variant(part)
+    # A whole number is a long, or a decimal if it is too large for one.
+    number = kind.rlike(r"^(DOUBLE|FLOAT|DECIMAL\(([0-9]|1[0-8]),|DECIMAL\([0-9]+,[1-9])")
+    return (
+        F.when(F.is_variant_null(part), "None")
+        .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(part, "$", "string")))
+        .when(number, canonical_text(F.try_variant_get(part, "$", "double"), T.DoubleType()))
+        .otherwise(F.coalesce(F.try_variant_get(part, "$", "string"), F.to_json(part)))
+    )
+
+
 def normalise_content(content: Column) -> Column:
     """The text of a stored content: a JSON list gives its parts line by line, anything else stays as it is.
 
-    A part gives its `text` field if it has one, and else its own text.
+    A part gives its `text` field if it has one, be it null, and else its own text; an object without it is JSON.
     """
     parts = F.try_parse_json(content)
     is_list = F.substring(F.ltrim(content), 1, 1) == "["
     items = F.try_variant_get(parts, "$", "array<variant>")
-    texts = F.transform(
-        items,
-        lambda item: F.coalesce(
-            F.try_variant_get(item, "$.text", "string"), F.try_variant_get(item, "$", "string"), F.to_json(item)
-        ),
-    )
+    texts = F.transform(items, lambda item: _part_text(F.coalesce(F.try_variant_get(item, "$.text", "variant"), item)))
     return F.when(is_list & items.isNotNull(), strip(F.array_join(texts, "\n", "None"))).otherwise(content)

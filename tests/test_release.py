@@ -128,12 +128,33 @@ def test_audit_is_metadata_only(spark, as_of, tmp_path):
                    audit.profiling_completed(spark.range(1).select(F.lit(1).alias("row_count")), "people", "csv"),
                    audit.file_loaded(spark.createDataFrame([("/d/a.csv", ".csv", 3)], "path string, extension string, size_bytes bigint"))):
         audit.append(events, str(tmp_path / "audit"))
-    log = spark.read.parquet(str(tmp_path / "audit"))
-    assert log.columns == ["event", "dataset", "mode", "subject", "detail", "amount"]
+    log = audit.read_log(spark, str(tmp_path / "audit"))
+    assert log.columns == ["event", "dataset", "mode", "subject", "detail", "amount", "run", "part"]
     text = str(log.collect())
     assert log.count() == 8 and "secret" not in text and "tajné" not in text
 
 
+def test_a_repeated_run_is_in_the_log_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    events = spark.createDataFrame([("e", "d", None, "s", None, 1)] * 2, audit.AUDIT_SCHEMA)
+    assert audit.append(events, path, "job-1") == "job-1"
+    audit.append(events, path, "job-1")
+    audit.append(events, path, "job-1", "more")
+    audit.append(events, path, "job-2")
+    assert audit.append(events, path) != audit.append(events, path)
+    counts = {(r["run"], r["part"]): r["count"] for r in audit.read_log(spark, path).groupBy("run", "part").count().collect()}
+    assert len(counts) == 5 and set(counts.values()) == {2} and ("job-1", "more") in counts
+    with pytest.raises(ValueError):
+        audit.append(events, path, "a/b")
+
+
+def test_parts_of_a_content_that_are_no_texts(spark):
+    stored = ['[true, 1.0, {"text": null}, null, 1, -2.50, 1e3, "x", {"text": false}, {"text": 3}]', "[]", "[12345678901234567890123, 0.1]"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(stored)], "i int, s string")
+    got = [r[0] for r in df.orderBy("i").select(conversations.normalise_content(F.col("s"))).collect()]
+    assert got == ["True\n1.0\nNone\nNone\n1\n-2.5\n1000.0\nx\nFalse\n3", "", "12345678901234567890123\n0.1"]
+
+
 def test_release_of_a_table(spark, as_of):
     df = spark.range(300).select(
         (F.lit(10000) + F.col("id")).alias("account_id"), F.concat(F.lit("u"), F.col("id") % 7, F.lit("@b.cz")).alias("mail"),

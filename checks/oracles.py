@@ -443,7 +443,7 @@ ORACLES: dict[str, str] = {
     "profile_top_values_texts": """WITH c AS (SELECT 1 AS ord, 'text' AS col, text AS value FROM documents
         UNION ALL SELECT 2, 'lang', lang FROM documents UNION ALL SELECT 3, 'source', source FROM documents),
       k AS (SELECT ord, col, value, count(*) AS n FROM c GROUP BY ALL),
-      r AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY n DESC, CASE WHEN length(value) <= 64 THEN value ELSE left(value, 64) || sha256(value) END) AS rank FROM k)
+      r AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY n DESC, value) AS rank FROM k)
       SELECT CAST(ord AS INT) AS column_ord, col AS "column", value, n AS "count", CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""",
     "profile_duplicates": """WITH l AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)
       SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM l)) AS duplicate_rows FROM l""",

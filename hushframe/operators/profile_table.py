@@ -14,6 +14,8 @@ TOP_VALUES = 5
 
 # A value of up to this many characters is counted as it is.
 KEY_CHARS = 64
+# Up to so many long values that tie are broadcast.
+BROADCAST_KEYS = 100_000
 
 # Type names in a schema listing.
 TYPE_NAMES = {
@@ -172,9 +174,10 @@ def _value_key(value: Column) -> Column:
 def top_values(df: DataFrame, limit: int = TOP_VALUES, null_label: str = "nan") -> DataFrame:
     """The most frequent values per column that is neither numeric nor boolean.
 
-    A missing value counts as the text `null_label`. Ties go by value; among long values with the same first
-    characters, by digest. Long values do not travel: keys are counted, and the few long ones in the result are looked
-    up in a second pass. The ranking keeps `limit` rows per column and task before the shuffle.
+    A missing value counts as the text `null_label`. Ties go by value. Long values do not travel: keys (first characters
+    and digest) are counted, and ranked by count and first characters. Keys that tie with the last one are all kept, the
+    long ones among what is left are looked up in a second pass, and whole values decide. The rankings keep what is in
+    reach per column and task before the shuffle.
     """
     columns = [
         (i, f) for i, f in enumerate(df.schema.fields)
@@ -197,28 +200,31 @@ def top_values(df: DataFrame, limit: int = TOP_VALUES, null_label: str = "nan")
             )
         )
     )
-    frequent = Window.partitionBy("column_ord", "column").orderBy(F.desc("count"), "key")
-    top = (
+    start = F.substring("key", 1, KEY_CHARS)
+    frequent = Window.partitionBy("column_ord", "column").orderBy(F.desc("count"), start)
+    near = (
         cells.select("column_ord", "column", _value_key(F.col("value")).alias("key"))
         .groupBy("column_ord", "column", "key").agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("rank", F.row_number().over(frequent))
+        .withColumn("rank", F.rank().over(frequent))
         .where(F.col("rank") <= limit)
     )
-    # `limit` rows per column.
-    top = written(top.select("column_ord", "column", "key", "count", "rank"), "top-values")
+    near = written(near.select("column_ord", "column", "key", "count"), "top-values")
     long_key = F.length("key") > KEY_CHARS
-    if top.where(long_key).isEmpty():
-        return top.withColumnRenamed("key", "value")
-    wanted = top.where(long_key).select("column_ord", "key")
-    long_values = (
-        cells.where(F.length("value") > KEY_CHARS)
-        .select("column_ord", "value", once(key=_value_key(F.col("value"))))
-        .join(F.broadcast(wanted), ["column_ord", "key"], "left_semi")
-        .groupBy("column_ord", "key").agg(F.min("value").alias("value"))
-    )
-    return top.join(long_values, ["column_ord", "key"], "left").select(
-        "column_ord", "column", F.coalesce("value", "key").alias("value"), "count", "rank"
-    )
+    named = near.where(~long_key).withColumn("value", F.col("key"))
+    wanted = near.where(long_key)
+    many = wanted.count()
+    if many:
+        keys = wanted.select("column_ord", "key")
+        long_values = (
+            cells.where(F.length("value") > KEY_CHARS)
+            .select("column_ord", "value", once(key=_value_key(F.col("value"))))
+            .join(F.broadcast(keys) if many <= BROADCAST_KEYS else keys, ["column_ord", "key"], "left_semi")
+            .groupBy("column_ord", "key").agg(F.min("value").alias("value"))
+        )
+        named = named.unionByName(wanted.join(long_values, ["column_ord", "key"]))
+    last = Window.partitionBy("column_ord", "column").orderBy(F.desc("count"), "value")
+    ranked = named.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= limit)
+    return ranked.select("column_ord", "column", "value", "count", "rank")
 
 
 def duplicate_rows(df: DataFrame, by_digest: bool = False) -> DataFrame:

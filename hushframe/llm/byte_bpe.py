@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -227,23 +227,32 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what `encode` and `decode` give, in one pass."""
+def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what `encode` and `decode` give, in one pass.
+
+    With `ids`, the array of ids comes as a last column.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    schema = pa.schema([rows_field(rows), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    fields = [rows_field(rows), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = pa.schema([*fields, ("ids", pa.list_(pa.int32()))] if ids else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         name = bpe.names.__getitem__
         for batch in batches:
             for part in slices(batch, "text"):
-                counts, ids_digests, decoded = [], [], []
-                for ids in bpe.encode_batch(part.column("text").to_pylist()):
-                    counts.append(len(ids))
-                    ids_digests.append(hashlib.sha256(" ".join(map(name, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                counts, ids_digests, decoded, kept = [], [], [], []
+                for own in bpe.encode_batch(part.column("text").to_pylist()):
+                    counts.append(len(own))
+                    ids_digests.append(hashlib.sha256(" ".join(map(name, own)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode(own)).hexdigest())
+                    if ids:
+                        kept.append(pa.array(own, pa.int32()))
                 columns = [part.column("doc_id").cast(schema.field(0).type), pa.array(counts, pa.int64()), pa.array(ids_digests), pa.array(decoded)]
+                if ids:
+                    cuts = pa.array([0, *accumulate(counts)], pa.int32())
+                    columns.append(pa.ListArray.from_arrays(cuts, pa.concat_arrays(kept)))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

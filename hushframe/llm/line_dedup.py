@@ -17,7 +17,7 @@ from hushframe.llm.fingerprints import chosen_positions
 from hushframe.storage import written
 
 SPAN = 2
-LONG = 50
+LONG = 8
 #: Up to so many changed documents are sent to every task; more meet their texts in a shuffle.
 BROADCAST_DOCS = 100_000
 
@@ -70,14 +70,17 @@ def _runs(found: DataFrame, span: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, span: int = SPAN, long_words: int = LONG) -> DataFrame:
     """(doc_id, tid, removed): the numbers of the lines to delete, for (doc_id, tid, text) rows; unchanged ones are absent.
 
-    Each run is compared with its first occurrence only, so a line that a third of all documents have costs one row each.
+    Whatever is not the first place of its run is a repeat, so a run that a third of all documents have is never the key
+    of a join: it is summed up to one row before it moves.
     """
     found = written(_fingerprints(docs, span, long_words), "line-fingerprints")
     again = found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     runs = written(_runs(found.join(again, "hash"), span), "line-runs")
-    place = F.struct("doc_id", "tid", F.get("lines", F.lit(0)).alias("start"))
-    firsts = runs.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = runs.join(firsts, "run").filter(F.col("first") < place)
+    placed = runs.withColumns({"start": F.get("lines", F.lit(0)), "size": F.col("run.size")})
+    firsts = placed.groupBy("run").agg(F.min(F.struct("doc_id", "tid", "start", "size")).alias("first"))
+    firsts = firsts.select(*[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "tid", "start", "size")])
+    same = [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in ("doc_id", "tid", "start", "size")]
+    later = placed.join(firsts, same, "left_anti")
     lines = later.select("doc_id", "tid", F.explode("lines").alias("line")).distinct()
     return lines.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_list("line")).alias("removed"))
 

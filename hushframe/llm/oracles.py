@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hushframe.llm.line_dedup import LONG
 from hushframe.llm.quality_rules import RULES, STOP_WORDS, Rule
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -103,12 +104,12 @@ SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(other) AS compon
 FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
 
-LINES = r"""
+LINES = rf"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 flat AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM parts),
 own AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k,
-         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50 AS long
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {LONG} AS long
   FROM flat WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 runs AS (
   SELECT a.doc_id, a.pos AS start, 2 AS size, [a.line, b.line] AS run, [a.pos, b.pos] AS places

@@ -7,7 +7,7 @@ from hushframe.llm.line_dedup import dedup_lines
 from tests.llm import brute
 
 
-def model(docs, span=2, long_words=50):
+def model(docs, span=2, long_words=8):
     """Run by run, in the order of ids."""
     seen, out = set(), {}
     for d in sorted(docs):
@@ -28,7 +28,7 @@ def model(docs, span=2, long_words=50):
 def test_runs_are_those_of_a_slow_search(spark, monkeypatch, span, broadcast):
     monkeypatch.setattr(line_dedup, "BROADCAST_DOCS", broadcast)
     draw = random.Random(span)
-    lines = ["a", "b", "c", "d e", "f", "", "  ", " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(50)), "word " * 49]
+    lines = ["a", "b", "c", "d e", "f", "", "  ", " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(8)), "word " * 7]
     docs = {i: "\n".join(draw.choices(lines, [9, 9, 9, 9, 9, 3, 3, 1, 1, 2], k=draw.randint(1, 14))) for i in range(120)}
     docs |= {200: None, 201: "", 202: "\n\n", 203: "a", 204: "a\nb\na\nb\na\nb"}
     docs |= {300 + i: f"unique {i}\nother {i}" for i in range(20)}
@@ -43,3 +43,10 @@ def test_odd_rows(spark):
     got = sorted(((r["row"]["doc_id"] or -1), r["text"] or "") for r in dedup_lines(df).collect())
     assert got == [(-1, "a\nb\nc"), (2, ""), (2, ""), (2, "x"), (3, "")]
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_a_line_of_eight_words_counts_alone(spark):
+    line = "This one line of eight words is shared."
+    rows = [(1, f"x\n{line}\ny"), (2, f"p\n{line}\nq"), (3, line), (4, line.replace("one ", "")), (5, line.replace("one ", ""))]
+    got = {r["row"]["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "p\nq", 3: "", 4: rows[3][1], 5: rows[3][1]}

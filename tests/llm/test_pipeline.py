@@ -59,6 +59,20 @@ def test_stages_follow_each_other(spark, tmp_path):
     for d in unique:
         tokens = other.encode_ordinary(cut[d])
         digest = hashlib.sha256(" ".join(map(str, tokens)).encode()).hexdigest()
-        expected[d, len(tokens), digest, hashlib.sha256(cut[d].encode()).hexdigest()] += mixed[d]["copies"]
-    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == +expected
+        expected[d, len(tokens), digest, hashlib.sha256(cut[d].encode()).hexdigest(), tuple(tokens)] += mixed[d]["copies"]
+    assert Counter((*tuple(r)[:-1], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == +expected
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near duplicates", "source mixing", "byte-level BPE"]
+
+
+def test_rows_count_by_id_and_text(spark):
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"u{i}" for i in range(60))
+    rows = [(0, base, 1), (0, base, 2), (None, base + " end", 3), (2, other, 4), (2, third, 5), (3, other + " end", 6), (None, "", 7), (None, None, 8), (9, "lone", 9)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, `a.b` int, source string")
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(k[1] in (base, base + " end") for k in kept).count(True) == 1
+    assert sum((k[1] or "").startswith("v0 ") for k in kept) == 1 and (2, third, 5, "s") in kept and (9, "lone", 9, "s") in kept
+    assert sum(not k[1] for k in kept) == 1
+    assert corpus_pipeline.quality(spark, docs, "").columns == docs.columns == corpus_pipeline.lines(spark, docs, "").columns == corpus_pipeline.mixing(spark, docs, "").columns
+    unique = spark.createDataFrame([(*r, "s") for r in rows if r[2] in (1, 6, 9)], docs.schema)
+    assert corpus_pipeline.near_duplicates(spark, unique, "").count() == 3

@@ -26,16 +26,18 @@ from pyspark.sql import functions as F
 from hushframe.llm.byte_bpe import slices
 from hushframe.llm.common import RangeHashes, mixed, text_bytes, text_or_empty, word_spans
 from hushframe.llm.components import connected
-from hushframe.operators.ordered import POSITION, sorted_once
+from hushframe.operators.ordered import sorted_once, with_totals
 from hushframe.storage import written
 
 #: Empty parts that a document may have without taking part under their keys.
 SPARE = 2
-#: Coordinates of the points in the tree, points of a leaf (a power of two), points of a node inside it.
+#: Coordinates of the points in the tree, shingles of the points of a leaf (a power of two; each point counts as so many more),
+#: points of a node inside it.
 GROUPS = 128
 FOLDED = 16  # coordinates of the boxes of leaves: sums of neighbouring ones
 FULL = 255  # stands for this count and all above, so that bounds stay bounds
-LEAF_BITS = 8
+LEAF_BITS = 19
+LEAST_WEIGHT = 64
 NODE = 16
 #: Up to so many ids are broadcast to find the texts of candidates; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -270,7 +272,7 @@ def _candidate_edges(meetings: DataFrame, classes: DataFrame, rule: Similar) ->
 def _visits(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(class, visits): the pairs of leaves that each point is compared in."""
     both = pairs.select("component", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("leaf"))
-    dealt = members.select("component", "leaf", "class", F.col(POSITION).alias("place")).join(both, ["component", "leaf"])
+    dealt = members.select("component", "leaf", "class", "place").join(both, ["component", "leaf"])
     return dealt.groupBy("class").agg(F.collect_list(F.struct("component", "one", "two", "leaf", "place")).alias("visits"))
 
 
@@ -410,8 +412,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     firsts = classes.select("class", "rep")
     candidates = connected(_candidate_edges(_meetings(named, rule), classes, rule))
     members = candidates.join(classes, F.col("node") == F.col("class")).select("component", "n", "folded", "class")
-    members = sorted_once(members, ("component",), ("n", "folded", "class"), "jaccard-leaves")
-    members = members.withColumn("leaf", F.shiftright(POSITION, LEAF_BITS))
+    # Leaves hold about as many shingles each, not as many points: what a leaf sends is the same for short and long texts,
+    # and so few leaves meet.
+    weighed = members.withColumn("weight", (F.col("n") + LEAST_WEIGHT).cast("bigint"))
+    members = with_totals(sorted_once(weighed, ("component",), ("n", "folded", "class"), "jaccard-leaves"), ("component",), {"place": "weight"})
+    members = members.withColumn("leaf", F.shiftright("place", LEAF_BITS))
     chosen = written(_visits(members, _leaf_pairs(members, rule)).join(firsts, "class"), "jaccard-visits")
     linked = connected(_links(_with_shingles(named, chosen, rule), rule))
     linked = linked.join(firsts, F.col("node") == F.col("class")).select("class", "component", "rep")

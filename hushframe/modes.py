@@ -5,6 +5,7 @@ from __future__ import annotations
 from enum import Enum
 
 
+# Names of modes and scopes.
 class PrivacyMode(str, Enum):
     STRICT = "Strict"
     BALANCED = "Balanced"

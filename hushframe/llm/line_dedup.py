@@ -18,8 +18,9 @@ from hushframe.storage import written
 
 SPAN = 2
 LONG = 8
-#: Up to so many changed documents are sent to every task; more meet their texts in a shuffle.
-BROADCAST_DOCS = 100_000
+#: Lines that occur more often are hot; up to so many of them, at most one for each HOT fingerprints, are broadcast.
+HOT = 1_000
+BROADCAST_HOT = 200_000
 
 
 def _fingerprints(docs: DataFrame, span: int, long_words: int) -> DataFrame:
@@ -67,6 +68,18 @@ def _runs(found: DataFrame, span: int) -> DataFrame:
     return found.select("doc_id", "tid", F.inline(both))
 
 
+def _repeated(found: DataFrame, hot: int) -> DataFrame:
+    """The fingerprints that occur again. Those of hot lines don't meet under one key: their hashes are broadcast."""
+    counts = written(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "line-hashes")
+    frequent = counts.filter(F.col("n") > hot).select("hash")
+    many = frequent.count()
+    if not many:
+        return found.join(counts.select("hash"), "hash", "left_semi")
+    side = F.broadcast(frequent) if many <= BROADCAST_HOT else frequent
+    rest = found.join(side, "hash", "left_anti").join(counts.filter(F.col("n") <= hot).select("hash"), "hash", "left_semi")
+    return found.join(side, "hash", "left_semi").unionByName(rest)
+
+
 def repeated_lines(docs: DataFrame, span: int = SPAN, long_words: int = LONG) -> DataFrame:
     """(doc_id, tid, removed): the numbers of the lines to delete, for (doc_id, tid, text) rows; unchanged ones are absent.
 
@@ -74,8 +87,7 @@ def repeated_lines(docs: DataFrame, span: int = SPAN, long_words: int = LONG) ->
     of a join: it is summed up to one row before it moves.
     """
     found = written(_fingerprints(docs, span, long_words), "line-fingerprints")
-    again = found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    runs = written(_runs(found.join(again, "hash"), span), "line-runs")
+    runs = written(_runs(_repeated(found, HOT), span), "line-runs")
     placed = runs.withColumns({"start": F.get("lines", F.lit(0)), "size": F.col("run.size")})
     firsts = placed.groupBy("run").agg(F.min(F.struct("doc_id", "tid", "start", "size")).alias("first"))
     firsts = firsts.select(*[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "tid", "start", "size")])
@@ -97,9 +109,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
     keyed = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("tid"), body.alias("text"))
     changes = written(repeated_lines(keyed.select("doc_id", "tid", "text"), span, long_words), "line-changes")
     side = changes.select(F.col("doc_id").alias("c_id"), F.col("tid").alias("c_tid"), "removed")
-    if changes.count() <= BROADCAST_DOCS:
-        side = F.broadcast(side)
-    joined = keyed.join(side, keyed["doc_id"].eqNullSafe(F.col("c_id")) & (keyed["tid"] == F.col("c_tid")), "left")
+    # Texts without a word lose nothing and take no part in the join, where equal ones would be one hot key.
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    joined = keyed.filter(worded).join(side, keyed["doc_id"].eqNullSafe(F.col("c_id")) & (keyed["tid"] == F.col("c_tid")), "left").drop("c_id", "c_tid")
+    joined = joined.unionByName(keyed.filter(~worded).withColumn("removed", F.lit(None).cast("array<int>")))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains("removed", at)), "\n")
     real = F.size(F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]")))

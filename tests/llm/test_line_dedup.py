@@ -24,9 +24,10 @@ def model(docs, span=2, long_words=8):
     return out
 
 
-@pytest.mark.parametrize(("span", "broadcast"), [(2, 100_000), (3, 0)])
-def test_runs_are_those_of_a_slow_search(spark, monkeypatch, span, broadcast):
-    monkeypatch.setattr(line_dedup, "BROADCAST_DOCS", broadcast)
+@pytest.mark.parametrize(("span", "hot", "broadcast"), [(2, 1_000, 10), (3, 3, 10), (2, 3, 0)])
+def test_runs_are_those_of_a_slow_search(spark, monkeypatch, span, hot, broadcast):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "BROADCAST_HOT", broadcast)
     draw = random.Random(span)
     lines = ["a", "b", "c", "d e", "f", "", "  ", " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(8)), "word " * 7]
     docs = {i: "\n".join(draw.choices(lines, [9, 9, 9, 9, 9, 3, 3, 1, 1, 2], k=draw.randint(1, 14))) for i in range(120)}

@@ -524,6 +524,19 @@ ORACLES: dict[str, str] = {
     "sample_relaxed": _sample(300, "*"),
     "sample_lines": f"""WITH {lines('documents', 'doc_id', 'text')}, c AS (SELECT doc_id, least(count(*), 100) AS sample_row_count FROM lines GROUP BY doc_id)
       SELECT doc_id, sample_row_count, CAST(line_no - 1 AS INT) AS line_no, line FROM lines JOIN c USING (doc_id) WHERE line_no <= 100""",
+    "release_payload_stats": f"""WITH p AS ({PEOPLE}), v AS (VALUES {schema_rows(PEOPLE_COLUMNS)})
+      SELECT 'task' AS part, '' AS "column", 'Summarise the data.' AS text, NULL::DOUBLE AS number
+      UNION ALL SELECT 'schema', col1, CASE WHEN col1 = 'phone_num' THEN 'object' ELSE col2 END, NULL FROM v
+      UNION ALL SELECT 'row_count', '', NULL, count(*) FROM p
+      UNION ALL SELECT 'column_count', '', NULL, {len(PEOPLE_COLUMNS)}
+      UNION ALL SELECT 'duplicate_rows', '', NULL, 0
+      """ + " ".join(f"UNION ALL SELECT 'missing', '{c}', NULL, count(*) - count({c}) FROM p" for c, _ in PEOPLE_COLUMNS)
+    + " ".join(
+        f" UNION ALL SELECT '{name}', '{c}', NULL, round({f}({c}::DOUBLE), 4) FROM p"
+        for c in ("person_id", "balance") for name, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("median", "median"))
+    ),
+    "payload_default_limit": """SELECT sum(strlen(text)) > 204800 AS truncated, false AS still_over, sum(strlen(text)) <= 204800 AS has_sample, true AS fits
+      FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 300)""",
     "payload_size_guard": _payload_guard(),
     "release_decisions": f"{REQUESTS} SELECT conv_id, turn, has_pii, {REASON.format(extra='', used='wants')} AS reason FROM r",
     "released_requests": f"{REQUESTS} SELECT conv_id, turn FROM r WHERE {REASON.format(extra='', used='wants')} = 'ok'",

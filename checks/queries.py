@@ -610,6 +610,41 @@ def release_payload_cells(spark, sf_dir):
     return cells.select("row_no", "column", "value", F.col("stats.row_count").alias("row_count"), missing.alias("missing"))
 
 
+@query
+def release_payload_stats(spark, sf_dir):
+    """The rest of the payload of the table, read back: task, schema, counts, missing values and numbers."""
+    numbers = "struct<min: double, max: double, mean: double, median: double>"
+    stats = f"struct<row_count: bigint, column_count: bigint, missing_by_column: map<string,bigint>, numeric_stats: map<string,{numbers}>, duplicate_rows: bigint>"
+    shape = f"task string, dataset struct<schema: array<struct<column: string, dtype: string>>, stats: {stats}>"
+    read = release_payload_table(spark, sf_dir).select(F.from_json("payload", shape).alias("p")).select("p.task", "p.dataset.*")
+
+    def part(name, df, column, text=None, number=None):
+        return df.select(
+            F.lit(name).alias("part"), column.alias("column"), (F.lit(None) if text is None else text).cast("string").alias("text"),
+            (F.lit(None) if number is None else number).cast("double").alias("number"),
+        )
+
+    whole = F.lit("")
+    parts = [part("task", read, whole, F.col("task")), part("schema", read.select(F.inline("schema")), F.col("column"), F.col("dtype"))]
+    parts += [part(n, read, whole, number=F.col(f"stats.{n}")) for n in ("row_count", "column_count", "duplicate_rows")]
+    parts.append(part("missing", read.select(F.explode("stats.missing_by_column").alias("column", "n")), F.col("column"), number=F.col("n")))
+    numeric = read.select(F.explode("stats.numeric_stats").alias("column", "s"))
+    parts += [part(n, numeric, F.col("column"), number=F.col(f"s.{n}")) for n in ("min", "max", "mean", "median")]
+    result = parts[0]
+    for other in parts[1:]:
+        result = result.unionByName(other)
+    return result
+
+
+@query
+def payload_default_limit(spark, sf_dir):
+    """Documents as a table: their sample is over the usual limit, what is left is not."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    payload = release.release_table(docs, ["doc_id"], "relaxed", AS_OF, "schema+stats+sample", F.lit(TASK), "documents").payload
+    sample = F.size(F.from_json("payload", "dataset struct<sample: array<map<string,string>>>")["dataset"]["sample"])
+    return payload.select("truncated", "still_over", (F.coalesce(sample, F.lit(0)) > 0).alias("has_sample"), (F.col("payload_bytes") <= 204_800).alias("fits"))
+
+
 @query
 def release_payload_lines(spark, sf_dir):
     """The payloads of the texts, read back line by line."""

@@ -551,6 +551,12 @@ ORACLES: dict[str, str] = {
               ROWS UNBOUNDED PRECEDING) AS BIGINT) AS turn_group FROM m)
       SELECT conv_id, turn, role, md5(text) AS digest, turn_group,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn_group DESC, turn, role, text) AS position FROM g""",
+    "conversation_without_users": """WITH m AS (SELECT CASE conv_id % 3 WHEN 0 THEN NULL WHEN 1 THEN -1 ELSE conv_id END AS conv_id, conv_id * 64 + turn AS turn,
+        CASE conv_id % 3 WHEN 1 THEN 'system' ELSE role END AS role, text FROM conversations),
+      g AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text
+              ROWS UNBOUNDED PRECEDING) AS BIGINT) AS turn_group FROM m)
+      SELECT coalesce(conv_id, -2) AS conv_id, turn, role, md5(text) AS digest, turn_group,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn_group DESC, turn, role, text) AS position FROM g""",
     "conversation_append": f"""SELECT conv_id, turn, role, text FROM conversations
       UNION ALL SELECT doc_id, coalesce(last, -1) + step, CASE step WHEN 1 THEN 'user' ELSE 'assistant' END,
         CASE step WHEN 1 THEN {strip("'  ' || lang || chr(10)")} ELSE source END

@@ -842,6 +842,18 @@ def conversation_tied_turns(spark, sf_dir):
     return conversations.newest_first(merged, long_rows=limit).select("conv_id", "turn", "role", F.md5("text").alias("digest"), "turn_group", "position")
 
 
+@query
+def conversation_without_users(spark, sf_dir):
+    """Two thirds of all messages without an id or without a user: one long conversation each, the latter of one group."""
+    turns = table(spark, sf_dir, "conversations")
+    merged = turns.select(
+        F.when(F.col("conv_id") % 3 == 0, F.lit(None)).when(F.col("conv_id") % 3 == 1, -1).otherwise(F.col("conv_id")).alias("conv_id"),
+        (F.col("conv_id") * 64 + F.col("turn")).alias("turn"), F.when(F.col("conv_id") % 3 == 1, "system").otherwise(F.col("role")).alias("role"), "text",
+    )
+    limit = max(1, merged.count() // 10)
+    return conversations.newest_first(merged, long_rows=limit).select(F.coalesce("conv_id", F.lit(-2)).alias("conv_id"), "turn", "role", F.md5("text").alias("digest"), "turn_group", "position")
+
+
 @query
 def conversation_append(spark, sf_dir):
     messages = table(spark, sf_dir, "conversations")

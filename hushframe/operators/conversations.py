@@ -12,6 +12,9 @@ from hushframe.storage import written
 
 # A conversation with more rows than this is too long for one task.
 LONG_ROWS = 100_000
+# Up to so many long conversations, and long groups of turns, are broadcast.
+BROADCAST_LONG = 100_000
+CONV = "_conversation"
 
 
 def newest_first(
@@ -21,20 +24,22 @@ def newest_first(
 
     Messages of the same turn are ordered by their role, then by their other columns. Usual conversations are ordered
     by a window each; long ones are sorted across tasks and positioned by running totals, with the same result.
+    Messages without an id are one conversation.
     """
     order = [turn, role, *(f.name for f in messages.schema.fields if f.name not in (conv, turn, role) and is_atomic(f.dataType))]
     if messages.count() <= long_rows:
         return _by_window(messages, conv, order, role)
-    long_ones = written(messages.groupBy(conv).count().where(F.col("count") > long_rows).select(conv), "long-conversations")
+    # A text that no null has in common with an id: messages without an id are one conversation, maybe a long one.
+    keyed = messages.withColumn(CONV, F.when(F.col(conv).isNull(), "").otherwise(F.concat(F.lit("="), F.col(conv).cast("string"))))
+    long_ones = written(keyed.groupBy(CONV).count().where(F.col("count") > long_rows).select(CONV), "long-conversations")
     if long_ones.isEmpty():
         return _by_window(messages, conv, order, role)
-    usual = messages.join(long_ones, conv, "left_anti")
-    long_ = messages.join(long_ones, conv, "left_semi")
+    # At most one for each `long_rows` messages.
+    side = F.broadcast(long_ones) if long_ones.count() <= BROADCAST_LONG else long_ones
     result = [*messages.columns, "turn_group", "position"]
-    return (
-        _by_window(usual, conv, order, role).select(*result)
-        .unionByName(_by_totals(long_, conv, order, role).select(*result))
-    )
+    usual = keyed.join(side, CONV, "left_anti")
+    long_ = _by_totals(keyed.join(side, CONV, "left_semi"), order, role, long_rows)
+    return _by_window(usual, conv, order, role).select(*result).unionByName(long_.select(*result))
 
 
 def _starts_group(role: str) -> Column:
@@ -48,18 +53,26 @@ def _by_window(messages: DataFrame, conv: str, order: list[str], role: str) -> D
     return grouped.withColumn("position", F.row_number().over(shown).cast("bigint"))
 
 
-def _by_totals(messages: DataFrame, conv: str, order: list[str], role: str) -> DataFrame:
+def _by_totals(messages: DataFrame, order: list[str], role: str, long_rows: int) -> DataFrame:
+    """Positions from running totals. Long groups, a bounded number, come to their messages by broadcast, so that a
+    conversation of one group is not one key of a shuffle."""
     flat = sorted_once(
-        messages.withColumns({"_one": F.lit(1).cast("bigint"), "_start": _starts_group(role)}), [conv], order, "turns"
+        messages.withColumns({"_one": F.lit(1).cast("bigint"), "_start": _starts_group(role)}), [CONV], order, "turns"
     )
-    at = with_totals(flat, [conv], {"_index": "_one", "_starts": "_start"}).withColumn(
+    at = with_totals(flat, [CONV], {"_index": "_one", "_starts": "_start"}).withColumn(
         "turn_group", F.col("_starts") + F.col("_start")
     )
-    groups = at.groupBy(conv, "turn_group").agg(F.min("_index").alias("_first"), F.max("_index").alias("_last"))
-    ends = at.groupBy(conv).agg(F.max("_index").alias("_end"))
+    keys = [CONV, "turn_group"]
+    groups = written(
+        at.groupBy(*keys).agg(F.min("_index").alias("_first"), F.max("_index").alias("_last"), F.count("*").alias("_size")), "turn-groups"
+    )
+    ends = groups.groupBy(CONV).agg(F.max("_last").alias("_end"))
+    bounds = groups.join(ends, CONV)
+    hot = bounds.where(F.col("_size") > long_rows)
+    side = F.broadcast(hot) if hot.count() <= BROADCAST_LONG else hot
+    placed = at.join(side, keys).unionByName(at.join(side, keys, "left_anti").join(bounds.where(F.col("_size") <= long_rows), keys))
     # Later groups come before, then the messages of the own group up to this one.
-    position = F.col("_end") - F.col("_last") + F.col("_index") - F.col("_first") + 1
-    return at.join(groups, [conv, "turn_group"]).join(ends, conv).withColumn("position", position)
+    return placed.withColumn("position", F.col("_end") - F.col("_last") + F.col("_index") - F.col("_first") + 1)
 
 
 def append_pair(

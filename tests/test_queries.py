@@ -9,7 +9,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
 # Queries of the optional package that SQL can't say; its own tests compare them.
-NO_SQL = {"op1_fingerprints", "op5_line_crf", "op7_byte_bpe", "op8_toxicity", "pipeline"}
+NO_SQL = {"op1_fingerprints", "op5_line_crf", "op7_byte_bpe", "op8_toxicity", "op11_token_alignment", "op12_whitening", "pipeline"}
 DATA = Path("/root/testdata/sf0.001")
 
 

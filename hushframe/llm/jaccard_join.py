@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.byte_bpe import slices
-from hushframe.llm.common import RangeHashes, mixed, text_bytes, text_or_empty, word_spans
+from hushframe.llm.common import RangeHashes, mixed, span_hashes, text_bytes, text_or_empty, word_spans
 from hushframe.llm.components import connected
 from hushframe.operators.ordered import sorted_once, with_totals
 from hushframe.storage import written
@@ -84,7 +84,7 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
     starts, ends = word_spans(flat, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    words = RangeHashes(flat)(starts, ends)
+    words = span_hashes(flat, starts, ends)
     doc = np.searchsorted(offsets, starts, "right") - 1
     count = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(count) - count

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.byte_bpe import slices
-from hushframe.llm.common import RangeHashes, mixed, text_bytes, text_or_empty, word_spans
+from hushframe.llm.common import RangeHashes, mixed, span_hashes, text_bytes, text_or_empty, word_spans
 from hushframe.storage import written
 
 SIZE = 20
@@ -48,7 +48,7 @@ def super_kmers(flat: np.ndarray, offsets: np.ndarray, size: int, gram: int) ->
     if len(starts) < size:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     doc = np.searchsorted(offsets, starts, "right") - 1
-    words, others = RangeHashes(flat)(starts, ends), RangeHashes(flat ^ np.uint8(0x5A))(starts, ends)
+    words, others = span_hashes(flat, starts, ends), span_hashes(flat ^ np.uint8(0x5A), starts, ends)
     at = np.arange(len(words) - gram + 1)
     grams = RangeHashes(words)(at, at + gram)
     # Half a hash above the position: the minimum is the leftmost of the smallest, and says where it is.

@@ -1,8 +1,12 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from hushframe.llm import window_dedup
+from hushframe.llm import common, window_dedup
+from hushframe.llm.common import text_bytes, word_spans
 from hushframe.llm.window_dedup import dedup_windows, windows_of
 from tests.llm import brute
 
@@ -76,3 +80,29 @@ def test_windows_of_a_packed_string():
     assert windows_of(b"a bb c d", 3) == [b"a bb c", b"bb c d"]
     assert windows_of(b"a", 1) == [b"a"]
     assert windows_of(b"a b", 3) == []
+
+
+def test_memory_of_super_kmers_stays_near_that_of_the_words():
+    draw = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{n}" for n in draw.integers(0, 10**6, 50_000)) for _ in range(10)])
+    flat, offsets = text_bytes(texts)
+    window_dedup.super_kmers(flat[: 1 << 16], np.array([0, 1 << 16]), 20, 5)
+    tracemalloc.start()
+    try:
+        made = window_dedup.super_kmers(flat, offsets, 20, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(made[0]) > 50_000
+    # 4 MB of text are 500,000 words, and ten numbers of eight bytes for each byte of the text would be 310 MB.
+    assert peak < 35 * len(flat)
+
+
+@pytest.mark.parametrize("block", [1, 7, 50, 10**6])
+def test_hashes_of_spans_do_not_depend_on_the_block(monkeypatch, block):
+    flat = np.frombuffer(b"one two  three one a-word-longer-than-most two three", np.uint8)
+    starts, ends = word_spans(flat, np.array([0, len(flat)]))
+    monkeypatch.setattr(common, "HASH_BYTES", block)
+    got = common.span_hashes(flat, starts, ends)
+    assert got.tolist() == common.RangeHashes(flat)(starts, ends).tolist()
+    assert common.span_hashes(flat, starts[:0], ends[:0]).tolist() == []

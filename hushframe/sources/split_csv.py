@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.text import na_to_null
 from hushframe.sources.delimited import DELIMITERS, HEAD_LINES
-from hushframe.storage import few_splits, written
+from hushframe.storage import estimated_bytes, gathered, written
 
 #: Up to so many splits are broadcast, one row each.
 SPLITS = 100_000
@@ -40,23 +40,21 @@ PATH, ROW_INDEX = "_path", "_row_idx"
 def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(path, start, id, line) of each line that ends in a newline: `start` names the split, `id` orders its lines.
 
-    A carriage return stays at the end of its line, and bytes that are no UTF-8 stay as they are.
+    A carriage return stays at the end of its line, and bytes that are no UTF-8 stay as they are. A task reads many splits
+    if they are small.
     """
     lines = spark.read.option("lineSep", "\n").text(paths if isinstance(paths, str) else list(paths))
-    return lines.select(
+    named = lines.select(
         F.regexp_replace("_metadata.file_path", "^file:(?=/)(//)?", "").alias("path"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"),
     )
-
-
-def split_sizes(lines: DataFrame) -> DataFrame:
-    """(path, start, first_id, lines): one row per split, cut off from the scan."""
-    return written(lines.groupBy("path", "start").agg(F.min("id").alias("first_id"), F.count("*").alias("lines")), "splits")
+    # Ids are made below, so that they do not depend on which splits a task gets.
+    return gathered(named, estimated_bytes(lines))
 
 
 def beside_splits(lines: DataFrame, per_split: DataFrame) -> DataFrame:
     """The lines with the columns of their split, still in the order of the scan."""
-    if few_splits(lines, SPLITS):
+    if per_split.count() <= SPLITS:
         return lines.join(F.broadcast(per_split), ["path", "start"])
     return lines.join(per_split, ["path", "start"]).sortWithinPartitions("path", "start", "id")
 
@@ -107,31 +105,37 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _chained(lines: DataFrame) -> DataFrame:
-    """(split, states, starts) of each split, for a beginning outside and inside: the state at its end, the records that
-    begin in it."""
-    names = ["split", "end_0", "end_1", "starts_0", "starts_1"]
+    """(path, start, states, starts) of each split, for a beginning outside and inside: the state at its end, the records
+    that begin in it."""
+    names = ["path", "start", "end_0", "end_1", "starts_0", "starts_1"]
+    kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, state, starts = None, [False, True], [0, 0]
+        split, place, state, starts = None, (), [False, True], [0, 0]
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (split, *state, *starts)], names)
+        def made(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([row[i] for row in done], k) for i, k in enumerate(kinds)], names)
 
         for batch in batches:
+            done = []
             for part in _runs(batch):
-                if split is not None and split != part.column("split")[0].as_py():
-                    yield done()
+                own = part.column("split")[0].as_py()
+                if split != own:
+                    if split is not None:
+                        done.append((*place, *state, *starts))
+                    split, place = own, (part.column("path")[0].as_py(), part.column("start")[0].as_py())
                     state, starts = [False, True], [0, 0]
-                split = part.column("split")[0].as_py()
                 outside, inside, blank = (_flags(part, c) for c in ("outside", "inside", "blank"))
                 for k in (0, 1):
                     before, state[k] = states_before(outside, inside, state[k])
                     starts[k] += int((~before & ~blank).sum())
+            if done:
+                yield made(done)
         if split is not None:
-            yield done()
+            yield made([(*place, *state, *starts)])
 
-    flags = lines.select(F.xxhash64("path", "start").alias("split"), "outside", "inside", "blank")
-    return flags.mapInArrow(run, "split long, end_0 boolean, end_1 boolean, starts_0 long, starts_1 long")
+    flags = lines.select(F.xxhash64("path", "start").alias("split"), "path", "start", "outside", "inside", "blank")
+    return flags.mapInArrow(run, "path string, start long, end_0 boolean, end_1 boolean, starts_0 long, starts_1 long")
 
 
 def _beginnings(per_split: DataFrame) -> DataFrame:
@@ -211,11 +215,10 @@ def csv_records(spark: SparkSession, paths: str | Sequence[str], delimiter: str
     lines = scan_lines(spark, paths)
     outside, inside = effects(F.col("line"), delimiter)
     marked = lines.select("*", outside.alias("outside"), inside.alias("inside"), F.rtrim(F.col("line"), F.lit("\r")).isin("").alias("blank"))
-    splits = split_sizes(lines).withColumn("split", F.xxhash64("path", "start"))
-    begins = written(_beginnings(splits.join(_chained(marked), "split")), "split-states")
-    pieces = written(_cut(beside_splits(marked, begins)), "csv-pieces")
+    begins = written(_beginnings(_chained(marked)), "split-states")
+    pieces = gathered(written(_cut(beside_splits(marked, begins)), "csv-pieces"))
     named = begins.select(F.xxhash64("path", "start").alias("split"), "path", "start", "last")
-    placed = pieces.join(F.broadcast(named) if few_splits(lines, SPLITS) else named, "split")
+    placed = pieces.join(F.broadcast(named) if begins.count() <= SPLITS else named, "split")
     whole = placed.filter("head and not open").select("path", "record_no", "record", F.lit(True).alias("closed"))
     ordered = F.sort_array(F.collect_list(F.struct("start", "record", (F.col("last") & F.col("open")).alias("never"))))
     crossing = placed.filter("not (head and not open)").groupBy("path", "record_no").agg(ordered.alias("parts"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 SMALL_PIECE = 1 << 15
+#: Bytes of input for a task, where the splits of a scan are far smaller.
+TASK_BYTES = 32 << 20
 #: Temporary folders of local sessions without a configured one, by application.
 _temporary: dict[str, str] = {}
 
@@ -42,7 +44,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _estimated_bytes(df: DataFrame) -> int:
+def estimated_bytes(df: DataFrame) -> int:
+    """The size that the optimizer expects; for a plain scan that of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -52,7 +55,17 @@ def _split_bytes(df: DataFrame) -> int:
 
 def few_splits(df: DataFrame, limit: int = 100_000) -> bool:
     """True if the files of `df` are read in at most `limit` splits, so that one row per split may be broadcast."""
-    return _estimated_bytes(df) // _split_bytes(df) + len(df.inputFiles()) <= limit
+    return estimated_bytes(df) // _split_bytes(df) + len(df.inputFiles()) <= limit
+
+
+def gathered(df: DataFrame, size: int | None = None) -> DataFrame:
+    """Let a task read many splits of a scan, where they are small: work per task must not cost more than the rows do.
+
+    No row moves, and those of a split stay together and in order. `size` is the size of the input, if it is known better
+    than by the estimate of the optimizer.
+    """
+    tasks = (estimated_bytes(df) if size is None else size) // TASK_BYTES + 1
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, tasks))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -61,7 +74,7 @@ def spread(df: DataFrame) -> DataFrame:
     A small file of one row group is read by a single task. The estimate of the optimizer decides, so a large
     input, which has splits enough, is never shuffled.
     """
-    estimate = _estimated_bytes(df)
+    estimate = estimated_bytes(df)
     if estimate >= _split_bytes(df):
         return df
     return df.repartition(min(df.sparkSession.sparkContext.defaultParallelism, estimate // SMALL_PIECE + 1))

@@ -107,3 +107,20 @@ def test_other_delimiters_and_odd_headers(spark, tmp_path):
     assert [(t.delimiter, [tuple(r)[1:] for r in t.rows.orderBy("_row_idx").collect()]) for t in semi] == [(";", [(0, "1", "2,5\n6"), (1, "3", "4,5")])]
     assert read_split_tables(spark, []) == []
     assert csv_records(spark, str(tmp_path / "one.csv")).count() == 2
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    rows = [f'{i},"a{i}\n,{i % 7}"' if i % 3 else f"{i},b{i}" for i in range(20_000)]
+    (tmp_path / "one.csv").write_text("\n".join(["key,value", *rows]) + "\n")
+    before = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for name, value in zip(before, ("2k", "1k"), strict=True):
+            spark.conf.set(name, value)
+        lines = split_csv.scan_lines(spark, [str(tmp_path / "one.csv")])
+        assert lines.select("start").distinct().count() > 100
+        assert lines.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        records = split_csv.csv_records(spark, [str(tmp_path / "one.csv")])
+        assert records.filter("closed and record_no > 0").orderBy("record_no").select("record").rdd.map(lambda r: r[0]).collect() == rows
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

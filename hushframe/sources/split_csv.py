@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hushframe.functions.text import na_to_null
+from hushframe.functions.text import na_to_null, once
 from hushframe.sources.delimited import DELIMITERS, HEAD_LINES
 from hushframe.storage import estimated_bytes, gathered, written
 
@@ -281,10 +281,15 @@ def _table(records: DataFrame, delimiter: str, header: str, paths: list[str], na
     body = parsed.filter("record_no > 0")
     value = (lambda c: na_to_null(c)) if na_values else (lambda c: c)
     rows = body.select(F.col("path").alias(PATH), (F.col("record_no") - 1).alias(ROW_INDEX), *[value(F.col("row")[f"c{i}"]).alias(n) for i, n in enumerate(names)])
-    misfit = (F.col("record_no") > 0) & (F.col("row._whole").isNotNull() | (F.col("fields") > MOST_FIELDS) | (F.col("fields") != len(names)))
+    # The quarantine tests a record many times over: what it tests comes from a generator, which runs once.
+    tested = records.select("path", "record_no", "closed", once(record=record, valid=valid, fields=count))
+    whole = F.from_csv(F.when(F.col("fields") <= MOST_FIELDS, F.col("record")), shape, options)["_whole"]
+    tested = tested.select("path", "record_no", "closed", "record", "valid", "fields", once(damaged=whole.isNotNull()))
+    misfit = (F.col("record_no") > 0) & (F.col("damaged") | (F.col("fields") > MOST_FIELDS) | (F.col("fields") != len(names)))
     tests = (misfit & (F.col("fields") > len(names)), misfit & (F.col("fields") <= len(names)), ~F.col("valid"), ~F.col("closed"))
     reasons = F.array_compact(F.array(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS, strict=True)]))
-    listed = parsed.select("path", (F.col("record_no") - 1).alias("row_idx"), reasons.alias("reasons"), "record").filter(F.size("reasons") > 0)
+    listed = tested.select("path", (F.col("record_no") - 1).alias("row_idx"), "record", once(reasons=reasons))
+    listed = listed.select("path", "row_idx", "reasons", "record").filter(F.size("reasons") > 0)
     return SplitTable(delimiter, header, paths, rows, listed)
 
 

@@ -124,3 +124,12 @@ def test_small_splits_share_tasks(spark, tmp_path):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_the_quarantine_parses_a_record_once(spark, tmp_path):
+    write(tmp_path / "a.csv", 'a,b\n1,2\n3\n4,5,6\n"x\ny",7\n8,"open\n')
+    (table,) = read_split_tables(spark, [str(tmp_path / "a.csv")])
+    assert table.quarantine._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 1
+    assert sorted((r["row_idx"], r["reasons"]) for r in table.quarantine.collect()) == [
+        (1, ["missing_fields"]), (2, ["surplus_fields"]), (4, ["unclosed_quote"]),
+    ]

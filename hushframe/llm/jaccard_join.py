@@ -8,7 +8,8 @@ How the index is spread over a cluster. If two sets are similar enough, their po
 are dealt into R + 1 + SPARE parts; then the points are equal on more than SPARE parts, so the pair meets under the key
 of a part. The points that meet under a key are searched in nodes of an R-tree of their own; pairs that pass the bound,
 directly or through others, form a candidate component. Its points are sorted into leaves of a tree again, and leaves
-whose boxes can hold a pair are compared on their shingles. Equal sets are one point from the start, so copies never
+whose boxes can hold a pair are compared, first on points with more coordinates for larger sets, which are far smaller
+than the sets, and then, in the components that this leaves, on their shingles. Equal sets are one point from the start, so copies never
 meet each other.
 """
 
@@ -35,6 +36,7 @@ SPARE = 2
 #: points of a node inside it.
 GROUPS = 128
 FOLDED = 16  # coordinates of the boxes of leaves: sums of neighbouring ones
+PER_GROUP = 4  # shingles for each coordinate of a finer point, which has `GROUPS` of them at least
 FULL = 255  # stands for this count and all above, so that bounds stay bounds
 LEAF_BITS = 19
 LEAST_WEIGHT = 64
@@ -153,6 +155,24 @@ def _coarse(owner: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
     return np.bincount(owner * GROUPS + group, minlength=count * GROUPS).reshape(-1, GROUPS)
 
 
+def fine_point(values: np.ndarray) -> bytes:
+    """The point of one set with a coordinate for up to `PER_GROUP` shingles: a power of two of them, so that points fold."""
+    width = max(GROUPS, 1 << (max(len(values) // PER_GROUP, 1) - 1).bit_length())
+    group = (mixed(values) >> np.uint64(20)).astype(np.int64) % width
+    return np.minimum(np.bincount(group, minlength=width), FULL).astype(np.uint8).tobytes()
+
+
+def _folded_points(raw: list[bytes]) -> np.ndarray:
+    """Finer points with as many coordinates as the shortest of them has: sums keep bounds."""
+    width = min(len(r) for r in raw)
+    points = np.empty((len(raw), width), np.int64)
+    for i, r in enumerate(raw):
+        own = np.frombuffer(r, np.uint8).astype(np.int64)
+        own[own == FULL] = 1 << 40
+        points[i] = own.reshape(-1, width).sum(0)
+    return points
+
+
 def document_classes(docs: DataFrame, rule: Similar) -> DataFrame:
     """(doc_id, n_shingles, class, point, folded): documents with equal sets have the same class; empty sets have none."""
 
@@ -276,8 +296,9 @@ def _visits(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.groupBy("class").agg(F.collect_list(F.struct("component", "one", "two", "leaf", "place")).alias("visits"))
 
 
-def _with_shingles(docs: DataFrame, chosen: DataFrame, rule: Similar) -> DataFrame:
-    """One row per visit of the chosen (rep, class, visits) classes, with the shingles from the text of `rep`."""
+def _with_sets(docs: DataFrame, chosen: DataFrame, rule: Similar, fine: bool) -> DataFrame:
+    """One row per visit of the chosen (rep, class, visits) classes, with size and shingles from the text of `rep`, or with
+    their finer point."""
     few = chosen.count() <= BROADCAST_IDS
     found = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("rep")).select("text", "class", "visits")
 
@@ -290,17 +311,18 @@ def _with_shingles(docs: DataFrame, chosen: DataFrame, rule: Similar) -> DataFra
                 for i, (name, own, visits) in enumerate(zip(names, part.column("class").to_pylist(), part.column("visits").to_pylist(), strict=True)):
                     if name != own:
                         continue
-                    shingles = raw[cuts[i] : cuts[i + 1]].tobytes()
+                    content = values[cuts[i] : cuts[i + 1]]
+                    body = fine_point(content) if fine else raw[cuts[i] : cuts[i + 1]].tobytes()
                     columns = {c: [v[c] for v in visits] for c in ("component", "one", "two", "leaf", "place")}
                     kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                     arrays = [pa.array(x, k) for x, k in zip(columns.values(), kinds, strict=True)]
                     copies = len(visits)
                     yield pa.RecordBatch.from_arrays(
-                        [*arrays, pa.array([name] * copies, pa.binary()), pa.array([shingles] * copies, pa.binary())],
-                        [*columns, "class", "shingles"],
+                        [*arrays, pa.array([name] * copies, pa.binary()), pa.array([len(content)] * copies, pa.int64()), pa.array([body] * copies, pa.binary())],
+                        [*columns, "class", "n", "body"],
                     )
 
-    return found.mapInArrow(run, "component binary, one long, two long, leaf long, place long, class binary, shingles binary")
+    return found.mapInArrow(run, "component binary, one long, two long, leaf long, place long, class binary, n long, body binary")
 
 
 def _leaf_pairs(members: DataFrame, rule: Similar) -> DataFrame:
@@ -360,8 +382,8 @@ def linked_pairs(
     return links
 
 
-def _links(rows: DataFrame, rule: Similar) -> DataFrame:
-    """(a, b): verified links between the classes that visit the same pair of leaves."""
+def _links(rows: DataFrame, rule: Similar, fine: bool) -> DataFrame:
+    """(a, b): verified links between the classes that visit the same pair of leaves; with finer points, those that may be."""
     rows = rows.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,10 +392,13 @@ def _links(rows: DataFrame, rule: Similar) -> DataFrame:
         def done() -> pa.RecordBatch:
             group = {row[0]: row for row in held}
             names = list(group)
-            sets = [np.frombuffer(row[1], "<u8") for row in group.values()]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            point = _coarse(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), len(sets))
-            leaf = np.array([row[2] for row in group.values()], np.int64)
+            sizes = np.array([row[1] for row in group.values()], np.int64)
+            if fine:
+                sets, point = None, _folded_points([row[2] for row in group.values()])
+            else:
+                sets = [np.frombuffer(row[2], "<u8") for row in group.values()]
+                point = _coarse(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), len(sets))
+            leaf = np.array([row[3] for row in group.values()], np.int64)
             side = None if current[1] == current[2] else leaf
             found = linked_pairs(point, sizes, sets, side, rule)
             return pa.RecordBatch.from_arrays(
@@ -381,7 +406,7 @@ def _links(rows: DataFrame, rule: Similar) -> DataFrame:
             )
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "one", "two", "class", "shingles", "leaf")]
+            columns = [batch.column(c).to_pylist() for c in ("component", "one", "two", "class", "n", "body", "leaf")]
             for component, one, two, *row in zip(*columns, strict=True):
                 if (component, one, two) != current:
                     if held:
@@ -394,6 +419,18 @@ def _links(rows: DataFrame, rule: Similar) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def _compared(candidates: DataFrame, classes: DataFrame, named: DataFrame, rule: Similar, fine: bool) -> DataFrame:
+    """(a, b): links within candidate components (node, component), as many as connect them; with `fine`, of points only."""
+    members = candidates.join(classes, F.col("node") == F.col("class")).select("component", "n", "folded", "class")
+    # Leaves hold about as many shingles each, not as many points: what a leaf sends is the same for short and long texts,
+    # and so few leaves meet.
+    weighed = members.withColumn("weight", (F.col("n") + LEAST_WEIGHT).cast("bigint"))
+    members = with_totals(sorted_once(weighed, ("component",), ("n", "folded", "class"), "jaccard-leaves"), ("component",), {"place": "weight"})
+    members = members.withColumn("leaf", F.shiftright("place", LEAF_BITS))
+    visits = _visits(members, _leaf_pairs(members, rule)).join(classes.select("class", "rep"), "class")
+    return _links(_with_sets(named, written(visits, "jaccard-visits"), rule, fine), rule, fine)
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Similar = Similar()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest id that links lead to, its own included.
 
@@ -411,14 +448,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
     firsts = classes.select("class", "rep")
     candidates = connected(_candidate_edges(_meetings(named, rule), classes, rule))
-    members = candidates.join(classes, F.col("node") == F.col("class")).select("component", "n", "folded", "class")
-    # Leaves hold about as many shingles each, not as many points: what a leaf sends is the same for short and long texts,
-    # and so few leaves meet.
-    weighed = members.withColumn("weight", (F.col("n") + LEAST_WEIGHT).cast("bigint"))
-    members = with_totals(sorted_once(weighed, ("component",), ("n", "folded", "class"), "jaccard-leaves"), ("component",), {"place": "weight"})
-    members = members.withColumn("leaf", F.shiftright("place", LEAF_BITS))
-    chosen = written(_visits(members, _leaf_pairs(members, rule)).join(firsts, "class"), "jaccard-visits")
-    linked = connected(_links(_with_shingles(named, chosen, rule), rule))
+    # What the meeting keys tie together are not all near each other: finer points tell that before any set travels.
+    candidates = connected(_compared(candidates, classes, named, rule, fine=True))
+    linked = connected(_compared(candidates, classes, named, rule, fine=False))
     linked = linked.join(firsts, F.col("node") == F.col("class")).select("class", "component", "rep")
     smallest = linked.groupBy("component").agg(F.min("rep").alias("linked_id"))
     labels = firsts.join(linked.join(smallest, "component").select("class", "linked_id"), "class", "left")

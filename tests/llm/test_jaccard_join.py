@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from hushframe.llm import jaccard_join
@@ -96,3 +97,22 @@ def test_a_crowd_whose_lead_has_copies_in_other_slices(spark):
 
     assert edges(rows) == [{lead, other}] * 20
     assert edges(alone) == []
+
+
+def test_finer_points_bound_the_overlap_and_tell_unrelated_long_sets_apart():
+    draw = np.random.default_rng(8)
+    rule = Similar(above=80, below=100, shingle=5)
+    common = draw.integers(0, 2**63, 2_000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common[:k], draw.integers(0, 2**63, 4_000 - k).astype(np.uint64)])) for k in (0, 2_000, 2_000, 0)]
+    sets += [np.unique(np.append(sets[0][:-300], draw.integers(0, 2**63, 300).astype(np.uint64))), sets[1][:90]]
+    points = jaccard_join._folded_points([jaccard_join.fine_point(s) for s in sets[:5]])
+    sizes = np.array([len(s) for s in sets[:5]])
+    owner = np.repeat(np.arange(5), sizes)
+    rough = jaccard_join._coarse(owner, np.concatenate(sets[:5]), 5)
+    # With 128 coordinates, texts that share nothing pass for near duplicates.
+    assert len(jaccard_join.linked_pairs(rough, sizes, None, None, rule)) > 1
+    assert jaccard_join.linked_pairs(points, sizes, None, None, rule) == [(0, 4)]
+    mixed_up = jaccard_join._folded_points([jaccard_join.fine_point(s) for s in sets])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.minimum(mixed_up[i], mixed_up[j]).sum() >= np.intersect1d(a, b).size

@@ -23,7 +23,7 @@ from hushframe.llm.common import text_or_empty
 
 #: Pieces in one array of trees, times their length: bounds the memory of a step.
 CELLS = 1 << 21
-#: Distinct pieces that a worker remembers; older ones are forgotten.
+#: Distinct pieces that a task remembers; older ones are forgotten.
 REMEMBERED = 1 << 18
 NO_PAIR = np.int64(1) << 62
 
@@ -162,6 +162,10 @@ class ByteBpe:
         for own in pieces:
             yield list(chain.from_iterable(map(known, own)))
 
+    def forget(self) -> None:
+        """Let go of the pieces remembered: the worker may go on with other work, which needs the memory."""
+        self.known, self.older = {}, {}
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -204,6 +208,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
             for part in slices(batch, "text"):
                 ids = pa.array(bpe.encode_batch(part.column("text").to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(schema.field(0).type), ids], schema=schema)
+        bpe.forget()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -253,6 +258,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
                     cuts = pa.array([0, *accumulate(counts)], pa.int32())
                     columns.append(pa.ListArray.from_arrays(cuts, pa.concat_arrays(kept)))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        bpe.forget()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -28,7 +28,7 @@ from hushframe.llm.byte_bpe import slices
 from hushframe.llm.common import RangeHashes, mixed, span_hashes, text_bytes, text_or_empty, word_spans
 from hushframe.llm.components import connected
 from hushframe.operators.ordered import sorted_once, with_totals
-from hushframe.storage import written
+from hushframe.storage import arrow_bytes, written
 
 #: Empty parts that a document may have without taking part under their keys.
 SPARE = 2
@@ -47,6 +47,10 @@ BROADCAST_IDS = 200_000
 #: which all are taken for candidates of each other.
 MEETING = 10_000
 CROWD = 64
+#: Bytes of text in a slice of documents, and in the parts of it whose shingles are in memory at a time; bytes of a batch.
+SLICE_BYTES = 4 << 20
+SHINGLED_BYTES = 1 << 18
+BATCH_BYTES = 8 << 20
 #: Bytes of the hash that stands for a set, and bits of a meeting key: they are what travels most.
 NAME_BYTES = 12
 KEY_SHIFT = np.uint64(16)
@@ -178,7 +182,7 @@ def document_classes(docs: DataFrame, rule: Similar) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SHINGLED_BYTES):
                 owner, values = shingle_sets(part.column("text"), rule.shingle)
                 sizes, names = _class_names(owner, values, part.num_rows)
                 points = _coarse(owner, values, part.num_rows)
@@ -199,6 +203,30 @@ def _points_from(raw: list[bytes]) -> np.ndarray:
     return points
 
 
+def _slice_keys(part: pa.RecordBatch, rule: Similar) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+    """The names of the sets of a slice, and (set number, key) of the parts of the first of equal sets.
+
+    Shingles take many times the memory of the text, keys do not: only those of a small part of the slice are held.
+    """
+    names: list[bytes | None] = []
+    seen: set[bytes] = set()
+    out_set, out_key = [], []
+    for small in slices(part, "text", SHINGLED_BYTES):
+        owner, values = shingle_sets(small.column("text"), rule.shingle)
+        sizes, own = _class_names(owner, values, small.num_rows)
+        fresh = np.zeros(small.num_rows, bool)
+        for i, name in enumerate(own):
+            if name is not None and name not in seen:
+                seen.add(name)
+                fresh[i] = True
+        kept = fresh[owner]
+        sets, keys = _part_keys(owner[kept], values[kept], np.where(fresh, sizes, 0), rule)
+        out_set.append(sets + len(names))
+        out_key.append(keys)
+        names += own
+    return names, np.concatenate(out_set), np.concatenate(out_key)
+
+
 def _meetings(docs: DataFrame, rule: Similar) -> DataFrame:
     """(key, class, crowd): classes under the same key may be linked.
 
@@ -208,13 +236,8 @@ def _meetings(docs: DataFrame, rule: Similar) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                owner, values = shingle_sets(part.column("text"), rule.shingle)
-                sizes, names = _class_names(owner, values, part.num_rows)
-                seen: dict[bytes, int] = {}
-                fresh = np.array([n is not None and seen.setdefault(n, i) == i for i, n in enumerate(names)], bool)
-                kept = fresh[owner] if len(owner) else np.zeros(0, bool)
-                sets, keys = _part_keys(owner[kept], values[kept], np.where(fresh, sizes, 0), rule)
+            for part in slices(batch, "text", SLICE_BYTES):
+                names, sets, keys = _slice_keys(part, rule)
                 order = np.argsort(keys, kind="stable")
                 sets, keys = sets[order], keys[order]
                 head = np.ones(len(keys), bool)
@@ -304,7 +327,7 @@ def _with_sets(docs: DataFrame, chosen: DataFrame, rule: Similar, fine: bool) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SHINGLED_BYTES):
                 owner, values = shingle_sets(part.column("text"), rule.shingle)
                 _, names = _class_names(owner, values, part.num_rows)
                 raw, cuts = values.astype("<u8"), np.searchsorted(owner, np.arange(part.num_rows + 1))
@@ -440,17 +463,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     hash stands for a shingle, and one of 96 bits for a set. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    known = written(document_classes(rows, rule), "jaccard-classes")
-    named = rows.filter("doc_id is not null")
-    placed = known.filter("class is not null and doc_id is not null")
-    classes = placed.groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.first("folded").alias("folded")
-    )
-    firsts = classes.select("class", "rep")
-    candidates = connected(_candidate_edges(_meetings(named, rule), classes, rule))
-    # What the meeting keys tie together are not all near each other: finer points tell that before any set travels.
-    candidates = connected(_compared(candidates, classes, named, rule, fine=True))
-    linked = connected(_compared(candidates, classes, named, rule, fine=False))
+    # All that goes through Python is worked off in here.
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        known = written(document_classes(rows, rule), "jaccard-classes")
+        named = rows.filter("doc_id is not null")
+        placed = known.filter("class is not null and doc_id is not null")
+        classes = placed.groupBy("class").agg(
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.first("folded").alias("folded")
+        )
+        firsts = classes.select("class", "rep")
+        candidates = connected(_candidate_edges(_meetings(named, rule), classes, rule))
+        # What the meeting keys tie together are not all near each other: finer points tell that before any set travels.
+        candidates = connected(_compared(candidates, classes, named, rule, fine=True))
+        linked = connected(_compared(candidates, classes, named, rule, fine=False))
     linked = linked.join(firsts, F.col("node") == F.col("class")).select("class", "component", "rep")
     smallest = linked.groupBy("component").agg(F.min("rep").alias("linked_id"))
     labels = firsts.join(linked.join(smallest, "component").select("class", "linked_id"), "class", "left")

@@ -3,10 +3,11 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from hushframe.llm.byte_bpe import ByteBpe, decode, encode, read_ranks, round_trip
+from hushframe.llm.byte_bpe import ByteBpe, decode, encode, read_ranks, round_trip, tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -62,3 +63,20 @@ def test_operators(spark, other):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert round_trip(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("make", [encode, round_trip])
+def test_a_task_leaves_no_pieces_in_its_worker(spark, make):
+    class Worked:
+        schema = spark.createDataFrame([(1, "")], "doc_id long, text string").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):  # noqa: N802
+            return work
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["zqxv qvzx", ""])], ["doc_id", "text"])
+    assert sum(part.num_rows for part in make(Worked(), PATH, public_tokenizers.PATTERN)(iter([batch]))) == 2
+    own = tokenizer(PATH, public_tokenizers.PATTERN)
+    assert not own.known and not own.older

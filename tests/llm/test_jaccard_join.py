@@ -1,11 +1,14 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hushframe.llm import jaccard_join
 from hushframe.llm.components import connected
 from hushframe.llm.jaccard_join import Similar, jaccard_components
+from hushframe.storage import arrow_bytes
 from tests.llm import brute
 
 
@@ -116,3 +119,56 @@ def test_finer_points_bound_the_overlap_and_tell_unrelated_long_sets_apart():
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert np.minimum(mixed_up[i], mixed_up[j]).sum() >= np.intersect1d(a, b).size
+
+
+class Worked:
+    """In place of a table: the work on batches is not sent to tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, work, schema):  # noqa: N802
+        return work
+
+
+def test_memory_follows_a_part_of_a_slice():
+    draw = random.Random(7)
+    texts = [" ".join(draw.choices("abcdefghij", k=2) + [f"w{draw.randrange(9000)}" for _ in range(600)]) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, texts[0], ""])], ["text"])
+    work = jaccard_join._meetings(Worked(), Similar(80, 100, 5))
+    tracemalloc.start()
+    made = sum(part.num_rows for part in work(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made > 100_000 and peak < 45e6
+
+
+def test_parts_of_a_slice_have_the_keys_of_the_slice(monkeypatch):
+    texts = [text for _, text in sorted(near_texts().items())]
+    batch = pa.RecordBatch.from_arrays([pa.array([text or "" for text in texts * 2])], ["text"])
+    whole = jaccard_join._slice_keys(batch, Similar())
+    monkeypatch.setattr(jaccard_join, "SHINGLED_BYTES", 300)
+    parts = jaccard_join._slice_keys(batch, Similar())
+    assert whole[0] == parts[0]
+    assert sorted(zip(whole[1].tolist(), whole[2].tolist(), strict=True)) == sorted(zip(parts[1].tolist(), parts[2].tolist(), strict=True))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(4000, numPartitions=1).selectExpr("id", "repeat(concat('w', id, ' '), 800) as text")
+    with arrow_bytes(spark, 1 << 20):
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert len(sizes) > 10 and max(r["n"] for r in sizes) < 3 << 19
+    assert spark.conf.get(name) == before
+
+
+def test_texts_travel_in_bounded_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    for step in ("document_classes", "_meetings", "_with_sets"):
+        real = getattr(jaccard_join, step)
+        monkeypatch.setattr(jaccard_join, step, lambda *a, real=real: (seen.append(spark.conf.get(name)), real(*a))[1])
+    rows = [(i, "a b c d e f g h i j k l m n o p" + " q" * (i % 2)) for i in range(4)]
+    assert {r["component_id"] for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rule=Similar(80, 100, 3)).collect()} == {0}
+    assert set(seen) == {str(jaccard_join.BATCH_BYTES)} and len(seen) >= 3 and spark.conf.get(name) == before

@@ -6,10 +6,11 @@ for boxes of points, and only pairs that pass are verified on their shingles.
 
 How the index is spread over a cluster. If two sets are similar enough, their points differ by at most R in all. Groups
 are dealt into R + 1 + SPARE parts; then the points are equal on more than SPARE parts, so the pair meets under the key
-of a part. The points that meet under a key are searched in nodes of an R-tree of their own; pairs that pass the bound,
+of a part. Empty parts are equal in too many unrelated sets to meet under; SPARE is enough that hardly a set has more of them.
+The points that meet under a key are searched in nodes of an R-tree of their own; pairs that pass the bound,
 directly or through others, form a candidate component. Its points are sorted into leaves of a tree again, and leaves
 whose boxes can hold a pair are compared, first on points with more coordinates for larger sets, which are far smaller
-than the sets, and then, in the components that this leaves, on their shingles. Equal sets are one point from the start, so copies never
+than the sets (those under the keys are such points already, but with a most), and then, in the components that this leaves, on their shingles. Equal sets are one point from the start, so copies never
 meet each other.
 """
 
@@ -30,13 +31,16 @@ from hushframe.llm.components import connected
 from hushframe.operators.ordered import sorted_once, with_totals
 from hushframe.storage import arrow_bytes, written
 
-#: Empty parts that a document may have without taking part under their keys.
+#: Empty parts that a document may have without taking part under their keys: so many, and one more for each so many
+#: shingles that linked sets may differ in.
 SPARE = 2
+SPARE_SHARE = 8
 #: Coordinates of the points in the tree, shingles of the points of a leaf (a power of two; each point counts as so many more),
 #: points of a node inside it.
 GROUPS = 128
 FOLDED = 16  # coordinates of the boxes of leaves: sums of neighbouring ones
 PER_GROUP = 4  # shingles for each coordinate of a finer point, which has `GROUPS` of them at least
+MET_GROUPS = 1024  # coordinates of the finer points that meet under keys, at most
 FULL = 255  # stands for this count and all above, so that bounds stay bounds
 LEAF_BITS = 19
 LEAST_WEIGHT = 64
@@ -128,11 +132,12 @@ def _part_keys(owner: np.ndarray, values: np.ndarray, sizes: np.ndarray, rule: S
         for step in range(steps + 1):
             # Sets that must be equal to be linked are one class already.
             kind = own + step
-            parts = rule.apart(2 * (bounds[np.minimum(kind + 1, len(bounds) - 1)] - 1)) + 1 + SPARE
-            chosen = np.flatnonzero((sizes > 0) & (kind <= reach) & (parts > 1 + SPARE))
+            apart = rule.apart(2 * (bounds[np.minimum(kind + 1, len(bounds) - 1)] - 1))
+            chosen = np.flatnonzero((sizes > 0) & (kind <= reach) & (apart > 0))
             if not len(chosen):
                 continue
-            width = parts[chosen]
+            spare = SPARE + apart[chosen] // SPARE_SHARE
+            width = apart[chosen] + 1 + spare
             base = np.cumsum(width) - width
             item = np.concatenate([np.arange(first[s], first[s + 1]) for s in chosen])
             count = first[chosen + 1] - first[chosen]
@@ -142,8 +147,8 @@ def _part_keys(owner: np.ndarray, values: np.ndarray, sizes: np.ndarray, rule: S
             np.add.at(total, cell, mixed(values[item] + np.uint64(0x51ED270B)))
             filled = np.bincount(cell, minlength=len(total)) > 0
             set_of = np.repeat(np.arange(len(chosen)), width)
-            empties = np.bincount(set_of, ~filled, len(chosen))
-            keep = filled | (empties > SPARE)[set_of]
+            earlier = np.cumsum(~filled) - ~filled
+            keep = filled | (earlier - earlier[base][set_of] >= spare[set_of])
             number = np.arange(len(total)) - base[set_of]
             label = (kind[chosen][set_of] * 1_000_003 + number).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
             out_set.append(chosen[set_of][keep])
@@ -159,9 +164,13 @@ def _coarse(owner: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
     return np.bincount(owner * GROUPS + group, minlength=count * GROUPS).reshape(-1, GROUPS)
 
 
-def fine_point(values: np.ndarray) -> bytes:
-    """The point of one set with a coordinate for up to `PER_GROUP` shingles: a power of two of them, so that points fold."""
+def fine_point(values: np.ndarray, most: int | None = None) -> bytes:
+    """The point of one set with a coordinate for up to `PER_GROUP` shingles: a power of two of them, so that points fold.
+
+    With `most` (a power of two), there are no more coordinates than that.
+    """
     width = max(GROUPS, 1 << (max(len(values) // PER_GROUP, 1) - 1).bit_length())
+    width = width if most is None else min(width, most)
     group = (mixed(values) >> np.uint64(20)).astype(np.int64) % width
     return np.minimum(np.bincount(group, minlength=width), FULL).astype(np.uint8).tobytes()
 
@@ -187,9 +196,10 @@ def document_classes(docs: DataFrame, rule: Similar) -> DataFrame:
                 sizes, names = _class_names(owner, values, part.num_rows)
                 points = _coarse(owner, values, part.num_rows)
                 folded = points.reshape(part.num_rows, FOLDED, -1).sum(2)
+                cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 columns = [
                     part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                    pa.array([row.tobytes() for row in np.minimum(points, FULL).astype(np.uint8)], pa.binary()),
+                    pa.array([fine_point(values[a:b], MET_GROUPS) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * FOLDED, pa.int32()), pa.array(folded.ravel(), pa.int32())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "point", "folded"])
@@ -197,12 +207,6 @@ def document_classes(docs: DataFrame, rule: Similar) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, class binary, point binary, folded array<int>")
 
 
-def _points_from(raw: list[bytes]) -> np.ndarray:
-    points = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64).reshape(-1, GROUPS)
-    points[points == FULL] = 1 << 40
-    return points
-
-
 def _slice_keys(part: pa.RecordBatch, rule: Similar) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
     """The names of the sets of a slice, and (set number, key) of the parts of the first of equal sets.
 
@@ -281,7 +285,7 @@ def _candidate_edges(meetings: DataFrame, classes: DataFrame, rule: Similar) ->
 
         def pairs() -> list[tuple[bytes, bytes]]:
             names = list(held)
-            points = _points_from([p for _, p in held.values()])
+            points = _folded_points([p for _, p in held.values()])
             sizes = np.array([n for n, _ in held.values()], np.int64)
             return [(names[i], names[j]) for i, j in linked_pairs(points, sizes, None, None, rule)]
 
@@ -370,27 +374,24 @@ def linked_pairs(
     """Links that connect what is linked: pairs already connected through others are not verified again.
 
     Points are nodes of `NODE` neighbours in their order. With `side`, only pairs of different sides are compared.
-    Without `sets`, the pairs are those that pass the bound on their points.
+    Without `sets`, the pairs are those that pass the bound on their points. Bounds are only worked out between points that
+    are not connected yet, so a group of copies takes little more than its links.
     """
     n = len(sizes)
-    root = list(range(n))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    group = np.arange(n)
     starts = np.arange(0, n, NODE)
     high = np.maximum.reduceat(points, starts, axis=0)
     low_n, high_n = np.minimum.reduceat(sizes, starts), np.maximum.reduceat(sizes, starts)
     links = []
     for i in range(n):
-        node = np.arange(i // NODE, len(starts))
-        fits = rule.overlap(sizes[i] + low_n[node]) <= np.minimum(high[node], points[i]).sum(1)
-        fits &= (rule.below * high_n[node] >= rule.above * sizes[i]) & (rule.below * sizes[i] >= rule.above * low_n[node])
-        near = (starts[node[fits]][:, None] + np.arange(NODE)).ravel()
+        other = group != group[i]
+        fits = np.logical_or.reduceat(other, starts) & (rule.below * high_n >= rule.above * sizes[i]) & (rule.below * sizes[i] >= rule.above * low_n)
+        fits[: i // NODE] = False
+        node = np.flatnonzero(fits)
+        node = node[rule.overlap(sizes[i] + low_n[node]) <= np.minimum(high[node], points[i]).sum(1)]
+        near = (starts[node][:, None] + np.arange(NODE)).ravel()
         near = near[(near > i) & (near < n)]
+        near = near[other[near]]
         if side is not None:
             near = near[side[near] != side[i]]
         if not len(near):
@@ -398,9 +399,8 @@ def linked_pairs(
         need = rule.overlap(sizes[i] + sizes[near])
         near, need = (x[np.minimum(points[near], points[i]).sum(1) >= need] for x in (near, need))
         for j, least in zip(near.tolist(), need.tolist(), strict=True):
-            a, b = top(i), top(j)
-            if a != b and (sets is None or np.intersect1d(sets[i], sets[j], assume_unique=True).size >= least):
-                root[max(a, b)] = min(a, b)
+            if group[i] != group[j] and (sets is None or np.intersect1d(sets[i], sets[j], assume_unique=True).size >= least):
+                group[group == group[j]] = group[i]
                 links.append((i, j))
     return links
 

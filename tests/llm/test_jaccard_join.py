@@ -1,5 +1,6 @@
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -172,3 +173,49 @@ def test_texts_travel_in_bounded_batches(spark, monkeypatch):
     rows = [(i, "a b c d e f g h i j k l m n o p" + " q" * (i % 2)) for i in range(4)]
     assert {r["component_id"] for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rule=Similar(80, 100, 3)).collect()} == {0}
     assert set(seen) == {str(jaccard_join.BATCH_BYTES)} and len(seen) >= 3 and spark.conf.get(name) == before
+
+
+def drawn(draw, count):
+    return np.sort(draw.integers(0, 2**63, count).astype(np.uint64))
+
+
+def keys_of(sets, rule):
+    sizes = np.array([len(s) for s in sets])
+    sets_of, keys = jaccard_join._part_keys(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), sizes, rule)
+    return [set(keys[sets_of == i].tolist()) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("rule", [Similar(80, 100, 5), Similar()])
+def test_unrelated_sets_do_not_meet_under_empty_parts(rule):
+    """Else those of like sizes all meet, and pairs under keys grow with the square of their number."""
+    draw = np.random.default_rng(5)
+    under = Counter(key for own in keys_of([drawn(draw, draw.integers(280, 420)) for _ in range(600)], rule) for key in own)
+    assert sum(n * (n - 1) // 2 for n in under.values()) < 600
+
+
+@pytest.mark.parametrize("rule", [Similar(80, 100, 5), Similar()])
+def test_sets_at_the_limit_meet(rule):
+    """However few shingles there are for the parts, also where one set has all the others and in another class of sizes."""
+    draw = np.random.default_rng(6)
+    for size in [*range(5, 60), 97, 140, 275, 386, 1000, 3000]:
+        whole = drawn(draw, size)
+        part = draw.permutation(whole)[: -(-rule.above * size // rule.below)]
+        changed = np.concatenate([draw.permutation(whole)[: -(-rule.above * 2 * size // (rule.above + rule.below))], drawn(draw, size)])[:size]
+        for other in (np.sort(part), np.sort(changed)):
+            common = len(np.intersect1d(whole, other))
+            assert rule.below * common >= rule.above * (size + len(other) - common)
+            if not np.array_equal(whole, other):
+                one, two = keys_of([whole, other], rule)
+                assert one & two
+
+
+def test_unrelated_long_texts_under_a_key_are_no_candidates():
+    draw = random.Random(9)
+    rule = Similar(80, 100, 5)
+    texts = [" ".join(f"w{draw.randrange(9000)}" for _ in range(6000)) for _ in range(6)]
+    texts.append(texts[0] + " end")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    made = pa.Table.from_batches(jaccard_join.document_classes(Worked(), rule)(iter([batch])))
+    points, sizes = made.column("point").to_pylist(), np.array(made.column("n_shingles").to_pylist())
+    assert jaccard_join.linked_pairs(jaccard_join._folded_points(points), sizes, None, None, rule) == [(0, 6)]
+    assert max(map(len, points)) <= jaccard_join.MET_GROUPS
